@@ -23,7 +23,7 @@ from ..functions.evidence import flag_and_confidence
 from ..functions.numbers import sigmoid
 from ..functions.text import as_col
 from .describe import id_hash
-from .ranking import global_rank, grouped_rank
+from .ranking import grouped_rank, running_totals
 
 # Sentences that stand for evidence wording and for generic wording.
 POSITIVE_PROTOTYPES = (
@@ -240,11 +240,11 @@ def prototype_similarity(df: DataFrame, vector: str, positive: DataFrame, negati
 
 def auc_exact(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from exact rank sums; ties share their average rank."""
-    known = df.select(F.col(label).alias("y"), F.col(score).alias("s")).dropna()
-    ranked = global_rank(known, ["s", "y"], "r")
-    ties = ranked.groupBy("s").agg(
-        F.sum("y").alias("pos"), F.count("*").alias("n"), ((F.min("r") + F.max("r")) / 2).alias("mean_rank")
-    )
+    known = df.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s")).dropna()
+    # One row per distinct score before anything is ordered, so runs of ties stay small.
+    counts = known.groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    ordered = running_totals(counts, ["s"], {"upto": "n"})
+    ties = ordered.withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / 2)
     sums = ties.agg(
         F.sum("pos").cast("double").alias("p"),
         F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, compact_name, normalize_name, pad_id, sorted_tokens, trim_all
+from ..session import pinned
 from .ranking import keep_best, top_k_per_key
 
 # Order in which methods win on equal scores, and the scores of the exact methods.
@@ -273,7 +274,7 @@ def link_firms(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole linking job on raw firms (gvkey, firm_name, patent_count) and a prepared registry."""
     named = prepare_firms(firms, hints)
-    return link_resolve(named, link_candidates(named, registry, config), config)
+    return link_resolve(named, pinned(link_candidates(named, registry, config)), config)
 
 
 def manual_override(links: DataFrame, manual: DataFrame, registry: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col
-from ..session import ensure_checkpoint_dir
+from ..session import pinned
 
 # A percentile buffer holds one entry per distinct value; beyond this the sorted form is used.
 MAX_BUFFERED_VALUES = 100_000
@@ -27,16 +27,13 @@ def _ordered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     Range bounds come from a sample, so the layout must be pinned before two branches read it.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("__mid", F.monotonically_increasing_id())
     )
-    pinned = tagged.checkpoint()
-    return pinned.select(
+    return pinned(tagged).select(
         *df.columns,
         F.shiftright("__mid", 33).cast("int").alias(_PART),
         F.col("__mid").bitwiseAND((1 << 33) - 1).alias(_POS),
@@ -126,21 +123,29 @@ def quantiles(
         return rows.groupBy(*by).agg(points.alias("__q")).select(
             *by, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
         )
+    # Equal values are counted together first, so a value that fills a third of the rows is one row here.
+    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    ordered = running_totals(counts, [*by, "__v"], {"__upto": "__c"}, "__rank", "__rows")
+    ordered = ordered.withColumn("__before", F.col("__upto") - F.col("__c"))
+    spans = ordered.groupBy(*by).agg(F.min("__before").alias("__start"), F.max("__upto").alias("__end"))
     if by:
-        ranked = grouped_rank(rows, by, ["__v"], "__rank")
-        sizes = rows.groupBy(*by).agg(F.count("*").alias("__n"))
-        ranked = ranked.join(sizes, list(by))
+        placed = ordered.join(spans, list(by))
     else:
-        ranked = global_rank(rows, ["__v"], "__rank", "__n")
+        placed = ordered.withColumns({"__start": F.lit(0), "__end": spans.select("__end").scalar()})
     aggs = []
     for i, p in enumerate(probs.values()):
-        at = F.lit(float(p)) * (F.col("__n") - 1) + 1
+        at = F.lit(float(p)) * (F.col("__end") - F.col("__start") - 1) + 1
+        low, high = F.col("__start") + F.floor(at), F.col("__start") + F.ceil(at)
+
+        def holds(position: Column) -> Column:
+            return (F.col("__before") < position) & (position <= F.col("__upto"))
+
         aggs += [
-            F.max(F.when(F.col("__rank") == F.floor(at), F.col("__v"))).alias(f"__lo{i}"),
-            F.max(F.when(F.col("__rank") == F.ceil(at), F.col("__v"))).alias(f"__hi{i}"),
+            F.max(F.when(holds(low), F.col("__v"))).alias(f"__lo{i}"),
+            F.max(F.when(holds(high), F.col("__v"))).alias(f"__hi{i}"),
             F.max(at - F.floor(at)).alias(f"__w{i}"),
         ]
-    parts = ranked.groupBy(*by).agg(*aggs)
+    parts = placed.groupBy(*by).agg(*aggs)
     return parts.select(
         *by,
         *[

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "panelwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(root)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder, for plans that read it several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared root for one intermediate table."""
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

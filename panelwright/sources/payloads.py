@@ -218,7 +218,7 @@ def flatten_country_metadata(df: DataFrame, payload: str) -> DataFrame:
         c["region"]["id"].alias("__region"),
     )
     kept = rows.where((F.length("iso3c") == 3) & ~F.col("__region").eqNullSafe("NA")).drop("__region")
-    best = keep_best(kept, ["iso3c"], [F.col("iso2c"), F.col("wb_country_name")])
+    best = keep_best(kept, ["iso3c"], [F.col(c) for c in kept.columns if c != "iso3c"])
     return best.withColumn("wb_name_norm", normalize_country_name("wb_country_name"))
 
 
