@@ -26,20 +26,20 @@ VIEWS = {
                     ELSE 'N' || chr(65 + (c.c_nationkey + 1) % 25) || 'T' END AS inventor_iso2,
                CAST(floor(o.o_totalprice / 10000) AS INT) AS num_claims,
                o.o_orderstatus, o.o_orderpriority, c.c_mktsegment, c.c_nationkey,
-               o.o_totalprice / 500000 AS benchmark_score,
+               o.o_totalprice / 499979 AS benchmark_score,
                CASE WHEN o.o_totalprice >= 250000 THEN 1 ELSE 0 END AS benchmark_flag,
-               abs(o.o_totalprice / 500000 - 0.5) * 2 AS benchmark_confidence,
-               sqrt(o.o_totalprice / 500000) AS dictionary_score,
+               abs(o.o_totalprice / 499979 - 0.5) * 2 AS benchmark_confidence,
+               sqrt(o.o_totalprice / 499979) AS dictionary_score,
                (c.c_acctbal + 1000) / 11000 AS metadata_score,
-               o.o_totalprice / 600000 AS text_supervised_score,
-               o.o_totalprice / 700000 AS semantic_lsa_score,
-               o.o_totalprice / 800000 AS data_collection_score,
-               o.o_totalprice / 900000 AS empirical_analysis_score,
-               o.o_totalprice / 1000000 AS experimental_validation_score,
-               o.o_totalprice / 1100000 AS measurement_instrumentation_score,
-               o.o_totalprice / 1200000 AS data_quality_calibration_score,
-               o.o_totalprice / 1300000 AS ml_training_data_score,
-               o.o_totalprice / 1400000 AS boilerplate_score,
+               o.o_totalprice / 600011 AS text_supervised_score,
+               o.o_totalprice / 700001 AS semantic_lsa_score,
+               o.o_totalprice / 800011 AS data_collection_score,
+               o.o_totalprice / 900001 AS empirical_analysis_score,
+               o.o_totalprice / 1000003 AS experimental_validation_score,
+               o.o_totalprice / 1100009 AS measurement_instrumentation_score,
+               o.o_totalprice / 1200007 AS data_quality_calibration_score,
+               o.o_totalprice / 1300021 AS ml_training_data_score,
+               o.o_totalprice / 1400017 AS boilerplate_score,
                CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS has_measurement_cpc,
                CASE WHEN o.o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS has_testing_cpc,
                CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS has_ml_cpc,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence
 from ..operators import learning
-from ..session import scratch_path
+from ..session import pinned, scratch_path
 from ..sources import tables
 from ..streaming import incremental
 from .base import Tables, query, rounded
@@ -122,7 +122,7 @@ def training_sample(t: Tables) -> DataFrame:
 
 
 def vectors(t: Tables) -> tuple:
-    train = training_sample(t).where("not is_holdout")
+    train = pinned(training_sample(t)).where("not is_holdout")
     vectorizer = learning.fit_vectorizer(train, "text")
     return vectorizer, learning.vectorize(vectorizer, train)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import flag_and_confidence
 from ..functions.numbers import sigmoid
 from ..functions.text import as_col
+from ..session import pinned
 from .describe import id_hash
 from .ranking import grouped_rank, running_totals
 
@@ -141,8 +142,9 @@ def fit_semantic_space(
 ) -> SemanticSpace:
     """Truncated SVD of the feature rows, and prototypes placed in the same space."""
     spark = train.sparkSession
-    rows = MLUtils.convertVectorColumnsFromML(train.select("features"), "features").rdd.map(lambda r: r[0])
+    rows = MLUtils.convertVectorColumnsFromML(train.select("features"), "features").persist()
     basis = RowMatrix(rows).computeSVD(components, computeU=False).V.toArray()
+    rows.unpersist()
     sentences = [(i, s) for i, group in enumerate((positive, negative)) for s in group]
     placed = vectorize(vectorizer, spark.createDataFrame(sentences, f"side int, {text} string")).select("side", "features")
     sides: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -238,71 +240,78 @@ def prototype_similarity(df: DataFrame, vector: str, positive: DataFrame, negati
     return placed.withColumn(out, sigmoid(F.lit(2.0) * (cosine("__p") - cosine("__n")))).drop("__x", "__p", "__n")
 
 
-def auc_exact(df: DataFrame, label: str, score: str) -> DataFrame:
+def auc_exact(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from exact rank sums; ties share their average rank."""
-    known = df.select(F.col(label).alias("y"), F.col(score).cast("double").alias("s")).dropna()
+    known = df.select(*by, F.col(label).alias("y"), F.col(score).cast("double").alias("s")).dropna()
     # One row per distinct score before anything is ordered, so runs of ties stay small.
-    counts = known.groupBy("s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    ordered = running_totals(counts, ["s"], {"upto": "n"})
-    ties = ordered.withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / 2)
-    sums = ties.agg(
+    counts = known.groupBy(*by, "s").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    ordered = running_totals(counts, [*by, "s"], {"upto": "n"})
+    mean_rank = F.col("upto") - (F.col("n") - 1) / 2
+    sums = ordered.groupBy(*by).agg(
         F.sum("pos").cast("double").alias("p"),
         F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"),
-        F.sum(F.col("pos") * F.col("mean_rank")).alias("rank_sum"),
+        F.sum(F.col("pos") * mean_rank).alias("rank_sum"),
+        F.min(F.col("upto") - F.col("n")).alias("before"),
     )
-    area = F.try_divide(F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))
-    return sums.select(area.alias("auc"))
+    ranks = F.col("rank_sum") - F.col("p") * F.col("before")
+    area = F.try_divide(ranks - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))
+    return sums.select(*by, area.alias("auc"))
 
 
 def threshold_grid(low: float = 0.05, high: float = 0.95, steps: int = 91) -> list[float]:
     return [float(t) for t in np.linspace(low, high, steps)]
 
 
-def f1_sweep(df: DataFrame, label: str, score: str, thresholds: Sequence[float] | None = None) -> DataFrame:
+def f1_sweep(
+    df: DataFrame, label: str, score: str, thresholds: Sequence[float] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """F1 at every threshold in one pass: rows are counted by how many thresholds they reach, then summed.
 
-    The histogram has one row per threshold and class, so the window below it is bounded.
+    The histogram has one row per threshold, so the window below it is bounded.
     """
     grid = list(thresholds or threshold_grid())
-    known = df.select(F.col(label).alias("y"), F.col(score).alias("s")).dropna()
+    known = df.select(*by, F.col(label).alias("y"), F.col(score).alias("s")).dropna()
     reached = sum((F.when(F.col("s") >= t, 1).otherwise(0) for t in grid), F.lit(0))
-    counts = known.groupBy(reached.alias("k")).agg(
+    counts = known.groupBy(*by, reached.alias("k")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
-    spark = df.sparkSession
-    steps = spark.range(0, len(grid) + 1).select(F.col("id").cast("int").alias("k"))
-    filled = steps.join(counts, "k", "left").fillna(0, ["pos", "neg"])
-    above = W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(grid))))
+    keys = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    filled = keys.select(*by, steps.alias("k")).join(counts, [*by, "k"], "left").fillna(0, ["pos", "neg"])
+    whole = W.partitionBy(*by)
+    above = whole.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
     swept = filled.withColumns(
-        {"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "p": F.sum("pos").over(W.partitionBy())}
+        {"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "p": F.sum("pos").over(whole)}
     )
     values = F.array(*[F.lit(t) for t in grid])
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("p") + F.col("tp") + F.col("fp")), F.lit(0.0))
-    return swept.where("k > 0").select(F.element_at(values, F.col("k")).alias("threshold"), f1.alias("f1"))
+    return swept.where("k > 0").select(*by, F.element_at(values, F.col("k")).alias("threshold"), f1.alias("f1"))
 
 
-def best_f1(df: DataFrame, label: str, score: str, thresholds: Sequence[float] | None = None) -> DataFrame:
+def best_f1(
+    df: DataFrame, label: str, score: str, thresholds: Sequence[float] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Highest F1 and the lowest threshold that attains it."""
-    swept = f1_sweep(df, label, score, thresholds)
+    swept = f1_sweep(df, label, score, thresholds, by)
     first = F.struct((-F.col("f1")).alias("m"), F.col("threshold"))
-    return swept.agg(F.min_by("threshold", first).alias("best_threshold"), F.max("f1").alias("best_f1"))
+    return swept.groupBy(*by).agg(F.min_by("threshold", first).alias("best_threshold"), F.max("f1").alias("best_f1"))
 
 
 def method_comparison(df: DataFrame, label: str, methods: Mapping[str, str]) -> DataFrame:
-    """AUC, best F1 and its threshold for every scoring method."""
-    rows = None
-    for name, score in methods.items():
-        auc = auc_exact(df, label, score).scalar()
-        one = best_f1(df, label, score).select(F.lit(name).alias("method"), "best_f1", "best_threshold")
-        one = one.withColumn("auc", auc)
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """AUC, best F1 and its threshold for every scoring method, all methods in one pass."""
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("method"), F.col(c).cast("double").alias("score")) for n, c in methods.items()]
+    )
+    long = df.select(label, F.inline(cells))
+    auc = auc_exact(long, label, "score", ["method"])
+    return auc.join(best_f1(long, label, "score", by=["method"]), "method")
 
 
 def fit_evidence_model(
     sample: DataFrame, text: str, label: str, split: str, vocabulary: int = 80_000, min_df: float = 5, components: int = 128
 ) -> tuple[EvidenceModel, DataFrame]:
     """Fit on the non-holdout rows of a balanced sample; return the model and the holdout comparison."""
+    sample = pinned(sample)
     train = sample.where(~F.col(split))
     vectorizer = fit_vectorizer(train, text, vocabulary, min_df)
     train_vectors = vectorize(vectorizer, train).persist()
@@ -310,7 +319,7 @@ def fit_evidence_model(
     space = fit_semantic_space(vectorizer, train_vectors, text, components)
     stacker = fit_stacker(positive_probability(classifier, train_vectors, "text_supervised_score"), label)
     model = EvidenceModel(vectorizer, classifier, space, stacker, {"benchmark_threshold": 0.5})
-    holdout = score_texts(model, sample.where(F.col(split)), text).persist()
+    holdout = pinned(score_texts(model, sample.where(F.col(split)), text))
     methods = {
         "dictionary": "dictionary_score",
         "metadata": "metadata_score",
@@ -318,7 +327,7 @@ def fit_evidence_model(
         "text_supervised": "text_supervised_score",
         "hybrid_benchmark": "benchmark_score",
     }
-    comparison = method_comparison(holdout, label, methods).persist()
+    comparison = pinned(method_comparison(holdout, label, methods))
     limits = {r["method"]: r["best_threshold"] for r in comparison.collect()}
     train_vectors.unpersist()
     model.thresholds = {

@@ -170,37 +170,46 @@ def link_fuzzy(firms: DataFrame, registry: DataFrame, config: LinkConfig = LinkC
     )
 
 
-def link_exact(firms: DataFrame, registry: DataFrame) -> DataFrame:
-    """Candidates by equal normalised name, equal compact name and equal ticker hint.
-
-    A registry row has one normalised and one compact name, so the name joins cannot multiply it.
-    """
+def _name_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows with the same normalised or compact name. A registry row has one of each, so these joins
+    on distinct firm names cannot multiply it."""
     names = firms.select("firm_name_norm").where(F.col("firm_name_norm") != "").distinct()
-    norm = names.join(registry, F.col("firm_name_norm") == F.col("sec_name_norm")).select(
-        "firm_name_norm",
-        F.lit(None).cast("string").alias("ticker_hint"),
-        *REGISTRY_COLUMNS,
-        F.lit(EXACT_NAME_SCORE).alias("score"),
-        F.lit("exact_normalized_name").alias("method"),
-    )
-    compact = names.withColumn("__compact", F.replace("firm_name_norm", F.lit(" "), F.lit("")))
-    squeezed = compact.join(registry, F.col("__compact") == F.col("sec_name_compact")).select(
-        "firm_name_norm",
-        F.lit(None).cast("string").alias("ticker_hint"),
-        *REGISTRY_COLUMNS,
-        F.lit(COMPACT_NAME_SCORE).alias("score"),
-        F.lit("exact_compact_name").alias("method"),
-    )
+    names = names.withColumn("__compact", F.replace("firm_name_norm", F.lit(" "), F.lit("")))
+    found = [
+        ("firm_name_norm", "sec_name_norm", EXACT_NAME_SCORE, "exact_normalized_name"),
+        ("__compact", "sec_name_compact", COMPACT_NAME_SCORE, "exact_compact_name"),
+    ]
+    frames = [
+        names.join(registry, F.col(mine) == F.col(theirs)).select(
+            "firm_name_norm", *REGISTRY_COLUMNS, F.lit(score).alias("score"), F.lit(method).alias("method")
+        )
+        for mine, theirs, score, method in found
+    ]
+    return frames[0].unionByName(frames[1])
+
+
+def _ticker_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows under a firm's ticker hint, scored by name once per distinct pair of names."""
+    parts = int(firms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hinted = firms.select("firm_name_norm", "ticker_hint").where(F.col("ticker_hint") != "").distinct()
-    fuzzy = F.when(F.col("firm_name_norm") != "", F.coalesce(name_score("firm_name_norm", "sec_name_norm"), F.lit(0.0)))
-    by_ticker = hinted.join(registry, F.col("ticker_hint") == F.col("ticker")).select(
-        "firm_name_norm",
-        "ticker_hint",
-        *REGISTRY_COLUMNS,
-        F.least(F.lit(1.0), F.coalesce(fuzzy, F.lit(0.0)) + TICKER_BONUS).alias("score"),
-        F.lit("ticker_hint").alias("method"),
+    # Few profiles meet many names: a stated partition count keeps that growth out of one task.
+    hinted = hinted.withColumn("__fs", sorted_tokens("firm_name_norm")).repartition(parts, "firm_name_norm", "ticker_hint")
+    listed = registry.select("ticker", "sec_name_norm").distinct().withColumn("__rs", sorted_tokens("sec_name_norm"))
+    plain = similarity(F.col("firm_name_norm"), F.col("sec_name_norm"))
+    swapped = F.lit(TOKEN_SORT_WEIGHT) * similarity(F.col("__fs"), F.col("__rs"))
+    similar = F.when(F.col("firm_name_norm") != "", F.greatest(plain, swapped))
+    score = F.least(F.lit(1.0), F.coalesce(similar, F.lit(0.0)) + TICKER_BONUS)
+    pairs = hinted.join(listed, F.col("ticker_hint") == F.col("ticker")).select(
+        "firm_name_norm", "ticker_hint", "ticker", "sec_name_norm", score.alias("score")
     )
-    return norm.unionByName(squeezed).unionByName(by_ticker)
+    return pairs.join(registry, ["ticker", "sec_name_norm"])
+
+
+def link_exact(firms: DataFrame, registry: DataFrame) -> DataFrame:
+    """Candidates by equal normalised name, equal compact name and equal ticker hint."""
+    named = _name_matches(firms, registry).withColumn("ticker_hint", F.lit(None).cast("string"))
+    by_ticker = _ticker_matches(firms, registry).withColumn("method", F.lit("ticker_hint"))
+    return named.unionByName(by_ticker.select(*named.columns))
 
 
 def method_rank(method: str | Column) -> Column:
@@ -210,33 +219,65 @@ def method_rank(method: str | Column) -> Column:
     return out
 
 
-def link_candidates(firms: DataFrame, registry: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Best candidate per (firm name, ticker hint, registry id)."""
-    exact = link_exact(firms, registry)
-    fuzzy = link_fuzzy(firms, registry, config).withColumn("ticker_hint", F.lit(None).cast("string"))
-    both = exact.unionByName(fuzzy)
-    profiles = firms.select("firm_name_norm", "ticker_hint").distinct()
-    named = (
-        both.where(F.col("ticker_hint").isNull())
-        .drop("ticker_hint")
-        .join(profiles, "firm_name_norm")
-        .unionByName(both.where(F.col("ticker_hint").isNotNull()))
-        .withColumn("method_rank", method_rank("method"))
+CANDIDATE = ("cik", "ticker", "sec_name", "exchange", "score", "method", "method_rank")
+ATTRIBUTE_ORDER = ("sec_name", "ticker", "exchange")
+
+
+def name_candidates(firms: DataFrame, registry: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """Best candidate per firm name and registry id from equal and similar names."""
+    both = _name_matches(firms, registry).unionByName(link_fuzzy(firms, registry, config))
+    ranked = both.withColumn("method_rank", method_rank("method"))
+    order = F.struct((-F.col("score")).alias("s"), "method_rank", *ATTRIBUTE_ORDER)
+    rest = CANDIDATE[1:]
+    best = ranked.groupBy("firm_name_norm", "cik").agg(F.min_by(F.struct(*rest), order).alias("best"))
+    return best.select("firm_name_norm", "cik", *[f"best.{c}" for c in rest])
+
+
+def _top_by_ticker(firms: DataFrame, registry: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The k best registry ids per hinted profile with the attributes of their best row."""
+    keys = ["firm_name_norm", "ticker_hint", "cik"]
+    top = top_k_per_key(scores, keys[:2], [F.desc("score"), F.col("cik")], k, "__rank").select(*keys)
+    wanted = top.join(registry, (F.col("ticker_hint") == F.col("ticker")) & (top["cik"] == registry["cik"])).drop(
+        registry["cik"]
     )
-    order = F.struct((-F.col("score")).alias("s"), "method_rank", "sec_name", "ticker", "exchange")
-    kept = [c for c in named.columns if c not in ("firm_name_norm", "ticker_hint", "cik")]
-    best = named.groupBy("firm_name_norm", "ticker_hint", "cik").agg(F.min_by(F.struct(*kept), order).alias("best"))
-    return best.select("firm_name_norm", "ticker_hint", "cik", *[f"best.{c}" for c in kept])
+    similar = F.when(F.col("firm_name_norm") != "", name_score("firm_name_norm", "sec_name_norm"))
+    score = F.least(F.lit(1.0), F.coalesce(similar, F.lit(0.0)) + TICKER_BONUS)
+    scored = wanted.withColumns(
+        {"score": score, "method": F.lit("ticker_hint"), "method_rank": method_rank(F.lit("ticker_hint"))}
+    )
+    best = keep_best(scored, keys, [F.desc("score"), *[F.col(c) for c in ATTRIBUTE_ORDER]])
+    return best.select("firm_name_norm", "ticker_hint", *CANDIDATE)
 
 
 def link_resolve(
-    firms: DataFrame, candidates: DataFrame, config: LinkConfig = LinkConfig()
+    firms: DataFrame, registry: DataFrame, config: LinkConfig = LinkConfig()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, top candidates, conflicts). Links hold one row per firm, unlinked firms included."""
+    """(links, top candidates, conflicts) for prepared firms. Links hold one row per firm, unlinked ones too.
+
+    Name candidates do not depend on hints, so each firm name is resolved once. Of either kind only the leading
+    few per profile can reach the result; the rest is only counted.
+    """
     profile = ["firm_name_norm", "ticker_hint"]
     order = [F.desc("score"), F.col("method_rank"), F.col("cik")]
-    ranked = top_k_per_key(candidates, profile, order, max(config.top_n_candidates, 2), "candidate_rank")
-    counts = candidates.groupBy(*profile).agg(F.count("*").alias("candidate_count"))
+    k = max(config.top_n_candidates, 2)
+    named = pinned(name_candidates(firms, registry, config))
+    by_ticker = pinned(
+        _ticker_matches(firms, registry).groupBy(*profile, "cik").agg(F.max("score").alias("score"))
+    )
+    profiles = firms.select(*profile).distinct()
+
+    top_named = top_k_per_key(named, ["firm_name_norm"], order, k, "__rank").drop("__rank").join(profiles, "firm_name_norm")
+    leading = top_named.select(*profile, *CANDIDATE).unionByName(_top_by_ticker(firms, registry, by_ticker, k))
+    once = keep_best(leading, [*profile, "cik"], order)
+    ranked = top_k_per_key(once, profile, order, k, "candidate_rank")
+
+    n_named = named.groupBy("firm_name_norm").agg(F.count("*").alias("__named"))
+    known = named.select("firm_name_norm", "cik", F.lit(1).alias("__known"))
+    n_extra = (
+        by_ticker.join(known, ["firm_name_norm", "cik"], "left")
+        .groupBy(*profile)
+        .agg(F.count_if(F.col("__known").isNull()).alias("__extra"))
+    )
     first = F.col("candidate_rank") == 1
     heads = ranked.groupBy(*profile).agg(
         *[F.max(F.when(first, F.col(c))).alias(c) for c in REGISTRY_COLUMNS],
@@ -246,9 +287,16 @@ def link_resolve(
     )
     gap = (F.col("link_score") - F.col("__second")) < config.score_gap_for_conflict
     links = (
-        firms.join(heads.join(counts, profile), profile, "left")
-        .withColumn("link_conflict", F.coalesce(gap, F.lit(False)))
-        .fillna({"link_method": "unlinked", "link_score": 0.0, "candidate_count": 0})
+        firms.join(heads, profile, "left")
+        .join(n_named, "firm_name_norm", "left")
+        .join(n_extra, profile, "left")
+        .fillna({"link_method": "unlinked", "link_score": 0.0, "__named": 0, "__extra": 0})
+        .withColumns(
+            {
+                "link_conflict": F.coalesce(gap, F.lit(False)),
+                "candidate_count": F.col("__named") + F.col("__extra"),
+            }
+        )
         .select(
             "gvkey", "firm_name", "patent_count", *REGISTRY_COLUMNS, "link_method", "link_score",
             "link_conflict", "candidate_count", "ticker_hint",
@@ -273,8 +321,7 @@ def link_firms(
     firms: DataFrame, registry: DataFrame, hints: DataFrame | None = None, config: LinkConfig = LinkConfig()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The whole linking job on raw firms (gvkey, firm_name, patent_count) and a prepared registry."""
-    named = prepare_firms(firms, hints)
-    return link_resolve(named, pinned(link_candidates(named, registry, config)), config)
+    return link_resolve(prepare_firms(firms, hints), registry, config)
 
 
 def manual_override(links: DataFrame, manual: DataFrame, registry: DataFrame) -> DataFrame:
