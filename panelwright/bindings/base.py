@@ -85,6 +85,15 @@ VIEWS = {
                p_type AS exchange
         FROM {part}
     """,
+    # Owner names by brand: the part name on most orders.
+    "static_firms": """
+        SELECT gvkey, firm_name, patent_count FROM (
+          SELECT gvkey, firm_name, patent_count, row_number() OVER (PARTITION BY gvkey ORDER BY patent_count DESC, firm_name) AS rn
+          FROM (SELECT p_brand AS gvkey, p_name AS firm_name, count(DISTINCT l_orderkey) AS patent_count
+                FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_name) c) r
+        WHERE rn = 1
+    """,
+    "no_hints": "SELECT p_brand AS gvkey, '' AS ticker FROM {part} WHERE p_size < 0",
     "hints_raw": """
         SELECT 'F' || CAST(p_partkey AS VARCHAR(20)) AS gvkey, ' ' || lower(p_brand) || ' ' AS ticker
         FROM {part} WHERE p_type = 'PROMO'

@@ -54,7 +54,9 @@ def outer_join_chain(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFr
 
 def front_columns(df: DataFrame, first: Sequence[str]) -> DataFrame:
     present = [c for c in first if c in df.columns]
-    return df.select(*present, *[c for c in df.columns if c not in present])
+    rest = [c for c in df.columns if c not in present]
+    # Indicator codes hold dots, so names are quoted.
+    return df.select(*[F.col(f"`{c}`") for c in [*present, *rest]])
 
 
 def union_keys_panel(
