@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import flag_and_confidence
 from ..functions.numbers import sigmoid
 from ..functions.text import as_col
-from ..session import pinned
+from ..session import pinned, scratch_path
 from .describe import id_hash
 from .ranking import grouped_rank, running_totals
 
@@ -64,13 +64,17 @@ def balanced_sample(df: DataFrame, key: str, label: str, split: str, caps: Mappi
 
 
 def text_stages(text: str, vocabulary: int, min_df: float, max_df: float) -> list[Transformer]:
-    """Lower-case words of two or more characters, single words and pairs, counted over the kept vocabulary."""
+    """Lower-case words of two or more characters, single words and pairs, counted over the kept vocabulary.
+
+    ``max_df`` is a share of the documents; Spark reads a value of one as a count, so one means no limit.
+    """
+    limit = max_df if max_df < 1 else float(2**63 - 1)
     return [
         RegexTokenizer(inputCol=text, outputCol="__w1", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         NGram(n=2, inputCol="__w1", outputCol="__w2"),
         SQLTransformer(statement="SELECT *, concat(__w1, __w2) AS __terms FROM __THIS__"),
         CountVectorizer(
-            inputCol="__terms", outputCol="__counts", vocabSize=vocabulary, minDF=min_df, maxDF=max_df
+            inputCol="__terms", outputCol="__counts", vocabSize=vocabulary, minDF=min_df, maxDF=limit
         ),
     ]
 
@@ -94,11 +98,23 @@ def vectorize(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop(*SCRATCH)
 
 
+def reloaded(model, spark: SparkSession):
+    """The model written to the shared folder and read back.
+
+    A freshly fitted model carries its training summary and with it the session, which cannot always be shipped
+    to tasks; the stored model holds the coefficients only.
+    """
+    path = scratch_path(spark, "fitted")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def fit_text_classifier(df: DataFrame, label: str, reg: float = 2e-6, max_iter: int = 30) -> LogisticRegressionModel:
-    return LogisticRegression(
+    fitted = LogisticRegression(
         featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter, probabilityCol="__p",
         rawPredictionCol="__raw", predictionCol="__pred",
     ).fit(df)
+    return reloaded(fitted, df.sparkSession)
 
 
 def positive_probability(model: Transformer, df: DataFrame, out: str) -> DataFrame:
@@ -158,7 +174,7 @@ def fit_semantic_space(
 def fit_stacker(df: DataFrame, label: str, features: Sequence[str] = STACK_FEATURES) -> PipelineModel:
     """Logistic model on the component scores with unit inverse regularisation strength."""
     n = df.count()
-    return Pipeline(
+    fitted = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="__stack"),
             LogisticRegression(
@@ -167,6 +183,7 @@ def fit_stacker(df: DataFrame, label: str, features: Sequence[str] = STACK_FEATU
             ),
         ]
     ).fit(df)
+    return reloaded(fitted, df.sparkSession)
 
 
 @dataclass
