@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,4 +108,6 @@ def iso_country_table(spark: SparkSession, extras: Mapping[str, str] = EXTRA_ISO
     locale = spark._jvm.java.util.Locale
     codes = {c: locale("", c).getISO3Country() for c in locale.getISOCountries()}
     codes.update({k: v for k, v in extras.items() if k not in codes})
-    return spark.createDataFrame(sorted(codes.items()), "iso2 string, iso3 string")
+    # From an Arrow table the rows become a local relation of known size, which joins can broadcast by themselves.
+    iso2, iso3 = zip(*sorted(codes.items()))
+    return spark.createDataFrame(pa.table({"iso2": list(iso2), "iso3": list(iso3)}))

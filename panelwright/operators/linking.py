@@ -161,8 +161,9 @@ def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
 def link_fuzzy(firms: DataFrame, registry: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Best registry names per distinct firm name, expanded to all registry rows of those names."""
-    left = firms.select(F.col("firm_name_norm").alias("a")).where(F.col("a") != "").distinct()
-    right = registry.select(F.col("sec_name_norm").alias("b")).where(F.col("b") != "").distinct()
+    # Both name lists feed several branches of the join, so they are cleaned and written once.
+    left = pinned(firms.select(F.col("firm_name_norm").alias("a")).where(F.col("a") != "").distinct())
+    right = pinned(registry.select(F.col("sec_name_norm").alias("b")).where(F.col("b") != "").distinct())
     pairs = fuzzy_names(left, right, config.fuzzy_threshold)
     top = top_k_per_key(pairs, ["a"], [F.desc("score"), F.col("b")], config.fuzzy_limit, "__rank")
     return top.join(registry, top["b"] == registry["sec_name_norm"]).select(

@@ -118,7 +118,7 @@ def quantiles(
     the row count. Others are sorted across the cluster and only the two neighbouring rows are kept.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if _buffered(rows, "__v", max_buffered):
+    if max_buffered > 0 and _buffered(rows, "__v", max_buffered):
         points = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]))
         return rows.groupBy(*by).agg(points.alias("__q")).select(
             *by, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]

@@ -12,6 +12,7 @@ from ..functions.numbers import log_plus1, safe_ratio
 from ..functions.text import as_col
 from ..operators import aggregates, edges, ranking
 from ..operators.joins import semi_join_universe, star_left_join, year_or_mode_join
+from ..session import pinned
 
 KEY, YEAR = "patent_id", "app_year"
 
@@ -75,10 +76,11 @@ def citing_sizes(
 def patent_variables(x: DerivedInputs) -> DataFrame:
     """One row per item of the universe with all derived variables."""
     u = x.universe
-    years = aggregates.app_year_map(x.applications, KEY, "filing_date")
+    # The year map and the distinct edges feed most of the branches below; they are written once.
+    years = pinned(aggregates.app_year_map(x.applications, KEY, "filing_date"))
     citing_years = years.select(F.col(KEY).alias("citing_patent_id"), YEAR)
     cited = semi_join_universe(x.citations, u, KEY)
-    pairs = edges.distinct_edges(cited, KEY, "citing_patent_id")
+    pairs = pinned(edges.distinct_edges(cited, KEY, "citing_patent_id"))
     owners = ranking.best_owner(x.owners, KEY, "gvkey", YEAR)
     sizes = citing_sizes(edges.distinct_citing(pairs, "citing_patent_id"), years, owners, x.firm_year)
     citing_classes = x.current_classes.select(F.col(KEY).alias("citing_patent_id"), "cpc_subclass")

@@ -120,3 +120,16 @@ def test_concentration_curve_ends_at_one(skewed):
     want = pdf.groupby("k")["v"].sum().sort_values(ascending=False)
     assert got["cumulative_share"].tolist() == pytest.approx((want.cumsum() / want.sum()).tolist())
     assert got["k"].iloc[0] == want.index[0]
+
+
+def test_summary_stats_both_ways(skewed):
+    df, pdf = skewed
+    wide = df.withColumn("none", F.lit(None).cast("double"))
+    for limit in (0, 10**6):
+        got = describe.summary_stats(wide, ["v", "y", "none"], {"v": "Value"}, max_buffered=limit).toPandas().set_index("variable")
+        assert sorted(got.index) == ["Value", "y"]
+        for name, column in (("Value", "v"), ("y", "y")):
+            s = pdf[column]
+            want = [len(s), s.mean(), s.std(), *s.quantile([0.1, 0.25, 0.5, 0.75, 0.9]), s.min(), s.max()]
+            have = got.loc[name, ["n", "mean", "sd", "p10", "p25", "median", "p75", "p90", "min", "max"]]
+            assert np.allclose(have.to_numpy(float), want)
