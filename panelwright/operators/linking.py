@@ -25,6 +25,8 @@ TOKEN_SORT_WEIGHT = 0.95
 
 REGISTRY_COLUMNS = ("cik", "ticker", "sec_name", "exchange")
 LONGEST_CHECKED_NAME = 4096
+# A gram held by more names than this is spread over several join keys.
+NAMES_PER_TASK = 5_000
 
 
 @dataclass(frozen=True)
@@ -111,7 +113,7 @@ def _rarest(grams: DataFrame, frequency: DataFrame, name: str, q: int) -> DataFr
         F.array_sort(F.collect_list(F.struct("freq", "gram", "at"))).alias("sorted"),
     )
     prefix = F.slice("sorted", 1, F.lit(q) * F.col("budget") + 1)
-    return listed.select(name, F.inline(prefix)).drop("freq")
+    return listed.select(name, F.inline(prefix)).withColumn("parts", F.expr(f"int(freq div {NAMES_PER_TASK}) + 1"))
 
 
 def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -129,11 +131,19 @@ def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
         return spread.join(right.withColumn("n", F.length("b")), "n").select("a", "b")
     grams_a, grams_b = _grams(left, "a", q, threshold), _grams(right, "b", q, threshold)
     frequency = grams_a.select("gram").unionAll(grams_b.select("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
-    pre_a = _rarest(grams_a, frequency, "a", q).withColumnRenamed("at", "at_a")
-    pre_b = _rarest(grams_b, frequency, "b", q).withColumnRenamed("at", "at_b")
+    # A frequent gram is split: each left name goes to one of its parts, right names go to all of them.
+    # Both sides read the number of parts from the same frequency. The stated partition count keeps the growth
+    # of the join out of few tasks.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part_of = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+    pre_a = _rarest(grams_a, frequency, "a", q).select("a", "gram", F.col("at").alias("at_a"), part_of.alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    pre_b = _rarest(grams_b, frequency, "b", q).select("b", "gram", F.col("at").alias("at_b"), every.alias("part"))
+    keys = ["gram", "part"]
     shift = F.lit(1 - threshold) * longest + 1e-9
     near = F.abs(F.col("at_a") - F.col("at_b")) <= shift
-    return pre_a.join(pre_b, "gram").where(fits & near).select("a", "b")
+    joined = pre_a.repartition(tasks, *keys).join(pre_b.repartition(tasks, *keys), keys)
+    return joined.where(fits & near).select("a", "b")
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -194,7 +204,8 @@ def _ticker_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
     parts = int(firms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hinted = firms.select("firm_name_norm", "ticker_hint").where(F.col("ticker_hint") != "").distinct()
     # Few profiles meet many names: a stated partition count keeps that growth out of one task.
-    hinted = hinted.withColumn("__fs", sorted_tokens("firm_name_norm")).repartition(parts, "firm_name_norm", "ticker_hint")
+    spread = F.xxhash64("firm_name_norm", "ticker_hint")
+    hinted = hinted.withColumn("__fs", sorted_tokens("firm_name_norm")).repartition(parts, spread)
     listed = registry.select("ticker", "sec_name_norm").distinct().withColumn("__rs", sorted_tokens("sec_name_norm"))
     plain = similarity(F.col("firm_name_norm"), F.col("sec_name_norm"))
     swapped = F.lit(TOKEN_SORT_WEIGHT) * similarity(F.col("__fs"), F.col("__rs"))

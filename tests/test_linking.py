@@ -36,8 +36,9 @@ def words(rng, n):
     return sorted(x for x in out if x)
 
 
-@pytest.mark.parametrize("threshold", [0.95, 0.86, 0.8, 0.7, 0.5])
-def test_fuzzy_join_loses_nothing(spark, threshold):
+@pytest.mark.parametrize(("threshold", "per_task"), [(0.95, 5000), (0.86, 5000), (0.86, 3), (0.8, 3), (0.7, 5000), (0.5, 5000)])
+def test_fuzzy_join_loses_nothing(spark, monkeypatch, threshold, per_task):
+    monkeypatch.setattr(linking, "NAMES_PER_TASK", per_task)
     rng = random.Random(int(threshold * 100))
     a, b = words(rng, 90), words(rng, 90)
     left, right = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
