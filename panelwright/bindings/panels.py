@@ -141,6 +141,8 @@ DERIVED_SQL = f"""
     FROM u LEFT JOIN e USING (patent_id) LEFT JOIN gi USING (patent_id) LEFT JOIN ref USING (patent_id) LEFT JOIN fwd USING (patent_id)
     LEFT JOIN br USING (patent_id) LEFT JOIN sm USING (patent_id) LEFT JOIN ahead USING (patent_id) LEFT JOIN iv USING (patent_id)
 """
+# The same without rounding, for tables built on top of it.
+DERIVED_RAW_SQL = DERIVED_SQL.replace("round(benchmark_score, 9)", "benchmark_score").replace("round(ln(1 + f10), 9)", "ln(1 + f10)")
 DERIVED_COLUMNS = [
     "patent_id", "app_year", "benchmark_score", "is_publicly_funded", "other_reference_count", "science_reference_count",
     "forward_citation_count_all", "forward_citation_count_5y", "forward_citation_count_10y", "forward_citation_examiner_10y",
@@ -207,7 +209,7 @@ def _derived_variables(t: Tables) -> DataFrame:
            round(avg(d.science_reference_count / nullif(d.other_reference_count, 0)), 8) AS science_reference_share_mean,
            round(avg(d.ln_forward_citation_count_10y_plus1), 7) AS ln_forward_citation_10y_plus1_mean,
            round(avg(d.years_ahead_of_cpc_intro), 8) AS years_ahead_cpc_mean
-    FROM ({DERIVED_SQL}) d JOIN ({ITEMS}) u USING (patent_id) GROUP BY 1, 2
+    FROM ({DERIVED_RAW_SQL}) d JOIN ({ITEMS}) u USING (patent_id) GROUP BY 1, 2
     """,
 )
 def _derived_country_years(t: Tables) -> DataFrame:
