@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import ISO3, map_codes
 from ..functions.numbers import to_year
-from ..functions.text import as_col, normalize_country_name, null_if_blank
+from ..functions.text import normalize_country_name
 from .ranking import keep_best
 
 
@@ -186,7 +186,3 @@ def variant_inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str], v
 
 def threshold_flag(df: DataFrame, value: str, threshold: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(value) >= F.col(threshold), 1).otherwise(0))
-
-
-def clean_key(value: str) -> Column:
-    return F.upper(null_if_blank(as_col(value).cast("string")))

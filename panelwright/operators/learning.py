@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import flag_and_confidence
 from ..functions.numbers import sigmoid
-from ..functions.text import as_col
 from ..session import pinned, scratch_path
 from .describe import id_hash
 from .ranking import grouped_rank, running_totals
@@ -353,7 +352,3 @@ def fit_evidence_model(
         "metadata_threshold": limits["metadata"],
     }
     return model, comparison
-
-
-def as_label(column: str) -> Column:
-    return as_col(column).cast("double")

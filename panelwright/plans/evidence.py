@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.evidence import TEXT_PATTERNS, evidence_features, model_text
 from ..operators.aggregates import country_year_scores
@@ -49,4 +48,5 @@ def country_year_variants(scored: DataFrame, iso_map: DataFrame) -> dict[str, Da
 
 
 def merge_into_panel(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return panel.join(benchmark, ["iso3c", "year"], "left").withColumn("has_benchmark", F.col("pe_patent_count").isNotNull())
+    """The panel with the benchmark measures where they exist."""
+    return panel.join(benchmark, ["iso3c", "year"], "left")

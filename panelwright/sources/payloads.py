@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import bucket_industry_code, numeric_with_commas
 from ..functions.numbers import parse_int
-from ..functions.text import compact_name, normalize_country_name, normalize_name, null_if_blank, pad_id, slugify
+from ..functions.text import compact_name, normalize_country_name, normalize_name, pad_id, slugify
 from ..operators.aggregates import ANNUAL_FORMS
 from ..operators.ranking import keep_best
 
@@ -256,7 +256,3 @@ def stack_indicators(
         return F.min_by(value, F.when(here, F.struct(*order))).alias(name)
 
     return long.groupBy(*keys).agg(*[first(i) for i in indicators])
-
-
-def blank_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: null_if_blank(c) for c in columns})
