@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def pieces_of(batch: pa.RecordBatch, size: int = 8 << 20, name: str = "text") ->
     """The batch in slices of about ``size`` bytes of text, so that a slice of long texts has few rows."""
     column = batch.column(batch.schema.get_field_index(name))
     start = total = 0
-    for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
         if i > start and total + (n or 0) > size:
             yield batch.slice(start, i - start)
             start, total = i, 0
