@@ -105,7 +105,7 @@ def pack_documents(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = once(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        ids = once("word ids", tokenizer, lambda: WordIds(tokenizer))
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in pieces_of(batch):

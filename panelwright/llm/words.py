@@ -80,11 +80,11 @@ def per_text(
 _SHARED: dict = {}
 
 
-def once(key: tuple, build: Callable):
-    """A value kept in the Python worker across tasks."""
-    if key not in _SHARED:
-        _SHARED[key] = build()
-    return _SHARED[key]
+def once(slot: str, version, build: Callable):
+    """A value kept in the Python worker across tasks; another version takes its place."""
+    if slot not in _SHARED or _SHARED[slot][0] != version:
+        _SHARED[slot] = (version, build())
+    return _SHARED[slot][1]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
