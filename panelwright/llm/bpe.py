@@ -61,10 +61,12 @@ WITH RECURSIVE step AS (
      SELECT *, lag(pick) OVER (PARTITION BY w ORDER BY nth) AS swallowed FROM picks)
    SELECT w, pos, CASE WHEN pick THEN merged ELSE tok END, k + 1 FROM kept WHERE NOT coalesce(swallowed, false)))
 """
-RESULT = """
-SELECT list(e.tok ORDER BY e.pos) AS ids, string_agg(hex(v.bytes), '' ORDER BY e.pos) AS decoded
-FROM (SELECT *, max(k) OVER (PARTITION BY w) AS last FROM step) e JOIN vocabulary v ON v.tok = e.tok
-WHERE e.k = e.last GROUP BY e.w ORDER BY e.w
+LAST_STEP = """
+SELECT s.w, s.pos, s.tok FROM step s JOIN (SELECT w, max(k) AS k FROM step GROUP BY w) l ON l.w = s.w AND l.k = s.k
+ORDER BY s.pos
+"""
+DECODE = """
+SELECT string_agg(v.shown, '' ORDER BY c.pos) FROM coded c JOIN vocabulary v ON v.tok = c.tok GROUP BY c.w ORDER BY c.w
 """
 
 
@@ -91,7 +93,7 @@ class ByteMerges:
         pair, merged = zip(*joins, strict=True) if joins else ((), ())
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self._load("merges", pair=pa.array(pair, pa.int64()), merged=pa.array(merged, pa.int32()))
-        self._load("vocabulary", tok=pa.array(ranks.values(), pa.int32()), bytes=pa.array(ranks, pa.binary()))
+        self._load("vocabulary", tok=pa.array(ranks.values(), pa.int32()), shown=pa.array([t.hex() for t in ranks]))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
         self.tokens = WordCache(self._encode)
@@ -121,12 +123,12 @@ class ByteMerges:
             pos=pa.array(np.arange(sizes.sum(), dtype=np.int32)),
             tok=pa.array(self.single[np.frombuffer(b"".join(words), np.uint8)]),
         )
-        found = self.con.sql((EQUAL_PAIRS if long else ONE_PAIR) + RESULT).to_arrow_table()
-        lists = found.column("ids").combine_chunks()
-        flat = lists.values.to_numpy().astype("<i4").tobytes()
-        ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
-        decoded = found.column("decoded").to_pylist()
-        return ((flat[a:b], bytes.fromhex(d)) for a, b, d in zip(ends, ends[1:], decoded, strict=False))
+        self.con.execute(f"CREATE OR REPLACE TEMP TABLE coded AS {EQUAL_PAIRS if long else ONE_PAIR}{LAST_STEP}")
+        coded = self.con.execute("SELECT w, tok FROM coded").fetchnumpy()
+        flat = coded["tok"].astype("<i4").tobytes()
+        ends = (4 * np.searchsorted(coded["w"], np.arange(len(words) + 1))).tolist()
+        decoded = self.con.execute(DECODE).fetchall()
+        return ((flat[a:b], bytes.fromhex(d)) for a, b, (d,) in zip(ends, ends[1:], decoded, strict=False))
 
     def _pieces(self, pieces: list[str]) -> Iterable[tuple[bytes, bytes]]:
         split = [self.split(p) for p in pieces]

@@ -11,7 +11,13 @@ from .bpe import encode_and_decode
 from .counts import token_counts
 from .fertility import judge
 from .language import fit_languages, held_out, predict_languages
+from .near import near_duplicates
+from .nearest import search
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
+from .repeats import remove_repeats
+from .toxicity import fit_toxicity, score_toxicity
+from .trees import held_out as held_out_fifth
 from .words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +37,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -45,16 +63,47 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        held_out_fifth().alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return _scored(score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels"))), 0.5)
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return _scored(score_quality(docs, fit_quality(docs, table(spark, folder, "labels"))), 0.3)
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+
+
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))

@@ -16,7 +16,7 @@ CACHE_ENTRIES = 400_000
 
 
 class WordCache(dict):
-    """Values of words. Missing words of a batch are computed together; a full cache is emptied first."""
+    """Values of words. Missing words of a batch are computed together; a full cache keeps only the batch's own words."""
 
     def __init__(self, compute: Callable[[list], Iterable], limit: int = CACHE_ENTRIES):
         super().__init__()
@@ -25,8 +25,9 @@ class WordCache(dict):
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self]
         if new and len(self) + len(new) > self.limit:
-            new = list(words)
+            kept = {w: self[w] for w in words if w in self}
             self.clear()
+            self.update(kept)
         self.update(zip(new, self.compute(new), strict=True))
 
 
