@@ -1,8 +1,8 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
-The lexicon is learned: words that labelled toxic documents have far more often than others. Features are its densities,
-also after undoing look-alike spellings, its nearness to words in the second person, capitals, punctuation and
-obfuscation rates.
+The lexicon is learned: words and beginnings of words that labelled toxic documents have far more often than others,
+weighted by their log odds. Features are its densities, also after undoing look-alike spellings, its nearness to words
+in the second person, capitals, punctuation and obfuscation rates.
 """
 
 from __future__ import annotations
@@ -31,16 +31,19 @@ SECOND_PERSON = frozenset(
 #: Characters that stand for letters in disguised spellings (fixed values).
 LOOK_ALIKES = str.maketrans("013457@$!8+", "oieastasibt")
 REACH = 5
-LEXICON, DISGUISED, SECOND, SHOUTED, ODD = 1, 2, 4, 8, 16
+#: Lengths of the beginnings that the lexicon may hold; a whole word is marked by an end sign.
+STEMS, END = (4, 5, 6), "$"
+LEXICON, DISGUISED, SECOND, SHOUTED, ODD, WEIGHT = 1, 2, 4, 8, 16, 8
 FEATURES = (
-    "log_words", "lexicon", "log_lexicon", "disguised", "lexicon_any", "distinct_lexicon", "near_second", "near_share", "second",
-    "shouted", "capitals", "exclamations", "questions", "punctuation", "odd_words", "digits",
+    "log_words", "lexicon", "log_lexicon", "disguised", "weight", "mean_weight", "largest_weight", "distinct_lexicon",
+    "near_second", "near_share", "second", "shouted", "capitals", "exclamations", "questions", "punctuation", "odd_words",
+    "digits",
 )
 
 
 @dataclass
 class Toxicity:
-    lexicon: frozenset[str]
+    lexicon: dict[str, float]
     trees: Trees
     points: np.ndarray
     rates: np.ndarray
@@ -50,27 +53,37 @@ class Toxicity:
         return np.interp(margin, self.points, self.rates) if len(self.points) else self.trees.probability(x)
 
 
+def entries(word: str) -> list[str]:
+    """What the lexicon may hold of a word in lower case."""
+    return [*(word[:n] for n in STEMS if len(word) >= n), word + END]
+
+
 def undisguised(word: str) -> str:
     return "".join(LETTERS.findall(word.translate(LOOK_ALIKES)))
 
 
 class WordMarks:
-    """Bits of a word: in the lexicon, there only when undisguised, second person, shouted, oddly written."""
+    """A word's bits (in the lexicon, there only when undisguised, second person, shouted, oddly written) and its weight."""
 
-    def __init__(self, lexicon: frozenset[str]):
+    def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, Memo(self.mark, CACHE_ENTRIES)
 
+    def weight(self, parts: list[str]) -> float:
+        return max((self.lexicon.get(e, 0.0) for p in parts for e in entries(p)), default=0.0)
+
     def mark(self, word: bytes) -> int:
         text = word.decode()
         low = text.lower()
         parts = LETTERS.findall(low)
-        found = any(p in self.lexicon for p in parts)
         core = low.strip(".,;:!?\"'()")
-        odd = len(parts) > 0 and not core.isalpha() and any(not c.isalpha() and c not in "'-’" for c in core)
-        hidden = not found and odd and undisguised(core) in self.lexicon
+        odd = len(parts) > 0 and any(not c.isalpha() and c not in "'-’" for c in core)
+        weight, hidden = self.weight(parts), 0.0
+        if odd and not weight:
+            weight = hidden = self.weight([undisguised(core)])
         shouted = len(text) > 1 and text.isupper()
         second = any(p in SECOND_PERSON for p in parts)
-        return LEXICON * found | DISGUISED * hidden | SECOND * second | SHOUTED * shouted | ODD * odd
+        bits = DISGUISED * (hidden > 0) | LEXICON * (weight > hidden) | SECOND * second | SHOUTED * shouted | ODD * odd
+        return bits | round(weight * 256) << WEIGHT
 
     def features(self, text: bytes) -> list[float]:
         words = text.split()
@@ -78,8 +91,8 @@ class WordMarks:
         if not n:
             return [0.0] * len(FEATURES)
         marks = np.fromiter(map(self.known.__getitem__, words), np.int64, n)
-        hit = (marks & (LEXICON | DISGUISED)) > 0
-        places = np.flatnonzero(hit)
+        places = np.flatnonzero(marks & (LEXICON | DISGUISED))
+        weights = (marks >> WEIGHT) / 256
         near = 0
         if len(places):
             second = np.concatenate([[0], np.cumsum((marks & SECOND) > 0)])
@@ -93,7 +106,9 @@ class WordMarks:
             rate(LEXICON),
             math.log1p(len(places)),
             rate(DISGUISED),
-            float(len(places) > 0),
+            float(weights.sum()),
+            float(weights.mean()),
+            float(weights.max()),
             float(len({words[i].lower() for i in places.tolist()})),
             near / n,
             near / len(places) if len(places) else 0.0,
@@ -108,32 +123,32 @@ class WordMarks:
         ]
 
 
-def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_odds: float = 4.0) -> frozenset[str]:
-    """Words whose document rate among toxic texts is at least ``least_odds`` times that among the others.
+def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_odds: float = 4.0) -> dict[str, float]:
+    """Entries whose document rate among toxic texts is at least ``least_odds`` times that among the others, with log odds.
 
-    A word counts only if at least ``least_docs`` toxic texts and half a per cent of them have it, and the difference
+    An entry counts only if at least ``least_docs`` toxic texts and half a per cent of them have it, and the difference
     exceeds four standard errors. The sample is bounded, and so is what comes to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch):
-                seen = Counter()
+                seen = (Counter(), Counter())
                 for text, y in zip(texts_of(part), part.column(1).to_pylist(), strict=True):
-                    words = {p for w in set(text.split()) for p in LETTERS.findall(w.decode().lower())}
-                    seen.update((w, y) for w in words)
+                    words = set(LETTERS.findall(text.decode().lower()))
+                    seen[y].update({e for w in words for e in entries(w)})
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "word": pa.array([k[0] for k in seen], pa.string()),
-                        "y": pa.array([k[1] for k in seen], pa.int32()),
-                        "n": pa.array(seen.values(), pa.int64()),
+                        "word": pa.array([*seen[0], *seen[1]], pa.string()),
+                        "y": pa.array([0] * len(seen[0]) + [1] * len(seen[1]), pa.int32()),
+                        "n": pa.array([*seen[0].values(), *seen[1].values()], pa.int64()),
                     }
                 )
 
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
-        return frozenset()
+        return {}
     words = sample.select("text", "y").mapInArrow(run, "word string, y int, n long").groupBy("word")
     counted = words.agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"),
@@ -144,10 +159,10 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 5, least_odds: float = 4.
     chosen = counted.where(
         (F.col("a") >= max(least_docs, toxic / 200)) & (p >= least_odds * q) & (p - q >= 4 * error)
     )
-    return frozenset(r["word"] for r in chosen.select("word").collect())
+    return {r["word"]: r["odds"] for r in chosen.select("word", F.log(p / q).alias("odds")).collect()}
 
 
-def _features(docs: DataFrame, lexicon: frozenset[str], columns: tuple[str, ...]) -> DataFrame:
+def _features(docs: DataFrame, lexicon: dict[str, float], columns: tuple[str, ...]) -> DataFrame:
     version = uuid.uuid4().hex
 
     def make():
