@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import once, per_text, texts_of
+from .words import beside, once, per_text, texts_of
 
 SPACES, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 CACHED_WORDS = 500_000
@@ -111,12 +111,8 @@ def script_of(text: bytes) -> str:
     return best if found[best] else ""
 
 
-def measures(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
-    """The base counts, ``n_tokens``, ``n_byte_tokens``, ``entropy`` and ``script`` of each whole text, and its ``lang``.
-
-    Words are runs without ASCII white space. Null and empty texts count as having no words. Rows that share a key keep
-    their own; an empty table gives no rows.
-    """
+def _measuring(vocabulary: str):
+    """What a task needs to measure batches of (doc_id, text, lang)."""
 
     def make():
         state = once("fertility", vocabulary, lambda: Fertility(vocabulary))
@@ -154,10 +150,7 @@ def measures(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame
 
         return one
 
-    lang = "cast(lang AS STRING)" if "lang" in docs.columns else "cast(NULL AS STRING)"
-    rows = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text", f"{lang} AS lang")
-    schema = "doc_id long, lang string, " + ", ".join(f"{n} long" for n in NAMES[:7]) + ", entropy double, script string"
-    return per_text(rows, ("doc_id", "text", "lang"), schema, make)
+    return make
 
 
 NAMES = (
@@ -166,25 +159,54 @@ NAMES = (
 )
 
 
-def in_band(bands: Mapping[str, Band]) -> Column:
+SCHEMA = "doc_id long, lang string, " + ", ".join(f"{n} long" for n in NAMES[:7]) + ", entropy double, script string"
+
+
+def _inputs(docs: DataFrame, key: str) -> list[str]:
+    lang = "cast(lang AS STRING)" if "lang" in docs.columns else "cast(NULL AS STRING)"
+    return [f"cast(`{key}` AS BIGINT)", "cast(text AS STRING)", lang]
+
+
+def measures(docs: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
+    """The base counts, ``n_tokens``, ``n_byte_tokens``, ``entropy`` and ``script`` of each whole text, and its ``lang``.
+
+    Words are runs without ASCII white space. Null and empty texts count as having no words. Rows that share a key keep
+    their own; an empty table gives no rows; other columns are not read.
+    """
+    names = ("doc_id", "text", "lang")
+    rows = docs.selectExpr(*[f"{e} AS {n}" for e, n in zip(_inputs(docs, key), names, strict=True)])
+    return per_text(rows, names, SCHEMA, _measuring(vocabulary))
+
+
+def base_failed(at: str = "") -> Column:
+    words = F.col(f"{at}n_words")
+    return (words < 50) | (100 * F.col(f"{at}n_repeat_words") > 50 * words)
+
+
+def in_band(bands: Mapping[str, Band], at: str = "") -> Column:
     """Whether the measured columns lie in the band of ``lang``, else of ``script``, else of ""."""
-    per_token = F.col("word_chars") / F.col("n_tokens")
+    tokens = F.col(f"{at}n_tokens")
     verdict = F.lit(False)
     for by in ("", "script", "lang"):
         for name, b in bands.items():
             if bool(name) == bool(by):
                 inside = (
-                    per_token.between(b.least_chars, b.most_chars)
-                    & (F.col("n_byte_tokens") <= b.most_bytes * F.col("n_tokens"))
-                    & (F.col("entropy") >= b.least_entropy)
+                    (F.col(f"{at}word_chars") / tokens).between(b.least_chars, b.most_chars)
+                    & (F.col(f"{at}n_byte_tokens") <= b.most_bytes * tokens)
+                    & (F.col(f"{at}entropy") >= b.least_entropy)
                 )
-                verdict = F.when(F.col(by) == name, inside).otherwise(verdict) if by else inside
-    return F.coalesce(verdict, F.lit(False))
+                verdict = F.when(F.col(f"{at}{by}") == name, inside).otherwise(verdict) if by else inside
+    # Texts without tokens have failed the base rules before.
+    return F.coalesce(F.when(tokens > 0, verdict), F.lit(False))
 
 
 def judge(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS, key: str = "doc_id") -> DataFrame:
     """Measures with ``base_failed`` and ``kept``."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs, vocabulary, key).withColumn("base_failed", base).withColumn(
-        "kept", ~F.col("base_failed") & in_band(bands)
-    )
+    rows = measures(docs, vocabulary, key).withColumn("base_failed", base_failed())
+    return rows.withColumn("kept", ~F.col("base_failed") & in_band(bands))
+
+
+def accepted(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    found = beside(docs, _inputs(docs, key), SCHEMA, _measuring(vocabulary), "_fertility")
+    return found.where(~base_failed("_fertility.") & in_band(bands, "_fertility.")).select(*docs.columns)

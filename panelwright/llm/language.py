@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import CACHE_ENTRIES, once, per_text, pieces_of, remainder, texts_of
+from .words import CACHE_ENTRIES, beside, once, per_text, pieces_of, remainder, texts_of
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
@@ -132,15 +132,9 @@ def fit_languages(
     return LanguageModel(languages, odds)
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, weight: int = 20, key: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of each whole text.
-
-    ``und`` with score 0 for a null text, a text without letters, or a model without languages. The score is the share
-    of the best language after ``weight`` words of the text's mean log odds. Ties go to the first language by name.
-    """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)  # bounded by the training sample
-
+def _predicting(docs: DataFrame, model: LanguageModel, weight: int):
+    """What a task needs to predict batches of (doc_id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     version = uuid.uuid4().hex
 
     def make() -> Callable[[pa.RecordBatch], dict]:
@@ -168,8 +162,31 @@ def predict_languages(docs: DataFrame, model: LanguageModel, weight: int = 20, k
 
         return one
 
+    return make
+
+
+SCHEMA = "doc_id long, lang_pred string, score double"
+
+
+def predict_languages(docs: DataFrame, model: LanguageModel, weight: int = 20, key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` of each whole text.
+
+    ``und`` with score 0 for a null text, a text without letters, or a model without languages. The score is the share
+    of the best language after ``weight`` words of the text's mean log odds. Ties go to the first language by name.
+    Repeated keys keep their rows; an empty table gives none; other columns are not read.
+    """
     rows = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
-    return per_text(rows, ("doc_id", "text"), "doc_id long, lang_pred string, score double", make)
+    return per_text(rows, ("doc_id", "text"), SCHEMA, _predicting(docs, model, weight))
+
+
+def recognised(
+    docs: DataFrame, model: LanguageModel, least_score: float = 0.4, weight: int = 20, key: str = "doc_id"
+) -> DataFrame:
+    """The rows of ``docs`` in a language of the model, with all their columns."""
+    inputs = [f"cast(`{key}` AS BIGINT)", "cast(text AS STRING)"]
+    found = beside(docs, inputs, SCHEMA, _predicting(docs, model, weight), "_language")
+    good = (F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least_score)
+    return found.where(good).select(*docs.columns)
 
 
 def held_out(key: str = "doc_id", parts: int = 4, out: int = 2) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -78,6 +79,28 @@ def per_text(
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def beside(
+    docs: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], name: str
+) -> DataFrame:
+    """All columns of ``docs`` and a struct ``name`` of what ``make`` finds from the named SQL expressions; no shuffle."""
+    found = T._parse_datatype_string(schema)
+    inputs = {f"{name}_{i}": F.expr(c) for i, c in enumerate(columns)}
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in batches:
+            for part in pieces_of(batch, name=f"{name}_1"):
+                own = pa.RecordBatch.from_arrays(part.columns[width:], ["doc_id", "text", "lang"][: len(columns)])
+                made = one(own)
+                arrays = [made[f.name] for f in found.fields]
+                struct = pa.StructArray.from_arrays(arrays, [f.name for f in found.fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], struct], [*part.schema.names[:width], name])
+
+    out = T.StructType([*docs.schema.fields, T.StructField(name, found)])
+    return docs.select("*", *[e.alias(n) for n, e in inputs.items()]).mapInArrow(run, out)
+
+
 _SHARED: dict = {}
 
 
