@@ -45,10 +45,10 @@ class Band:
 
 #: Bands by language or script; "" holds for whatever has none of its own.
 BANDS: dict[str, Band] = {
-    "en": Band(1.75, 7.0, 0.05, 5.1),
-    "de": Band(1.85, 7.0, 0.05, 5.1),
-    "fr": Band(1.50, 7.0, 0.05, 5.1),
-    "es": Band(1.65, 7.0, 0.05, 5.1),
+    "en": Band(1.75, 7.0, 0.05, 4.5),
+    "de": Band(1.85, 7.0, 0.05, 4.5),
+    "fr": Band(1.50, 7.0, 0.05, 4.5),
+    "es": Band(1.65, 7.0, 0.05, 4.5),
     "latin": Band(1.4, 7.0, 0.10, 4.5),
     "greek": Band(0.6, 4.0, 0.30, 3.0),
     "cyrillic": Band(1.0, 6.0, 0.20, 3.5),

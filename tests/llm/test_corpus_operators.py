@@ -171,7 +171,7 @@ def test_quality_rules_count_as_defined(docs, empty):
 
 
 def test_bands_go_by_language_then_script(spark):
-    good = " ".join(f"{a} {b} walks{i} along" for i, (a, b) in enumerate(zip(WORDS * 5, WORDS[::-1] * 5, strict=True)))
+    good = " ".join(f"stone{i} walks{i * 7} along{i * 3}" for i in range(40))
     df = spark.createDataFrame([(1, good, "xx"), (2, good, None)], "doc_id long, text string, lang string")
     path, wide, narrow = public.path("piece_bpe_32k.model"), fertility.Band(0, 99, 1, 0), fertility.Band(50, 99, 1, 0)
     assert by_id(fertility.judge(df, path, {"xx": narrow, "": wide}), "kept") == {1: (False,), 2: (True,)}
@@ -385,7 +385,7 @@ def test_classifiers_on_held_out_rows(labelled, empty):
 def test_disguised_spellings_and_second_person_count():
     marks = toxicity.WordMarks({"snivel$": 3.0})
     x = dict(zip(toxicity.FEATURES, marks.features(b"you are a sn1vel and SNIVEL, they say"), strict=True))
-    assert x["disguised"] == 1 / 8 and x["lexicon"] == 1 / 8 and x["near_share"] == 0.5 and x["shouted"] == 1 / 8
+    assert x["disguised"] == 1 / 8 and x["lexicon"] == 1 / 8 and x["near_share"] == 1.0 and x["shouted"] == 1 / 8
     assert marks.features(b"") == [0.0] * len(toxicity.FEATURES)
 
 
