@@ -2,9 +2,10 @@
 
 A shingle's hash is permuted once (sigma); all signature coordinates then come from one second permutation (pi) applied
 to circularly shifted values. Texts with equal shingle sets form a class first; classes are linked through buckets of
-equal bands. In a bucket every class meets the smallest one, never all others. Links are confirmed on full shingle sets,
-joined to components, and only buckets that still hold more than one component have their remaining pairs looked at,
-so no link between candidates is lost and no bucket is expanded into all its pairs.
+equal bands. In a bucket every class meets its most central one, never all others. Links are confirmed on full shingle
+sets and joined to components. Where a bucket still holds several components beside its centre, their classes are compared
+through their rarest shingles (prefix filtering with exact bounds), so no link between candidates is lost and no bucket is
+expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Memo, once, per_text, pieces_of, stored, texts_of
@@ -22,8 +23,6 @@ from .words import Memo, once, per_text, pieces_of, stored, texts_of
 COORDINATES = 128
 #: Coordinates in a band: coarse bands miss a pair at 0.8 with probability 5e-8, fine ones bring the most similar together.
 BANDS = (4, 8)
-#: Least equal coordinates of a pair that is worth an exact check; a pair at 0.8 falls below with probability 1e-8.
-LEAST_EQUAL = 74
 _WORD, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint32(0xFFFF)
 
 
@@ -193,14 +192,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         "classes",
     )
     keys = band_keys(classes)
-    centres = stored(
-        keys.groupBy("key")
-        .agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("members"))
-        .where("members > 1"),
-        "centres",
-    )
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     # Only buckets with several classes matter from here on.
-    buckets = stored(keys.join(centres, "key").drop("members"), "buckets")
+    buckets = stored(keys.join(stored(shared, "shared"), "key"), "buckets")
+    weights = buckets.groupBy("class").agg(F.sum("members").alias("weight"))
+    centres = (
+        buckets.join(weights, "class")
+        .groupBy("key")
+        .agg(F.max(F.struct("weight", "class")).alias("centre"))
+        .select("key", F.col("centre.class").alias("centre"))
+    )
+    buckets = stored(buckets.drop("members").join(stored(centres, "centres"), "key"), "buckets")
     sizes = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"))
     stars = stored(
         buckets.where("class <> centre")
@@ -212,14 +214,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         "stars",
     )
     wanted = buckets.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    texts = stored(_texts(docs, wanted, size), "texts")
+    texts = stored(_texts(docs, wanted, size).dropDuplicates(["class"]), "texts")
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = stored(confirmed(best, texts, size, percent), "links")
-    for others in (_other_stars, _other_pairs):
-        labels = components(links)
-        pairs = others(stars, buckets, classes, labels, percent)
-        links = stored(links.union(confirmed(pairs, texts, size, percent)), "links")
+    labels = components(links)
+    pairs = _other_stars(stars, labels)
+    links = stored(links.union(confirmed(pairs, texts, size, percent)), "links")
+    labels = components(links)
+    pairs = _other_pairs(buckets, texts, labels, size, percent)
+    links = stored(links.union(confirmed(pairs, texts, size, percent)), "links")
     labels = components(links)
 
     placed = labelled(rows.drop("sig"), labels, "class", "label")
@@ -247,43 +251,62 @@ def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.mapInArrow(run, "class long, text string")
 
 
-def _other_stars(stars, buckets, classes, labels, percent) -> DataFrame:
+def _other_stars(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """The remaining pairs of a class and a bucket's centre, where both are in different components."""
     both = labelled(labelled(stars.select("a", "b"), labels, "a", "of_a"), labels, "b", "of_b")
     return both.where("of_a <> of_b").select("a", "b")
 
 
-def _other_pairs(stars, buckets, classes, labels, percent) -> DataFrame:
-    """Pairs of different components within a coarse bucket, each found at the first band that both share.
+def _other_pairs(buckets: DataFrame, texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar, among the classes of buckets that hold several.
 
-    The largest component of a bucket is not compared with itself: only the other classes look for partners.
+    Centres have met all others of their bucket. Of the rest, the largest component of a bucket is not compared with
+    itself: the other classes ask. Two sets of n and m shingles need an overlap of o = percent (n + m) / (100 + percent),
+    so with shingles ordered by rarity, their first common one has at least o shingles from it on in either set.
     """
-    placed = labelled(buckets.where(F.col("rows") == BANDS[0]), labels, "class", "label")
+    placed = labelled(buckets.where((F.col("rows") == BANDS[0]) & (F.col("class") != F.col("centre"))), labels, "class", "label")
     parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
-    leading = parts.groupBy("key").agg(
-        F.max_by("label", F.struct("members", "label")).alias("leading"), F.count(F.lit(1)).alias("parts")
+    leading = (
+        parts.groupBy("key")
+        .agg(F.max(F.struct("members", "label")).alias("leading"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("key", F.col("leading.label").alias("leading"))
     )
     open_ = stored(
-        placed.join(leading.where("parts > 1"), "key").select("key", "class", "n", "band", "label", "leading"), "open"
+        placed.join(leading, "key")
+        .groupBy("class", "n", "label")
+        .agg(F.max(F.col("label") != F.col("leading")).alias("asks")),
+        "open",
     )
-    sig = classes.select("class", "sig")
-    rows = stored(open_.join(sig, "class"), "open")
-    a = rows.where("label <> leading").select("key", "band", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "label", "sig")], "leading")
-    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "label", "sig")])
-    equal = "zip_with(sig_a, sig_b, (x, y) -> x = y)"
-    width = BANDS[0]
-    first = (
-        f"array_position(transform(sequence(0, {COORDINATES // width - 1}), "
-        f"j -> forall(slice({equal}, {width} * j + 1, {width}), z -> z)), true) = band + 1"
+    tokens = stored(_tokens(texts.join(open_.select("class"), "class", "left_semi"), size), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("classes"))
+    by_rarity = Window.partitionBy("class").orderBy("classes", "token")
+    ranked = tokens.join(counts, "token").withColumn("before", F.row_number().over(by_rarity) - 1)
+    prefix = stored(
+        ranked.where("classes > 1").join(open_, "class").where((F.col("n") - F.col("before")) * 100 >= F.col("n") * percent),
+        "prefixes",
     )
+    a = prefix.where("asks").select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "label", "before")])
+    b = prefix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "label", "before", "asks")])
+    needed = percent * (F.col("n_a") + F.col("n_b"))
     found = a.join(
         b,
-        (a["key"] == b["key"])
+        (a["token"] == b["token"])
         & (F.col("label_a") != F.col("label_b"))
-        & ((F.col("label_b") == F.col("leading")) | (F.col("class_a") < F.col("class_b")))
-        & may_link("n_a", "n_b", percent)
-        & F.expr(f"size(filter({equal}, z -> z)) >= {LEAST_EQUAL}")
-        & F.expr(first),
+        & (~F.col("asks_b") | (F.col("class_a") < F.col("class_b")))
+        & ((100 + percent) * (F.col("n_a") - F.col("before_a")) >= needed)
+        & ((100 + percent) * (F.col("n_b") - F.col("before_b")) >= needed),
     )
-    pairs = found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    return pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    return found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """One row for each shingle of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                s = shingle_set(text, size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cls)), pa.array(s)], ["class", "token"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, token long")
