@@ -113,18 +113,18 @@ AGENCY = """
 @query(
     "gov_org_profile",
     f"""
-    WITH g AS (SELECT user_id, nullif(trim(agency), '') AS a, lower(department) AS d FROM ({AGENCY})
-               WHERE user_id IN (SELECT c_custkey FROM customer)),
-    c AS (SELECT user_id, a, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY 1, 2),
-    m AS (SELECT user_id, a AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, a) AS rn FROM c) WHERE rn = 1)
-    SELECT g.user_id, count(DISTINCT a) AS gov_interest_org_count,
-           max(CASE WHEN d LIKE '%defense%' OR lower(coalesce(a, '')) IN ('army', 'navy', 'air force') THEN 1 ELSE 0 END) AS has_dod_funding,
-           max(CASE WHEN lower(coalesce(a, '')) LIKE '%nasa%' OR d LIKE '%nasa%' THEN 1 ELSE 0 END) AS has_nasa_funding,
-           max(CASE WHEN lower(coalesce(a, '')) LIKE '%health%' OR d LIKE '%health%' THEN 1 ELSE 0 END) AS has_hhs_funding,
-           max(CASE WHEN lower(coalesce(a, '')) LIKE '%energy%' OR d LIKE '%energy%' THEN 1 ELSE 0 END) AS has_doe_funding,
-           max(CASE WHEN lower(coalesce(a, '')) LIKE '%science foundation%' OR lower(coalesce(a, '')) = 'nsf' THEN 1 ELSE 0 END) AS has_nsf_funding,
-           max(m.top) AS top_funding_agency
-    FROM g LEFT JOIN m USING (user_id) GROUP BY 1
+    SELECT user_id, CAST(len(n) AS BIGINT) AS gov_interest_org_count,
+           CAST(list_contains(who, 'army') OR list_contains(who, 'navy') OR list_contains(who, 'air force')
+                OR list_bool_or(list_transform(departments, lambda x: contains(x, 'defense'))) AS INT) AS has_dod_funding,
+           CAST(list_bool_or(list_transform(who || departments, lambda x: contains(x, 'nasa'))) AS INT) AS has_nasa_funding,
+           CAST(list_bool_or(list_transform(who || departments, lambda x: contains(x, 'health'))) AS INT) AS has_hhs_funding,
+           CAST(list_bool_or(list_transform(who || departments, lambda x: contains(x, 'energy'))) AS INT) AS has_doe_funding,
+           CAST(list_contains(who, 'nsf') OR list_bool_or(list_transform(who, lambda x: contains(x, 'science foundation'))) AS INT)
+             AS has_nsf_funding,
+           list_sort(list_transform(n, lambda x: {{'minus': -CAST(x.value AS BIGINT), 'name': x.key}}))[1].name AS top_funding_agency
+    FROM (SELECT user_id, coalesce(map_entries(histogram(a) FILTER (WHERE a <> '')), []) AS n,
+                 list(DISTINCT lower(coalesce(a, ''))) AS who, list(DISTINCT coalesce(lower(department), '')) AS departments
+          FROM (SELECT *, trim(agency) AS a FROM ({AGENCY})) SEMI JOIN customer ON user_id = c_custkey GROUP BY user_id)
     """,
 )
 def _gov_org_profile(t: Tables) -> DataFrame:
@@ -132,13 +132,18 @@ def _gov_org_profile(t: Tables) -> DataFrame:
     return aggregates.gov_org_profile(t.sql(AGENCY), universe, "user_id", "agency", "department")
 
 
-FORWARD_SQL = """
-    SELECT u.patent_id, count(e.citing_id) AS forward_citation_count_all,
-           count(e.citing_id) FILTER (WHERE cy.app_year BETWEEN u.app_year AND u.app_year + 2) AS forward_citation_count_2y,
-           count(e.citing_id) FILTER (WHERE cy.app_year BETWEEN u.app_year AND u.app_year + 4) AS forward_citation_count_4y,
-           count(e.citing_id) FILTER (WHERE e.category = 'A' AND cy.app_year BETWEEN u.app_year AND u.app_year + 4) AS forward_citation_examiner_4y
-    FROM {cited} u LEFT JOIN {edges} e ON u.patent_id = e.patent_id LEFT JOIN {citing_year} cy ON e.citing_id = cy.citing_id
-    GROUP BY 1
+DELAYS = """
+    SELECT e.patent_id, e.citing_id, e.category, y.app_year - u.app_year AS delay
+    FROM {edges} e JOIN {cited} u USING (patent_id) LEFT JOIN {citing_year} y ON y.citing_id = e.citing_id
+"""
+FORWARD_SQL = f"""
+    WITH seen AS (SELECT patent_id, list(delay) AS delays, list(delay) FILTER (WHERE category = 'A') AS examined, count(citing_id) AS n
+                  FROM ({DELAYS}) GROUP BY patent_id)
+    SELECT patent_id, coalesce(n, 0) AS forward_citation_count_all,
+           coalesce(len(list_filter(delays, lambda x: x IN (0, 1, 2))), 0) AS forward_citation_count_2y,
+           coalesce(len(list_filter(delays, lambda x: x IN (0, 1, 2, 3, 4))), 0) AS forward_citation_count_4y,
+           coalesce(len(list_filter(examined, lambda x: x IN (0, 1, 2, 3, 4))), 0) AS forward_citation_examiner_4y
+    FROM (SELECT patent_id FROM {{cited}}) LEFT JOIN seen USING (patent_id)
 """
 
 
@@ -165,13 +170,12 @@ def _backward_citations(t: Tables) -> DataFrame:
 
 @query(
     "citation_breadth",
-    """
-    WITH fp AS (SELECT DISTINCT patent_id, citing_id FROM {edges})
-    SELECT u.patent_id,
-           count(DISTINCT CASE WHEN cy.app_year BETWEEN u.app_year AND u.app_year + 4 THEN substr(cc.subclass, 1, 4) END) AS citing_cpc4_count_4y,
-           count(DISTINCT CASE WHEN cy.app_year BETWEEN u.app_year AND u.app_year + 4 THEN cc.subclass END) AS citing_cpc_subclass_count_4y
-    FROM {cited} u LEFT JOIN fp ON u.patent_id = fp.patent_id LEFT JOIN {citing_year} cy ON fp.citing_id = cy.citing_id
-    LEFT JOIN {citing_class} cc ON fp.citing_id = cc.citing_id GROUP BY 1
+    f"""
+    WITH near AS (SELECT patent_id, list(DISTINCT subclass) AS found
+                  FROM ({DELAYS}) JOIN {{citing_class}} USING (citing_id) WHERE delay IN (0, 1, 2, 3, 4) GROUP BY patent_id)
+    SELECT c.patent_id, coalesce(len(list_distinct(list_transform(found, lambda x: left(x, 4)))), 0) AS citing_cpc4_count_4y,
+           coalesce(len(found), 0) AS citing_cpc_subclass_count_4y
+    FROM {{cited}} c LEFT JOIN near ON near.patent_id = c.patent_id
     """,
 )
 def _citation_breadth(t: Tables) -> DataFrame:
@@ -183,19 +187,18 @@ def _citation_breadth(t: Tables) -> DataFrame:
 
 @query(
     "small_firm_citations",
-    """
-    WITH fp AS (SELECT DISTINCT patent_id, citing_id FROM {edges}),
-    x AS (
-      SELECT u.patent_id,
-             count(DISTINCT CASE WHEN cy.app_year BETWEEN u.app_year AND u.app_year + 4 THEN fp.citing_id END) AS a,
-             count(DISTINCT CASE WHEN cy.app_year BETWEEN u.app_year AND u.app_year + 4 AND z.employees IS NOT NULL THEN fp.citing_id END) AS b,
-             count(DISTINCT CASE WHEN cy.app_year BETWEEN u.app_year AND u.app_year + 4 AND z.employees < 500 THEN fp.citing_id END) AS c
-      FROM {cited} u LEFT JOIN fp ON u.patent_id = fp.patent_id LEFT JOIN {citing_year} cy ON fp.citing_id = cy.citing_id
-      LEFT JOIN {citing_size} z ON fp.citing_id = z.citing_id GROUP BY 1)
-    SELECT patent_id, a AS citing_patents_4y, b AS citing_patents_with_size_4y, c AS citing_small_firm_patents_4y,
-           round(c / nullif(b, 0), 8) AS small_firm_citation_share_4y_linked,
-           round(b / nullif(a, 0), 8) AS small_firm_citation_size_coverage_4y
-    FROM x
+    f"""
+    WITH sized AS (SELECT patent_id, map(list(citing_id), list(employees)) AS size_of
+                   FROM (SELECT DISTINCT patent_id, citing_id, employees
+                         FROM ({DELAYS}) LEFT JOIN {{citing_size}} USING (citing_id) WHERE delay IN (0, 1, 2, 3, 4)) GROUP BY patent_id),
+    counted AS (SELECT patent_id, coalesce(cardinality(size_of), 0)::BIGINT AS every,
+                       coalesce(len(list_filter(map_values(size_of), lambda x: x IS NOT NULL)), 0) AS sized,
+                       coalesce(len(list_filter(map_values(size_of), lambda x: x < 500)), 0) AS small
+                FROM (SELECT patent_id FROM {{cited}}) LEFT JOIN sized USING (patent_id))
+    SELECT patent_id, every AS citing_patents_4y, sized AS citing_patents_with_size_4y, small AS citing_small_firm_patents_4y,
+           CASE WHEN sized > 0 THEN round(small / sized, 8) END AS small_firm_citation_share_4y_linked,
+           CASE WHEN every > 0 THEN round(sized / every, 8) END AS small_firm_citation_size_coverage_4y
+    FROM counted
     """,
 )
 def _small_firm_citations(t: Tables) -> DataFrame:
@@ -218,11 +221,14 @@ def _class_intro_year(t: Tables) -> DataFrame:
 
 @query(
     "class_ahead",
-    f"""
-    WITH ci AS ({INTRO_SQL})
-    SELECT u.patent_id, max(greatest(ci.intro_year - u.app_year, 0)) AS years_ahead_of_cpc_intro,
-           max(CASE WHEN ci.intro_year > u.app_year THEN 1 ELSE 0 END) AS opens_new_cpc_field_flag
-    FROM {{cited}} u LEFT JOIN {{part_class}} uc ON u.patent_id = uc.patent_id LEFT JOIN ci ON uc.label = ci.label GROUP BY 1
+    """
+    WITH uses AS (SELECT label, min(app_year) AS first_use FROM {shipped} NATURAL JOIN {part_class} GROUP BY label),
+    gaps AS (SELECT patent_id, first_use - app_year AS gap FROM {cited} NATURAL JOIN {part_class} NATURAL JOIN uses)
+    SELECT c.patent_id,
+           CASE WHEN EXISTS (FROM gaps g WHERE g.patent_id = c.patent_id)
+                THEN coalesce((SELECT max(gap) FROM gaps g WHERE g.patent_id = c.patent_id AND gap > 0), 0) END AS years_ahead_of_cpc_intro,
+           CAST(EXISTS (FROM gaps g WHERE g.patent_id = c.patent_id AND gap > 0) AS INT) AS opens_new_cpc_field_flag
+    FROM {cited} c
     """,
 )
 def _class_ahead(t: Tables) -> DataFrame:
@@ -234,10 +240,10 @@ def _class_ahead(t: Tables) -> DataFrame:
 @query(
     "first_generation_flag",
     """
-    WITH ui AS (SELECT label, min(u.app_year) AS first FROM {part_class} c JOIN {cited} u USING (patent_id) GROUP BY 1)
-    SELECT u.patent_id, min(ui.first) AS patent_uspc_first_app_year_min,
-           max(CASE WHEN u.app_year = ui.first THEN 1 ELSE 0 END) AS is_first_gen_uspc_class
-    FROM {cited} u LEFT JOIN {part_class} c ON u.patent_id = c.patent_id LEFT JOIN ui ON ui.label = c.label GROUP BY 1
+    WITH ranked AS (SELECT patent_id, app_year, min(app_year) OVER (PARTITION BY label) AS oldest FROM {cited} NATURAL JOIN {part_class})
+    SELECT c.patent_id, (SELECT min(oldest) FROM ranked r WHERE r.patent_id = c.patent_id) AS patent_uspc_first_app_year_min,
+           CAST(c.patent_id IN (SELECT patent_id FROM ranked WHERE app_year = oldest) AS INT) AS is_first_gen_uspc_class
+    FROM {cited} c
     """,
 )
 def _first_generation_flag(t: Tables) -> DataFrame:
@@ -245,10 +251,9 @@ def _first_generation_flag(t: Tables) -> DataFrame:
 
 
 PRIOR_SQL = """
-    WITH p AS (SELECT DISTINCT owner_id, patent_id, app_year FROM {owner_links})
-    SELECT owner_id, patent_id, app_year, count(*) OVER (PARTITION BY owner_id ORDER BY app_year, patent_id
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_count
-    FROM p
+    SELECT owner_id, patent_id, app_year,
+           dense_rank() OVER (PARTITION BY owner_id ORDER BY {'year': app_year, 'item': patent_id}) - 1 AS prior_count
+    FROM (SELECT owner_id, patent_id, app_year FROM {owner_links} GROUP BY ALL)
 """
 
 
@@ -399,21 +404,21 @@ def _firm_year_facts(t: Tables) -> DataFrame:
 
 
 def country_scores_sql(country: str, year: str) -> str:
-    means = " ".join(f"{c}_mean" for c in aggregates.SCORE_COLUMNS)
-    avgs = ", ".join(f"avg({c}) AS {c}_mean" for c in aggregates.SCORE_COLUMNS)
+    """Sums per country, year and number of claims; every measure is then a ratio of such sums."""
+    names = [*aggregates.SCORE_COLUMNS, "benchmark_score", "benchmark_confidence"]
+    sums = ", ".join(f"sum({c}) AS {c}_sum" for c in names)
+    means = ", ".join(f"round(sum({c}_sum) / sum(n), 12) AS {c}_mean" for c in names)
     return f"""
-    SELECT iso3c, year, patent_count, data_driven_patent_count,
-           {sql_rounded('data_driven_patent_share benchmark_score_mean benchmark_top_decile_share ' + means
-                        + ' claims_weighted_benchmark_score_mean benchmark_confidence_mean', 12)}
-    FROM (
-      SELECT {country} AS iso3c, {year} AS year, count(*) AS patent_count, sum(benchmark_flag)::BIGINT AS data_driven_patent_count,
-             avg(benchmark_flag) AS data_driven_patent_share, avg(benchmark_score) AS benchmark_score_mean,
-             avg(CASE WHEN benchmark_score >= q.t THEN 1 ELSE 0 END) AS benchmark_top_decile_share, {avgs},
-             sum(CASE WHEN num_claims > 0 THEN benchmark_score * num_claims END)
-               / nullif(sum(CASE WHEN num_claims > 0 THEN num_claims END), 0) AS claims_weighted_benchmark_score_mean,
-             avg(benchmark_confidence) AS benchmark_confidence_mean
-      FROM {{scored}}, (SELECT quantile_cont(benchmark_score, 0.9) AS t FROM {{scored}}) q
-      WHERE {country} IS NOT NULL GROUP BY 1, 2)
+    WITH cut AS (SELECT quantile_cont(benchmark_score, 0.9) AS top FROM {{scored}}),
+    cell AS (SELECT {country} AS iso3c, {year} AS year, num_claims AS claims, count(*) AS n, sum(benchmark_flag) AS flagged,
+                    count(*) FILTER (WHERE benchmark_score >= (SELECT top FROM cut)) AS tops, {sums}
+             FROM {{scored}} GROUP BY ALL)
+    SELECT iso3c, year, CAST(sum(n) AS BIGINT) AS patent_count, CAST(sum(flagged) AS BIGINT) AS data_driven_patent_count,
+           round(sum(flagged) / sum(n), 12) AS data_driven_patent_share, round(sum(tops) / sum(n), 12) AS benchmark_top_decile_share,
+           {means},
+           round(sum(claims * benchmark_score_sum) FILTER (WHERE claims > 0) / sum(claims * n) FILTER (WHERE claims > 0), 12)
+             AS claims_weighted_benchmark_score_mean
+    FROM cell WHERE iso3c IS NOT NULL GROUP BY iso3c, year
     """
 
 
@@ -480,20 +485,23 @@ def _firm_year_derived(t: Tables) -> DataFrame:
 
 
 WEIGHTED_SQL = """
-    WITH xw AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS sic_key, substr(p_brand, 7) AS naics_code FROM part),
-    d AS (SELECT sic_key, count(*) AS n_codes FROM xw GROUP BY 1),
-    m AS (SELECT sic_key, naics_code, 1.0::DOUBLE / n_codes AS w FROM xw JOIN d USING (sic_key)),
-    p AS (SELECT CAST(p_size AS VARCHAR) AS sic_key, CAST(year(l_shipdate) AS INT) AS year,
-                 CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag = 'A' THEN 0 END AS flag, l_discount AS score,
-                 CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS open,
-                 CASE WHEN l_tax > 0.02 THEN l_tax * 100 END AS level, CASE WHEN l_linenumber > 2 THEN l_linenumber - 2 END AS law
-          FROM lineitem JOIN part ON l_partkey = p_partkey)
-    SELECT naics_code, year, round(sum(w), 6) AS patent_count, round(sum(flag * w), 6) AS data_driven_patent_count,
-           round(sum(score * w) / nullif(sum(w), 0), 8) AS score_mean, round(sum(open * w) / nullif(sum(w), 0), 8) AS open_share,
-           round(sum(level * w) / nullif(sum(CASE WHEN level IS NULL THEN 0 ELSE w END), 0), 8) AS policy_level_mean,
-           round(sum(CASE WHEN law = 1 THEN w ELSE 0 END) / nullif(sum(CASE WHEN law IS NULL THEN 0 ELSE w END), 0), 8) AS policy_law_share,
-           count(*) AS raw_links, round(sum(flag * w) / nullif(sum(w), 0), 8) AS data_driven_patent_share
-    FROM p JOIN m USING (sic_key) GROUP BY 1, 2
+    WITH codes AS (SELECT CAST(p_size AS VARCHAR) AS sic_key, list(DISTINCT substr(p_brand, 7)) AS naics FROM part GROUP BY p_size),
+    totals AS (SELECT CAST(p_size AS VARCHAR) AS sic_key, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n,
+                      count(*) FILTER (WHERE l_returnflag = 'R') AS flagged, sum(l_discount) AS score,
+                      count(*) FILTER (WHERE l_linestatus = 'O') AS open,
+                      sum(l_tax * 100) FILTER (WHERE l_tax > 0.02) AS level, count(*) FILTER (WHERE l_tax > 0.02) AS levelled,
+                      count(*) FILTER (WHERE l_linenumber = 3) AS law, count(*) FILTER (WHERE l_linenumber > 2) AS judged
+               FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+    shared AS (SELECT unnest(naics) AS naics_code, year, n, n / len(naics) AS items, flagged / len(naics) AS flags, score / len(naics) AS scores,
+                      open / len(naics) AS opens, level / len(naics) AS levels, levelled / len(naics) AS levelled,
+                      law / len(naics) AS laws, judged / len(naics) AS judged
+               FROM totals JOIN codes USING (sic_key))
+    SELECT naics_code, year, round(sum(items), 6) AS patent_count, round(sum(flags), 6) AS data_driven_patent_count,
+           round(sum(scores) / sum(items), 8) AS score_mean, round(sum(opens) / sum(items), 8) AS open_share,
+           CASE WHEN sum(levelled) > 0 THEN round(sum(levels) / sum(levelled), 8) END AS policy_level_mean,
+           CASE WHEN sum(judged) > 0 THEN round(sum(laws) / sum(judged), 8) END AS policy_law_share,
+           CAST(sum(n) AS BIGINT) AS raw_links, round(sum(flags) / sum(items), 8) AS data_driven_patent_share
+    FROM shared GROUP BY naics_code, year
 """
 
 
@@ -562,11 +570,11 @@ def _tech_breakdown(t: Tables) -> DataFrame:
 @query(
     "tech_group_mix",
     """
-    SELECT CASE WHEN has_measurement_cpc = 1 AND has_ml_cpc = 1 THEN 'Measurement + ML' WHEN has_measurement_cpc = 1 THEN 'Measurement only'
-                WHEN has_ml_cpc = 1 THEN 'ML only' WHEN has_testing_cpc = 1 THEN 'Testing only'
-                WHEN has_data_processing_cpc = 1 THEN 'Data-processing only' ELSE 'Other/none' END AS grp,
-           count(*) AS n_patents, round(avg(benchmark_flag), 8) AS share_flag
-    FROM {scored} GROUP BY 1
+    SELECT list_filter([if(measured AND learned, 'Measurement + ML', NULL), if(measured, 'Measurement only', NULL),
+                        if(learned, 'ML only', NULL), if(has_testing_cpc = 1, 'Testing only', NULL),
+                        if(has_data_processing_cpc = 1, 'Data-processing only', NULL), 'Other/none'], lambda x: x IS NOT NULL)[1] AS grp,
+           count(*) AS n_patents, round(sum(benchmark_flag) / count(*), 8) AS share_flag
+    FROM (SELECT *, has_measurement_cpc = 1 AS measured, has_ml_cpc = 1 AS learned FROM {scored}) GROUP BY ALL
     """,
 )
 def _tech_group_mix(t: Tables) -> DataFrame:

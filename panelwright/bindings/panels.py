@@ -100,25 +100,23 @@ DERIVED_SQL = f"""
     ay AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS citing, CAST(year(o_orderdate) AS INT) AS y FROM orders),
     cit AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS patent_id, 'O' || CAST(l_orderkey AS VARCHAR) AS citing,
                    CASE WHEN l_returnflag = 'A' THEN 'cited by examiner' ELSE 'cited by applicant' END AS cat FROM lineitem),
-    fp AS (SELECT DISTINCT patent_id, citing FROM cit),
-    fwd AS (SELECT u.patent_id, count(cit.citing) AS f_all,
-                   count(*) FILTER (WHERE y BETWEEN u.app_year AND u.app_year + 5) AS f5,
-                   count(*) FILTER (WHERE y BETWEEN u.app_year AND u.app_year + 10) AS f10,
-                   count(*) FILTER (WHERE cat = 'cited by examiner' AND y BETWEEN u.app_year AND u.app_year + 10) AS fe
-            FROM u LEFT JOIN cit USING (patent_id) LEFT JOIN ay ON ay.citing = cit.citing GROUP BY 1),
     cls AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS citing, c_mktsegment || '-' || o_orderpriority AS sub
             FROM orders JOIN customer ON o_custkey = c_custkey),
-    br AS (SELECT u.patent_id, count(DISTINCT CASE WHEN y BETWEEN u.app_year AND u.app_year + 10 THEN sub END) AS n_sub
-           FROM u LEFT JOIN fp USING (patent_id) LEFT JOIN ay ON ay.citing = fp.citing LEFT JOIN cls ON cls.citing = fp.citing GROUP BY 1),
     fy AS (SELECT o_custkey AS gvkey, CAST(year(o_orderdate) AS INT) AS year, CAST(count(*) * 97 AS DOUBLE) AS employees
            FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
-    fm AS (SELECT gvkey, b FROM (SELECT *, row_number() OVER (PARTITION BY gvkey ORDER BY n DESC, b) AS rn FROM (
-             SELECT gvkey, round(employees) AS b, count(*) AS n FROM fy GROUP BY 1, 2)) WHERE rn = 1),
+    fm AS (SELECT gvkey, list_sort(list_transform(map_entries(histogram(round(employees))), lambda x: [-CAST(x.value AS DOUBLE), x.key]))[1][2] AS b
+           FROM fy GROUP BY gvkey),
     sz AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS citing, coalesce(fy.employees, fm.b) AS employees
            FROM orders LEFT JOIN fy ON fy.gvkey = o_custkey AND fy.year = year(o_orderdate) LEFT JOIN fm ON fm.gvkey = o_custkey),
-    sm AS (SELECT u.patent_id, count(DISTINCT CASE WHEN y BETWEEN u.app_year AND u.app_year + 10 AND employees IS NOT NULL THEN fp.citing END) AS n_sized,
-                  count(DISTINCT CASE WHEN y BETWEEN u.app_year AND u.app_year + 10 AND employees < 500 THEN fp.citing END) AS n_small
-           FROM u LEFT JOIN fp USING (patent_id) LEFT JOIN ay ON ay.citing = fp.citing LEFT JOIN sz ON sz.citing = fp.citing GROUP BY 1),
+    dated AS (SELECT patent_id, citing, cat, y - app_year AS delay, sub, employees
+              FROM cit JOIN u USING (patent_id) LEFT JOIN ay USING (citing) LEFT JOIN cls USING (citing) LEFT JOIN sz USING (citing)),
+    cites AS (SELECT patent_id, count(*) AS f_all, count(*) FILTER (WHERE delay BETWEEN 0 AND 5) AS f5,
+                     count(*) FILTER (WHERE delay BETWEEN 0 AND 10) AS f10,
+                     count(*) FILTER (WHERE delay BETWEEN 0 AND 10 AND cat = 'cited by examiner') AS fe,
+                     count(DISTINCT sub) FILTER (WHERE delay BETWEEN 0 AND 10) AS n_sub,
+                     count(DISTINCT citing) FILTER (WHERE delay BETWEEN 0 AND 10 AND employees IS NOT NULL) AS n_sized,
+                     count(DISTINCT citing) FILTER (WHERE delay BETWEEN 0 AND 10 AND employees < 500) AS n_small
+              FROM dated GROUP BY patent_id),
     intro AS (SELECT upper(p_brand) AS label, min(CAST(year(o_orderdate) AS INT)) AS y0
               FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
     ahead AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS patent_id, greatest(y0 - (1992 + p_size % 8), 0) AS years_ahead
@@ -127,22 +125,24 @@ DERIVED_SQL = f"""
                    count(*) FILTER (WHERE regexp_matches(lower(text), '{aggregates.SCIENCE_REFERENCE}')) AS n_sci FROM documents GROUP BY 1),
     gi AS (SELECT 'P' || CAST(user_id AS VARCHAR) AS patent_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS funded FROM events GROUP BY 1),
     lk AS (SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS owner, 'P' || CAST(l_partkey AS VARCHAR) AS patent_id FROM lineitem),
-    pr AS (SELECT patent_id, count(*) OVER (PARTITION BY owner ORDER BY app_year, patent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+    pr AS (SELECT patent_id, dense_rank() OVER (PARTITION BY owner ORDER BY {{'year': app_year, 'item': patent_id}}) - 1 AS prior
            FROM lk JOIN u USING (patent_id)),
     iv AS (SELECT patent_id, count(*) AS n_inv, avg(prior) AS mean_prior, max(prior) AS max_prior FROM pr GROUP BY 1)
     SELECT u.patent_id, u.app_year, round(benchmark_score, 9) AS benchmark_score, coalesce(funded, 0) AS is_publicly_funded,
            coalesce(n_ref, 0) AS other_reference_count, coalesce(n_sci, 0) AS science_reference_count,
-           f_all AS forward_citation_count_all, f5 AS forward_citation_count_5y, f10 AS forward_citation_count_10y,
-           fe AS forward_citation_examiner_10y, round(ln(1 + f10), 9) AS ln_forward_citation_count_10y_plus1,
-           n_sub AS citing_cpc_subclass_count_10y, n_sized AS citing_patents_with_size_10y, n_small AS citing_small_firm_patents_10y,
+           coalesce(f_all, 0) AS forward_citation_count_all, coalesce(f5, 0) AS forward_citation_count_5y,
+           coalesce(f10, 0) AS forward_citation_count_10y, coalesce(fe, 0) AS forward_citation_examiner_10y,
+           round(ln(1 + coalesce(f10, 0)), 9) AS ln_forward_citation_count_10y_plus1,
+           coalesce(n_sub, 0) AS citing_cpc_subclass_count_10y, coalesce(n_sized, 0) AS citing_patents_with_size_10y,
+           coalesce(n_small, 0) AS citing_small_firm_patents_10y,
            round(n_small / nullif(n_sized, 0), 9) AS small_firm_citation_share_10y_linked,
            coalesce(years_ahead, 0) AS years_ahead_of_cpc_intro, coalesce(n_inv, 0) AS inventor_count,
            round(coalesce(mean_prior, 0), 9) AS inventor_productivity_mean_prior_count, coalesce(max_prior, 0) AS inventor_productivity_max_prior_count
-    FROM u LEFT JOIN e USING (patent_id) LEFT JOIN gi USING (patent_id) LEFT JOIN ref USING (patent_id) LEFT JOIN fwd USING (patent_id)
-    LEFT JOIN br USING (patent_id) LEFT JOIN sm USING (patent_id) LEFT JOIN ahead USING (patent_id) LEFT JOIN iv USING (patent_id)
+    FROM u LEFT JOIN e USING (patent_id) LEFT JOIN gi USING (patent_id) LEFT JOIN ref USING (patent_id) LEFT JOIN cites USING (patent_id)
+    LEFT JOIN ahead USING (patent_id) LEFT JOIN iv USING (patent_id)
 """
 # The same without rounding, for tables built on top of it.
-DERIVED_RAW_SQL = DERIVED_SQL.replace("round(benchmark_score, 9)", "benchmark_score").replace("round(ln(1 + f10), 9)", "ln(1 + f10)")
+DERIVED_RAW_SQL = DERIVED_SQL.replace("round(benchmark_score, 9)", "benchmark_score").replace("round(ln(1 + coalesce(f10, 0)), 9)", "ln(1 + coalesce(f10, 0))")
 DERIVED_COLUMNS = [
     "patent_id", "app_year", "benchmark_score", "is_publicly_funded", "other_reference_count", "science_reference_count",
     "forward_citation_count_all", "forward_citation_count_5y", "forward_citation_count_10y", "forward_citation_examiner_10y",
@@ -232,20 +232,25 @@ INDUSTRY_PANEL_SQL = f"""
     WITH own AS (SELECT o_orderkey AS patent_id, o_custkey AS gvkey FROM orders WHERE o_orderstatus <> 'P'),
     fy AS (SELECT o_custkey AS gvkey, CAST(year(o_orderdate) AS INT) AS year, min(CAST(1 + o_orderkey % 50 AS INT)) AS sic
            FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2),
-    fm AS (SELECT gvkey, sic FROM (SELECT *, row_number() OVER (PARTITION BY gvkey ORDER BY n DESC, CAST(sic AS VARCHAR)) AS rn
-             FROM (SELECT gvkey, sic, count(*) AS n FROM fy GROUP BY 1, 2)) WHERE rn = 1),
+    fm AS (SELECT gvkey, list_sort(list_transform(map_entries(histogram(sic)), lambda x: {{'minus': -CAST(x.value AS INT),
+                    'name': CAST(x.key AS VARCHAR), 'sic': x.key}}))[1].sic AS sic FROM fy GROUP BY gvkey),
     pol AS (SELECT 'N' || chr(65 + s_nationkey) || 'T' AS iso3, CAST(year(l_shipdate) AS INT) AS year, count(*) AS cum
             FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 15 GROUP BY 1, 2),
     p AS (SELECT s.*, coalesce(fy.sic, fm.sic) AS sic, pol.cum FROM {{scored}} s LEFT JOIN own USING (patent_id)
           LEFT JOIN fy ON fy.gvkey = own.gvkey AND fy.year = s.app_year LEFT JOIN fm ON fm.gvkey = own.gvkey
           LEFT JOIN pol ON pol.iso3 = s.assignee_iso2 || 'T' AND pol.year = s.app_year),
-    xw AS (SELECT DISTINCT p_size AS sic, substr(lpad(CAST(p_partkey * 7 AS VARCHAR), 6, '0'), 1, {{level}}) AS naics_code FROM part),
-    m AS (SELECT sic, naics_code, 1.0::DOUBLE / count(*) OVER (PARTITION BY sic) AS w FROM xw)
-    SELECT naics_code, app_year AS year, round(sum(w), 6) AS patent_count, round(sum(benchmark_flag * w), 6) AS data_driven_patent_count,
-           round(sum(benchmark_score * w) / sum(w), 8) AS benchmark_score_mean, round(sum(has_ml_cpc * w) / sum(w), 8) AS has_ml_cpc_share,
-           round(sum(cum * w) / nullif(sum(CASE WHEN cum IS NULL THEN 0 ELSE w END), 0), 6) AS policy_ecipe_cum_mean,
-           count(*) AS raw_links, {{level}} AS naics_level
-    FROM p JOIN m USING (sic) GROUP BY 1, 2
+    codes AS (SELECT p_size AS sic, list(DISTINCT substr(lpad(CAST(p_partkey * 7 AS VARCHAR), 6, '0'), 1, {{level}})) AS naics
+              FROM part GROUP BY p_size),
+    totals AS (SELECT sic, app_year AS year, count(*) AS n, sum(benchmark_flag) AS flagged, sum(benchmark_score) AS score, sum(has_ml_cpc) AS ml,
+                      sum(cum) AS cum, count(cum) AS known FROM p GROUP BY ALL),
+    shared AS (SELECT unnest(naics) AS naics_code, year, n, n / len(naics) AS items, flagged / len(naics) AS flags,
+                      score / len(naics) AS scores, ml / len(naics) AS mls, cum / len(naics) AS cums, known / len(naics) AS knowns
+               FROM totals JOIN codes USING (sic))
+    SELECT naics_code, year, round(sum(items), 6) AS patent_count, round(sum(flags), 6) AS data_driven_patent_count,
+           round(sum(scores) / sum(items), 8) AS benchmark_score_mean, round(sum(mls) / sum(items), 8) AS has_ml_cpc_share,
+           CASE WHEN sum(knowns) > 0 THEN round(sum(cums) / sum(knowns), 6) END AS policy_ecipe_cum_mean,
+           CAST(sum(n) AS BIGINT) AS raw_links, {{level}} AS naics_level
+    FROM shared GROUP BY naics_code, year
 """
 
 
