@@ -160,12 +160,13 @@ def _forward_citations(t: Tables) -> DataFrame:
     "backward_citations",
     """
     SELECT l_orderkey AS citing_id, count(*) AS backward_patent_citation_count FROM lineitem
-    WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1
+    WHERE l_partkey % 7 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1
     """,
 )
 def _backward_citations(t: Tables) -> DataFrame:
-    universe = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("citing_id"))
-    return edges.backward_citations(t.view("edges"), universe, "citing_id")
+    universe = t.orders.select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("citing_id"))
+    cites = t.view("edges").withColumn("patent_id", F.when(F.col("patent_id") % 7 != 0, F.col("patent_id")))
+    return edges.backward_citations(cites, universe, "citing_id", "patent_id")
 
 
 @query(

@@ -18,7 +18,7 @@ STATIC = """
     FROM {lineitem} WHERE l_returnflag <> 'N'
 """
 CLASS_ROWS = """
-    SELECT 'US' || CAST(l_orderkey AS VARCHAR(20)) AS patent_id,
+    SELECT 'uS' || CAST(l_orderkey AS VARCHAR(20)) AS patent_id,
            CASE WHEN p_size % 4 = 0 THEN 'g06n' WHEN p_size % 4 = 1 THEN 'G01N' WHEN p_size % 4 = 2 THEN 'H04L' ELSE 'A61B' END AS cpc_subclass,
            CASE WHEN p_size % 4 = 0 THEN 'G06N7/00' WHEN p_size % 4 = 1 THEN 'G01N33/' || p_brand ELSE 'X' END AS cpc_group
     FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
@@ -32,28 +32,30 @@ CLASS_ROWS = """
                       CAST(max(CASE WHEN l_linestatus = 'F' THEN year(l_shipdate) + 2 END) AS INT) AS grant_year
                FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
     core AS (SELECT 'US' || CAST(o_orderkey AS VARCHAR) AS patent_id, CAST(year(o_orderdate) AS INT) AS patent_date_year,
+                    CAST(o_orderdate AS DATE) AS patent_date, 'utility' AS patent_type, o_orderstatus AS patent_abstract,
                     o_orderpriority AS patent_title, CAST(round(o_totalprice / 1000) AS INT) AS num_claims FROM orders),
     pl AS (SELECT 'US' || CAST(l_orderkey AS VARCHAR) AS patent_id, 'N' || chr(65 + s_nationkey) AS country, l_linenumber AS seq
            FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 5),
     md AS (SELECT patent_id, country FROM (SELECT *, row_number() OVER (PARTITION BY patent_id ORDER BY n DESC, country) AS rn
              FROM (SELECT patent_id, country, count(*) AS n FROM pl GROUP BY 1, 2)) WHERE rn = 1),
     fs AS (SELECT patent_id, country FROM (SELECT *, row_number() OVER (PARTITION BY patent_id ORDER BY seq, country) AS rn FROM pl) WHERE rn = 1),
-    c AS (SELECT patent_id, count(*) AS cpc_total_count, count(DISTINCT upper(cpc_subclass)) AS cpc_unique_subclass_count,
+    c AS (SELECT upper(patent_id) AS patent_id, count(*) AS cpc_total_count, count(DISTINCT upper(cpc_subclass)) AS cpc_unique_subclass_count,
                  max(CASE WHEN cpc_subclass = 'g06n' THEN 1 ELSE 0 END) AS has_ml_cpc,
                  max(CASE WHEN cpc_subclass = 'G01N' THEN 1 ELSE 0 END) AS has_measurement_cpc,
                  max(CASE WHEN cpc_group LIKE 'G06N7%' THEN 1 ELSE 0 END) AS has_statistics_cpc,
                  sum(CASE WHEN upper(cpc_subclass) LIKE 'G%' THEN 1 ELSE 0 END)::BIGINT AS "cpc_section_G_count"
           FROM ({CLASS_ROWS}) GROUP BY 1)
-    SELECT patent_id, app_year, grant_year, patent_date_year, patent_title, num_claims, md.country AS assignee_country_mode,
-           fs.country AS assignee_country_primary, cpc_total_count, cpc_unique_subclass_count, has_ml_cpc, has_measurement_cpc,
+    SELECT patent_id, app_year, grant_year, patent_date, patent_date_year, patent_type, patent_abstract, patent_title, num_claims,
+           md.country AS assignee_country_mode, fs.country AS assignee_country_primary, md.country AS inventor_country_mode,
+           fs.country AS inventor_country_primary, cpc_total_count, cpc_unique_subclass_count, has_ml_cpc, has_measurement_cpc,
            has_statistics_cpc, "cpc_section_G_count"
     FROM u LEFT JOIN core USING (patent_id) LEFT JOIN md USING (patent_id) LEFT JOIN fs USING (patent_id) LEFT JOIN c USING (patent_id)
     """,
 )
 def _backbone(t: Tables) -> DataFrame:
-    key = F.concat(F.lit("US"), F.col("o_orderkey").cast("string")).alias("patent_id")
+    key = F.concat(F.lit(' us'), F.col("o_orderkey").cast("string")).alias("patent_id")
     parties = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.concat(F.lit("US"), F.col("l_orderkey").cast("string")).alias("patent_id"),
+        F.concat(F.lit('"Us'), F.col("l_orderkey").cast("string"), F.lit('"')).alias("patent_id"),
         F.concat(F.lit("L"), F.col("s_nationkey").cast("string")).alias("location_id"),
         F.col("l_linenumber").cast("string").alias("assignee_sequence"),
     )
@@ -77,8 +79,8 @@ def _backbone(t: Tables) -> DataFrame:
         classes=t.sql(CLASS_ROWS).withColumn("cpc_section", F.substring("cpc_subclass", 1, 1)),
     )
     return backbone.build_backbone(inputs).select(
-        "patent_id", "app_year", "grant_year", "patent_date_year", "patent_title", "num_claims", "assignee_country_mode",
-        "assignee_country_primary", "cpc_total_count", "cpc_unique_subclass_count", "has_ml_cpc", "has_measurement_cpc",
+        "patent_id", "app_year", "grant_year", "patent_date", "patent_date_year", "patent_type", "patent_abstract", "patent_title", "num_claims", "assignee_country_mode",
+        "assignee_country_primary", "inventor_country_mode", "inventor_country_primary", "cpc_total_count", "cpc_unique_subclass_count", "has_ml_cpc", "has_measurement_cpc",
         "has_statistics_cpc", "cpc_section_G_count",
     )
 

@@ -269,6 +269,8 @@ def top_measures_pivot(
 ) -> DataFrame:
     """Mean per key of each leading measure as columns. Only the k names reach the driver."""
     names = [r[0] for r in top_measures(df, measure, value, k).collect()]
+    if not names:
+        return df.select(*keys).limit(0)
     return (
         df.where(F.col(measure).isin(*names))
         .groupBy(*keys)

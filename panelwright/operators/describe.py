@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import row_sample_std, safe_ratio
 from ..functions.text import as_col
-from .ranking import MAX_BUFFERED_VALUES, quantiles, running_totals
+from .ranking import quantiles, running_totals
 
 SUMMARY_POINTS = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -25,21 +25,11 @@ def summary_stats(
     columns: Sequence[str],
     labels: Mapping[str, str] = {},
     points: Mapping[str, float] = SUMMARY_POINTS,
-    max_buffered: int = MAX_BUFFERED_VALUES,
 ) -> DataFrame:
     """N, mean, sample SD, quantiles, minimum and maximum, one row per column that has values.
 
-    One pass finds which columns have few distinct values, a second computes everything for them; only the
-    quantiles of the other columns are ordered across the cluster.
+    Moments come from one pass over all columns, quantiles from one sort of all columns' distinct values.
     """
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if distinct[c] <= max_buffered]
-    probs = F.array(*[F.lit(float(p)) for p in points.values()])
-
-    def quantile_fields(c: str) -> list[Column]:
-        known = F.percentile(F.col(c).cast("double"), probs) if c in narrow else F.lit(None).cast("array<double>")
-        return [F.try_element_at(known, F.lit(i + 1)).alias(n) for i, n in enumerate(points)]
-
     moments = df.agg(
         *[
             F.struct(
@@ -49,20 +39,17 @@ def summary_stats(
                 F.stddev_samp(c).alias("sd"),
                 F.min(F.col(c).cast("double")).alias("min"),
                 F.max(F.col(c).cast("double")).alias("max"),
-                *quantile_fields(c),
             ).alias(c)
             for c in columns
         ]
     )
     rows = moments.select(F.inline(F.array(*columns))).where("n > 0")
-    wide = [c for c in columns if c not in narrow]
-    if not wide:
-        return rows
-    tails = union_all(
-        [quantiles(df, c, points, max_buffered=0).select(F.lit(labels.get(c, c)).alias("variable"), *points) for c in wide]
-    ).toDF("variable", *[f"__{n}" for n in points])
-    joined = rows.join(tails, "variable", "left")
-    return joined.withColumns({n: F.coalesce(n, f"__{n}") for n in points}).drop(*[f"__{n}" for n in points])
+    cells = [
+        F.struct(F.lit(labels.get(c, c)).alias("variable"), F.col(c).cast("double").alias("__value")) for c in columns
+    ]
+    long = df.select(F.inline(F.array(*cells)))
+    joined = rows.join(quantiles(long, "__value", points, ["variable"]), "variable")
+    return joined.select("variable", "n", "mean", "sd", "min", "max", *points)
 
 
 def variance_split(df: DataFrame, entity: str, value: str) -> DataFrame:
@@ -86,8 +73,8 @@ def variance_split(df: DataFrame, entity: str, value: str) -> DataFrame:
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Quantile-cut x into right-closed bins (repeated edges merged, lowest value included) and average both."""
     known = df.select(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).dropna()
-    distinct = known.agg(F.count_distinct("x")).first()[0]
-    q = min(bins, distinct)
+    # Never more bins than distinct values; counting stops at the number of bins.
+    q = max(1, known.select("x").distinct().limit(bins).count())
     points = {f"e{i}": i / q for i in range(q + 1)}
     edge_row = quantiles(known, "x", points)
     edges = edge_row.select(F.array_distinct(F.array(*points)).alias("edges")).scalar()

@@ -74,9 +74,9 @@ def forward_citations(
     )
 
 
-def backward_citations(edges: DataFrame, universe: DataFrame, citing: str) -> DataFrame:
-    """Edge rows per citing item of the universe, repeats included."""
-    counts = edges.where(F.col(citing).isNotNull()).groupBy(citing).agg(
+def backward_citations(edges: DataFrame, universe: DataFrame, citing: str, cited: str) -> DataFrame:
+    """Edge rows with both ends known per citing item of the universe, repeats included."""
+    counts = edges.where(F.col(citing).isNotNull() & F.col(cited).isNotNull()).groupBy(citing).agg(
         F.count("*").alias("backward_patent_citation_count")
     )
     return counts.join(universe.select(citing), citing, "left_semi")

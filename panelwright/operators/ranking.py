@@ -16,14 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.text import as_col
 from ..session import pinned
 
-# A percentile buffer holds one entry per distinct value; beyond this the sorted form is used.
-MAX_BUFFERED_VALUES = 100_000
-
 _PART, _POS = "__part", "__pos"
 
 
 def _ordered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows sorted across partitions, with partition number and position fixed by a checkpoint.
+    """Rows sorted across partitions, with partition number and position fixed by writing them.
 
     Range bounds come from a sample, so the layout must be pinned before two branches read it.
     """
@@ -101,28 +98,13 @@ def ntile(df: DataFrame, tiles: int, order: Sequence[str | Column], name: str =
     return ranked.select(*df.columns, tile.cast("int").alias(name))
 
 
-def _buffered(df: DataFrame, value: str, limit: int) -> bool:
-    return df.agg(F.approx_count_distinct(value)).first()[0] <= limit
-
-
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Mapping[str, float],
-    by: Sequence[str] = (),
-    max_buffered: int = MAX_BUFFERED_VALUES,
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles, one column per entry of ``probs``, nulls skipped.
 
-    Columns with few distinct values use the built-in aggregate, whose buffer is then small whatever
-    the row count. Others are sorted across the cluster and only the two neighbouring rows are kept.
+    Values are counted, the distinct ones sorted across the cluster, and only the two neighbours of each point kept, at
+    every size alike. Without ``by``, an input without values gives one row of nulls.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if max_buffered > 0 and _buffered(rows, "__v", max_buffered):
-        points = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-        return rows.groupBy(*by).agg(points.alias("__q")).select(
-            *by, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
-        )
     # Equal values are counted together first, so a value that fills a third of the rows is one row here.
     counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
     ordered = running_totals(counts, [*by, "__v"], {"__upto": "__c"}, "__rank", "__rows")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from ..functions.text import strip_quotes_upper
 from ..operators.aggregates import SECTIONS, class_profile, coverage_report, patent_universe
 from ..operators.joins import lookup_country, semi_join_universe, star_left_join
 from ..operators.ranking import first_by_sequence, mode_by_key
+from ..sources.tables import clean_cells
 
 KEY = "patent_id"
 FLAGS = (
@@ -53,7 +54,18 @@ def party_countries(parties: DataFrame, universe: DataFrame, locations: DataFram
     ]
 
 
+def cleaned(x: BackboneInputs) -> BackboneInputs:
+    """Quotes and blanks off every cell, item ids in upper and locations in lower case, in all sources alike."""
+
+    def tidy(df: DataFrame) -> DataFrame:
+        df = clean_cells(df, KEY)
+        return df.withColumn("location_id", F.lower("location_id")) if "location_id" in df.columns else df
+
+    return BackboneInputs(*[tidy(getattr(x, f.name)) for f in fields(x)])
+
+
 def build_backbone(x: BackboneInputs) -> DataFrame:
+    x = cleaned(x)
     universe = universe_of(x.static)
     date = F.to_date(F.try_to_timestamp("patent_date"))
     core = semi_join_universe(x.core, universe, KEY).select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +73,26 @@ def citing_sizes(
     return year_or_mode_join(dated, firm_year, modes, "gvkey", "year", "employees", "mode", "employees")
 
 
+def clean_ids(x: DerivedInputs) -> DerivedInputs:
+    """All text ids without surrounding blanks, blank ones null, those of items in upper case, in every source alike."""
+
+    def cleaned(df: DataFrame) -> DataFrame:
+        kinds = dict(df.dtypes)
+        text = [c for c in (*ITEM_IDS, *OWNER_IDS) if kinds.get(c) == "string"]
+        trimmed = {c: F.nullif(F.trim(c), F.lit("")) for c in text}
+        return df.withColumns({c: F.upper(e) if c in ITEM_IDS else e for c, e in trimmed.items()}) if text else df
+
+    frames = {f.name: getattr(x, f.name) for f in fields(x)}
+    return replace(x, **{n: cleaned(df) for n, df in frames.items() if isinstance(df, DataFrame)})
+
+
+ITEM_IDS = ("patent_id", "citing_patent_id")
+OWNER_IDS = ("inventor_id", "assignee_id", "cpc_subclass", "uspc_mainclass_id")
+
+
 def patent_variables(x: DerivedInputs) -> DataFrame:
     """One row per item of the universe with all derived variables."""
+    x = clean_ids(x)
     u = x.universe
     # The year map and the distinct edges feed most of the branches below; they are written once.
     years = pinned(aggregates.app_year_map(x.applications, KEY, "filing_date"))
@@ -85,7 +103,7 @@ def patent_variables(x: DerivedInputs) -> DataFrame:
     sizes = citing_sizes(edges.distinct_citing(pairs, "citing_patent_id"), years, owners, x.firm_year)
     citing_classes = x.current_classes.select(F.col(KEY).alias("citing_patent_id"), "cpc_subclass")
     intro = edges.class_intro_year(x.issue_classes, years, KEY, "cpc_subclass", YEAR, "intro_year")
-    backward = edges.backward_citations(x.citations, u.select(F.col(KEY).alias("citing_patent_id")), "citing_patent_id")
+    backward = edges.backward_citations(x.citations, u.select(F.col(KEY).alias("citing_patent_id")), "citing_patent_id", KEY)
     parts = [
         x.evidence,
         aggregates.gov_interest(x.gov_interest, u, KEY, "gi_statement"),

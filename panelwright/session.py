@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,22 +42,33 @@ def shared_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="panelwright-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     return root
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    root = shared_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared root for one intermediate table, remembered for ``release``."""
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The frame computed once and kept in the shared folder, for plans that read it several times."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame written once as Parquet in the shared folder, for plans that read it several times."""
+    path = scratch_path(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared root for one intermediate table."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of earlier results once those are written; returns how many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = len(_SCRATCH)
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return done

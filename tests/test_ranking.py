@@ -45,15 +45,16 @@ def test_ntile(skewed, tiles):
     assert got["tile"].tolist() == want
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_both_ways(skewed, limit):
+def test_quantiles_match_pandas(skewed):
     df, pdf = skewed
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = ranking.quantiles(df, "v", probs, max_buffered=limit).first()
+    got = ranking.quantiles(df, "v", probs).first()
     assert list(got) == pytest.approx([pdf["v"].quantile(p) for p in probs.values()])
-    by = ranking.quantiles(df, "v", probs, ["k"], max_buffered=limit).toPandas().set_index("k").sort_index()
+    by = ranking.quantiles(df, "v", probs, ["k"]).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k")["v"].quantile(list(probs.values())).unstack().sort_index()
     assert np.allclose(by.to_numpy(), want.to_numpy())
+    assert list(ranking.quantiles(df.limit(0), "v", probs).first()) == [None] * 5
+    assert ranking.quantiles(df.limit(0), "v", probs, ["k"]).count() == 0
 
 
 def test_prior_count_ignores_layout(skewed, rows):
@@ -122,14 +123,19 @@ def test_concentration_curve_ends_at_one(skewed):
     assert got["k"].iloc[0] == want.index[0]
 
 
-def test_summary_stats_both_ways(skewed):
+def test_empty_input_has_no_bins_and_no_statistics(skewed):
+    df, _ = skewed
+    assert describe.quantile_bins(df.limit(0), "v", "y", 5).count() == 0
+    assert describe.summary_stats(df.limit(0), ["v", "y"]).count() == 0
+
+
+def test_summary_stats_match_pandas(skewed):
     df, pdf = skewed
     wide = df.withColumn("none", F.lit(None).cast("double"))
-    for limit in (0, 10**6):
-        got = describe.summary_stats(wide, ["v", "y", "none"], {"v": "Value"}, max_buffered=limit).toPandas().set_index("variable")
-        assert sorted(got.index) == ["Value", "y"]
-        for name, column in (("Value", "v"), ("y", "y")):
-            s = pdf[column]
-            want = [len(s), s.mean(), s.std(), *s.quantile([0.1, 0.25, 0.5, 0.75, 0.9]), s.min(), s.max()]
-            have = got.loc[name, ["n", "mean", "sd", "p10", "p25", "median", "p75", "p90", "min", "max"]]
-            assert np.allclose(have.to_numpy(float), want)
+    got = describe.summary_stats(wide, ["v", "y", "none"], {"v": "Value"}).toPandas().set_index("variable")
+    assert sorted(got.index) == ["Value", "y"]
+    for name, column in (("Value", "v"), ("y", "y")):
+        s = pdf[column]
+        want = [len(s), s.mean(), s.std(), *s.quantile([0.1, 0.25, 0.5, 0.75, 0.9]), s.min(), s.max()]
+        have = got.loc[name, ["n", "mean", "sd", "p10", "p25", "median", "p75", "p90", "min", "max"]]
+        assert np.allclose(have.to_numpy(float), want)
