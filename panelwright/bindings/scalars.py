@@ -492,11 +492,25 @@ def _iso2_to_iso3(t: Tables) -> DataFrame:
     raw = t.view("scored").select(
         "patent_id", F.concat(F.lit(" "), F.lower("assignee_iso2")).alias("a"), F.col("inventor_iso2").alias("i")
     )
-    table = t.view("iso_map").where("iso2 NOT IN ('NB', 'NC')")
+    table = t.view("iso_map").withColumn("iso2", F.when(~F.col("iso2").isin("NB", "NC"), F.col("iso2")))
     out = joins.iso2_to_iso3(joins.iso2_to_iso3(raw, table, "a", "assignee_iso3"), table, "i", "inventor_iso3")
     return out.select("patent_id", "assignee_iso3", "inventor_iso3")
 
 
+@query(
+    "iso_country_table",
+    """
+    WITH iso AS (FROM (VALUES ('AD', 'AND'), ('AE', 'ARE'), ('AF', 'AFG'), ('AG', 'ATG'), ('AI', 'AIA'), ('AL', 'ALB'), ('AM', 'ARM'),
+      ('AN', 'ANT'), ('AO', 'AGO'), ('AQ', 'ATA'), ('AR', 'ARG'), ('AS', 'ASM'), ('AT', 'AUT'), ('AU', 'AUS'), ('AW', 'ABW'),
+      ('AX', 'ALA')) AS v(iso2, iso3))
+    SELECT c_custkey, iso3 FROM customer LEFT JOIN iso ON iso2 = 'A' || chr(65 + c_nationkey)
+    """,
+)
+def _iso_country_table(t: Tables) -> DataFrame:
+    raw = t.customer.select("c_custkey", F.concat(F.lit("a"), F.char(F.lit(97) + F.col("c_nationkey"))).alias("code"))
+    return joins.iso2_to_iso3(raw, codes.iso_country_table(t.spark), "code", "iso3").select("c_custkey", "iso3")
+
+
 @query(
     "country_match",
     """

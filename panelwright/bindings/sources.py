@@ -273,6 +273,50 @@ def _unpivot_map_json(t: Tables) -> DataFrame:
     return payloads.unpivot_map_json(t.supplier.select(payload.alias("j")), "j").drop("law_domain")
 
 
+LAW_SLUGS = ("electronic_transactions", "consumer_protection", "privacy_and_data_protection", "cybercrime", "indirect_taxation")
+
+
+@query(
+    "pivot_laws",
+    """
+    WITH names AS (SELECT ['no_data', 'legislation', 'draft_legislation', 'no_legislation'] AS label)
+    SELECT s_name AS iso2c, CAST(s_suppkey % 4 AS INT) AS electronic_transactions_code,
+           label[s_suppkey % 4 + 1] AS electronic_transactions_status, CAST(s_nationkey % 5 AS INT) AS consumer_protection_code,
+           coalesce(label[s_nationkey % 5 + 1], 'unknown') AS consumer_protection_status, 1 AS privacy_and_data_protection_code,
+           'legislation' AS privacy_and_data_protection_status, 2 AS cybercrime_code, 'draft_legislation' AS cybercrime_status,
+           3 AS indirect_taxation_code, 'no_legislation' AS indirect_taxation_status
+    FROM supplier, names WHERE s_acctbal >= 0
+    """,
+)
+def _pivot_laws(t: Tables) -> DataFrame:
+    codes = F.array(F.col("s_suppkey") % 4, F.col("s_nationkey") % 5, F.lit(1), F.lit(2), F.lit(3))
+    short = F.array(F.lit(1).cast("bigint"))
+    payload = F.to_json(F.create_map("s_name", F.when(F.col("s_acctbal") >= 0, codes).otherwise(short)))
+    return payloads.pivot_laws(payloads.unpivot_map_json(t.supplier.select(payload.alias("j")), "j"), LAW_SLUGS)
+
+
+@query(
+    "flatten_industry_json",
+    """
+    WITH d AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(11 + l_partkey % 80 AS INT) AS h, 1200 + CAST(l_quantity AS INT) AS v
+               FROM lineitem),
+    r AS (SELECT year, v, CASE WHEN h BETWEEN 31 AND 33 THEN '31-33' WHEN h IN (44, 45) THEN '44-45' WHEN h IN (48, 49) THEN '48-49'
+                 WHEN list_contains([11, 21, 22, 23, 42, 51, 52, 53, 54, 55, 56, 61, 62, 71, 72, 81], h) THEN CAST(h AS VARCHAR) END AS root FROM d)
+    SELECT year, root AS naics2_proxy, round(avg(v), 8) AS bea_gdp_by_industry_value FROM r
+    WHERE root IS NOT NULL AND year BETWEEN 1993 AND 1997 GROUP BY year, root
+    """,
+)
+def _flatten_industry_json(t: Tables) -> DataFrame:
+    cell = F.struct(
+        F.year("l_shipdate").cast("string").alias("Year"),
+        F.concat((11 + F.col("l_partkey") % 80).cast("string"), F.lit("1")).alias("Industry"),
+        F.concat(F.lit("1,"), (200 + F.col("l_quantity").cast("int")).cast("string")).alias("DataValue"),
+    )
+    data = F.struct(F.struct(F.struct(F.collect_list(cell).alias("Data")).alias("Results")).alias("BEAAPI"))
+    docs = t.lineitem.groupBy("l_orderkey").agg(F.to_json(data).alias("j"))
+    return rounded(payloads.flatten_industry_json(docs, "j", 1993, 1997))
+
+
 @query(
     "stack_indicators",
     """

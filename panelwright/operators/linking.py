@@ -7,6 +7,7 @@ joined back to firms at the end. The fuzzy join is lossless: it blocks on the ra
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +25,6 @@ EXACT_NAME_SCORE, COMPACT_NAME_SCORE, TICKER_BONUS = 1.0, 0.985, 0.08
 TOKEN_SORT_WEIGHT = 0.95
 
 REGISTRY_COLUMNS = ("cik", "ticker", "sec_name", "exchange")
-LONGEST_CHECKED_NAME = 4096
 # A gram held by more names than this is spread over several join keys.
 NAMES_PER_TASK = 5_000
 
@@ -84,13 +84,18 @@ def _edit_budget(length: int, threshold: float) -> int:
 
 
 def gram_size(threshold: float) -> int | None:
-    """Largest q for which prefix filtering loses nothing at this threshold, or None."""
+    """Largest q for which prefix filtering loses nothing at this threshold, or None.
+
+    With r = (1 - threshold) / threshold, a name of n characters has at most r n edits, so q (r n) + 1 <= n - q + 1 holds
+    from n = q / (1 - q r) on; only shorter names need the exact budget.
+    """
+    rate = (1 - threshold) / threshold
     for q in (4, 3, 2):
-        lengths = range(1, LONGEST_CHECKED_NAME)
-        if all(
-            q * _edit_budget(n, threshold) + 1 <= n - q + 1 for n in lengths if _edit_budget(n, threshold) > 0
-        ):
-            return q
+        if q * rate <= 0.99:
+            short = range(1, math.ceil(q / (1 - q * rate)) + 1)
+            budgets = {n: _edit_budget(n, threshold) for n in short}
+            if all(q * k <= n - q for n, k in budgets.items() if k):
+                return q
     return None
 
 
@@ -143,7 +148,8 @@ def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     shift = F.lit(1 - threshold) * longest + 1e-9
     near = F.abs(F.col("at_a") - F.col("at_b")) <= shift
     joined = pre_a.repartition(tasks, *keys).join(pre_b.repartition(tasks, *keys), keys)
-    return joined.where(fits & near).select("a", "b")
+    # A pair that shares several rare grams is scored once.
+    return joined.where(fits & near).select("a", "b").distinct()
 
 
 def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
