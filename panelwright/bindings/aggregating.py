@@ -476,7 +476,7 @@ def _firm_year_derived(t: Tables) -> DataFrame:
         F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("revenue"),
         F.count("*").alias("employees"),
     )
-    items = t.view("scored").where("o_orderstatus <> 'P'")
+    items = t.view("scored").withColumn("gvkey", F.when(F.col("o_orderstatus") != "P", F.col("gvkey")))
     out = firm_year_derived(
         facts, items, "gvkey", "app_year",
         {"benchmark_score_mean": "benchmark_score", "empirical_driven_share": F.coalesce("benchmark_flag", F.lit(0))},

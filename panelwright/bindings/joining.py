@@ -58,8 +58,8 @@ def _star_left_join(t: Tables) -> DataFrame:
     key = F.col("l_orderkey").alias("k")
     parts = [
         t.lineitem.groupBy(key).agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("max_quantity")),
-        t.lineitem.where("l_returnflag = 'R'").groupBy(key).agg(F.count("*").alias("n_returned")),
-        t.orders.join(t.customer.where("c_acctbal > 5000"), F.col("o_custkey") == F.col("c_custkey")).select(
+        t.lineitem.groupBy(key).agg(F.count_if(F.col("l_returnflag") == "R").alias("n_returned")),
+        t.orders.join(t.customer, F.col("o_custkey") == F.when(F.col("c_acctbal") > 5000, F.col("c_custkey"))).select(
             F.col("o_orderkey").alias("k"), F.col("c_mktsegment").alias("segment")
         ),
     ]
@@ -70,18 +70,20 @@ def _star_left_join(t: Tables) -> DataFrame:
 @query(
     "outer_join_chain",
     """
-    WITH a AS (SELECT c_nationkey AS k, count(*) AS n_rich FROM customer WHERE c_acctbal > 9000 GROUP BY 1),
+    WITH a AS (SELECT c_nationkey AS k, count(*) FILTER (WHERE c_acctbal > 9000) AS n_rich FROM customer GROUP BY 1),
     b AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1),
-    c AS (SELECT c_nationkey AS k, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey
-          WHERE o_orderpriority = '5-LOW' GROUP BY 1)
+    c AS (SELECT c_nationkey + 9 AS k, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS n_orders
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
     SELECT k, n_rich, n_suppliers, n_orders FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)
     """,
 )
 def _outer_join_chain(t: Tables) -> DataFrame:
-    a = t.customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_rich"))
+    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count_if(F.col("c_acctbal") > 9000).alias("n_rich"))
     b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
-    low = t.orders.where("o_orderpriority = '5-LOW'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    c = low.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_orders"))
+    placed = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    low = F.count_if(F.col("o_orderpriority") == "5-LOW")
+    # Keys are shifted, so that some exist on one side only.
+    c = placed.groupBy((F.col("c_nationkey") + 9).alias("k")).agg(low.alias("n_orders"))
     return joins.outer_join_chain([a, b, c], ["k"])
 
 
@@ -101,8 +103,7 @@ def _outer_join_chain(t: Tables) -> DataFrame:
 )
 def _union_keys_panel(t: Tables) -> DataFrame:
     ordered = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .where("c_nationkey <> 3")
+        t.orders.join(t.customer, F.col("o_custkey") == F.when(F.col("c_nationkey") != 3, F.col("c_custkey")))
         .groupBy(F.col("c_nationkey").alias("k"), F.year("o_orderdate").alias("year"))
         .agg(F.round(F.sum("o_totalprice"), 2).alias("ordered"))
     )
@@ -112,7 +113,8 @@ def _union_keys_panel(t: Tables) -> DataFrame:
         .agg(F.round(F.sum("l_quantity"), 2).alias("shipped"))
     )
     static = t.nation.select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
-    return joins.union_keys_panel([ordered, shipped], [static], "k", "year", static.where("n_regionkey <> 4"), ["n_name"])
+    valid = static.withColumn("k", F.when(F.col("n_regionkey") != 4, F.col("k")))
+    return joins.union_keys_panel([ordered, shipped], [static], "k", "year", valid, ["n_name"])
 
 
 CONFIG = linking.LinkConfig(fuzzy_threshold=0.86, score_gap_for_conflict=0.03, top_n_candidates=5)
@@ -291,7 +293,8 @@ def _attach_links_to_panel(t: Tables) -> DataFrame:
 def _attach_context(t: Tables) -> DataFrame:
     o = t.orders.withColumn("year", F.year("o_orderdate")).withColumnRenamed("o_orderpriority", "sector")
     panel = o.groupBy("o_custkey", "sector", "year").agg(F.count("*").alias("n"))
-    sector = o.where("o_orderstatus = 'F'").groupBy("sector", "year").agg(F.round(F.avg("o_totalprice"), 4).alias("sector_mean"))
+    final = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    sector = o.groupBy("sector", "year").agg(F.round(F.avg(final), 4).alias("sector_mean"))
     yearly = t.lineitem.groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("shipped"))
     return joins.attach_context(panel, [(sector, ["sector", "year"]), (yearly, ["year"])])
 
@@ -324,7 +327,8 @@ def _window_citation_join(t: Tables) -> DataFrame:
 )
 def _year_or_mode_join(t: Tables) -> DataFrame:
     o = t.orders.select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("year"), "o_orderkey", "o_orderpriority", "o_orderstatus")
-    fy = o.where("o_orderstatus = 'F'").groupBy("k", "year").agg(F.min("o_orderpriority").alias("sic"))
+    final = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    fy = o.groupBy("k", "year").agg(F.min(final).alias("sic"))
     mode = ranking.mode_by_key(fy, "k", "sic", "sic_mode")
     out = joins.year_or_mode_join(o, fy, mode, "k", "year", "sic", "sic_mode", "sic_raw")
     return out.select("o_orderkey", "sic_raw")
@@ -384,7 +388,7 @@ def _build_crosswalk(t: Tables) -> DataFrame:
 def _policy_attach(t: Tables) -> DataFrame:
     code = F.concat(F.lit("N"), F.char(F.lit(65) + F.col("s_nationkey")), F.lit("T"))
     policy = (
-        t.lineitem.join(t.supplier.where("s_nationkey <> 2"), F.col("l_suppkey") == F.col("s_suppkey"))
+        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.when(F.col("s_nationkey") != 2, F.col("s_suppkey")))
         .groupBy(code.alias("iso3c"), F.year("l_shipdate").alias("year"))
         .agg(F.count("*").alias("n_measures"))
     )

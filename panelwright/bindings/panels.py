@@ -257,17 +257,16 @@ INDUSTRY_PANEL_SQL = f"""
 
 
 def industry_items(t: Tables) -> tuple[DataFrame, DataFrame]:
-    owners = t.orders.where("o_orderstatus <> 'P'").select(
-        F.col("o_orderkey").alias("patent_id"), F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("app_year")
+    owners = t.orders.select(
+        F.col("o_orderkey").alias("patent_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("gvkey"), F.year("o_orderdate").alias("app_year")
     )
     firm_year = (
-        t.orders.where("o_orderpriority <> '5-LOW'")
-        .groupBy(F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("year"))
-        .agg(F.min((1 + F.col("o_orderkey") % 50).cast("int")).cast("string").alias("sic"))
+        t.orders.groupBy(F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("year"))
+        .agg(F.min(F.when(F.col("o_orderpriority") != "5-LOW", 1 + F.col("o_orderkey") % 50).cast("int")).cast("string").alias("sic"))
     )
     code = F.concat(F.lit("N"), F.char(F.lit(65) + F.col("s_nationkey")), F.lit("T"))
     policy = (
-        t.lineitem.join(t.supplier.where("s_nationkey < 15"), F.col("l_suppkey") == F.col("s_suppkey"))
+        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.when(F.col("s_nationkey") < 15, F.col("s_suppkey")))
         .groupBy(code.alias("iso3c"), F.year("l_shipdate").alias("year"))
         .agg(
             F.count("*").alias("ecipe_dte_n_measures_cum"),
@@ -344,7 +343,7 @@ def _country_panel(t: Tables) -> DataFrame:
         code("n_nationkey").alias("iso3c"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("wb_country_name")
     )
     accounts = (
-        t.orders.join(t.customer.where("c_nationkey <> 3"), F.col("o_custkey") == F.col("c_custkey"))
+        t.orders.join(t.customer, F.col("o_custkey") == F.when(F.col("c_nationkey") != 3, F.col("c_custkey")))
         .groupBy(code("c_nationkey").alias("iso3c"), F.year("o_orderdate").alias("year"))
         .agg(F.count("*").cast("double").alias("IP.PAT.RESD"))
     )
