@@ -175,7 +175,7 @@ def _score_patents(t: Tables) -> DataFrame:
     )
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT count(*) AS n, count(*) AS n_equal FROM documents")
 def _save_load_model(t: Tables) -> DataFrame:
     model, _ = fitted(t)
     path = scratch_path(t.spark, "model")

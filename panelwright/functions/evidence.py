@@ -98,6 +98,11 @@ def metadata_score(df: DataFrame, class_count: str = "cpc_total_count") -> DataF
     )
 
 
+# Thresholds of the weak labels.
+SEED_STRONG, SEED_SIGNALLED, SEED_MOST_BOILERPLATE = 0.30, 0.28, 0.65
+SEED_WEAK, SEED_NONE, SEED_SOME_BOILERPLATE, SEED_MUCH_BOILERPLATE = 0.06, 0.03, 0.20, 0.45
+
+
 def seed_labels(df: DataFrame) -> DataFrame:
     """Weak label: 1 for clear evidence wording, 0 for clear boilerplate without any, else null."""
 
@@ -111,14 +116,15 @@ def seed_labels(df: DataFrame) -> DataFrame:
     dictionary, boilerplate = F.col("dictionary_score"), F.col("boilerplate_score")
     signals = F.col("metadata_signal_count")
     positive = (
-        ((strong >= 2) & (dictionary >= 0.30) & (boilerplate <= 0.65))
-        | ((evidence >= 2) & (dictionary >= 0.28) & (signals >= 1))
+        ((strong >= 2) & (dictionary >= SEED_STRONG) & (boilerplate <= SEED_MOST_BOILERPLATE))
+        | ((evidence >= 2) & (dictionary >= SEED_SIGNALLED) & (signals >= 1))
         | ((hits("ml_training_data") >= 1) & (hits("experimental_validation") >= 1))
         | ((hits("data_quality_calibration") >= 1) & (hits("empirical_analysis") >= 1))
     )
     silent = (evidence == 0) & (signals == 0)
-    generic = (boilerplate >= 0.20) | (_flag(df, "has_data_processing_cpc") >= 1)
-    negative = (silent & (dictionary <= 0.06) & generic) | (silent & (dictionary <= 0.03) & (boilerplate >= 0.45))
+    generic = (boilerplate >= SEED_SOME_BOILERPLATE) | (_flag(df, "has_data_processing_cpc") >= 1)
+    little, none = silent & (dictionary <= SEED_WEAK), silent & (dictionary <= SEED_NONE)
+    negative = (little & generic) | (none & (boilerplate >= SEED_MUCH_BOILERPLATE))
     return df.withColumn("seed_label", F.when(positive, 1).when(negative, 0))
 
 

@@ -121,6 +121,10 @@ def positive_probability(model: Transformer, df: DataFrame, out: str) -> DataFra
     return scored.drop("__p", "__raw", "__pred")
 
 
+#: Rows whose terms are gathered at once; bounds the memory of a batch.
+ROWS_PROJECTED = 256
+
+
 @dataclass
 class SemanticSpace:
     """Right singular vectors and the unit mean vectors of the two prototype sets. Size is bounded by the
@@ -137,10 +141,18 @@ class SemanticSpace:
         @F.pandas_udf("double")
         def project(indices: pd.Series, values: pd.Series) -> pd.Series:
             basis, direction = shared.value
-            out = np.empty(len(indices))
-            for i, (at, w) in enumerate(zip(indices, values)):
-                point = np.asarray(w, dtype=float) @ basis[np.asarray(at, dtype=int)]
-                out[i] = point @ direction / (np.linalg.norm(point) + EPSILON)
+            out = np.zeros(len(indices))
+            for k in range(0, len(indices), ROWS_PROJECTED):
+                some = indices.iloc[k : k + ROWS_PROJECTED]
+                sizes = np.array([len(at) for at in some])
+                filled = np.flatnonzero(sizes)
+                if not len(filled):
+                    continue
+                at = np.concatenate([np.asarray(x, dtype=int) for x in some])
+                w = np.concatenate([np.asarray(x, dtype=float) for x in values.iloc[k : k + ROWS_PROJECTED]])
+                starts = (np.cumsum(sizes) - sizes)[filled]
+                points = np.add.reduceat(w[:, None] * basis[at], starts, axis=0)
+                out[k + filled] = points @ direction / (np.linalg.norm(points, axis=1) + EPSILON)
             return pd.Series(out)
 
         raw = F.unwrap_udt(features)
