@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row.
 
     Texts are lower-cased in A-Z and split at ASCII white space. Null and blank texts have no shingles, link with nothing
-    and are their own component. Rows that repeat a key each keep theirs, and all count under that key. An empty table
-    gives no rows; other columns are not read.
+    and are their own component. Rows that repeat a key each keep theirs, and all count under that key; a row without key is
+    not kept. An empty table gives no rows; other columns are not read.
     """
     docs = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
     rows = stored(signatures(docs, size), "signatures")
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
     )
 
 
