@@ -346,8 +346,11 @@ def remove_repeats(
 
     A byte goes if a ``window``-byte string that covers it also starts in a document with a smaller ``doc_id``; strings
     are judged on the input. Matches never cross rows; rows that share a doc_id are not compared with each other. A null
-    text is empty, a row without doc_id keeps its text. An empty table gives no rows.
+    text is empty, a row without doc_id keeps its text. An empty table gives no rows. Further columns stay, except those
+    named like a result.
     """
+    if not as_text:
+        docs = docs.drop("n_bytes", "kept", "spans")
     blocks = bucketed(blocks_of(docs, block_bytes))
     total = blocks.select(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(8, -(-3 * total // bucket_bytes))
