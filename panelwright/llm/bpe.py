@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import CACHE_ENTRIES, WordCache, once, per_text, texts_of
+from .words import WordCache, once, per_text, texts_of
 
 #: A word always ends before a space that a visible character follows, whatever the pattern makes of the rest.
 CUT = re.compile(r" (?=\S)")
 #: Words of one recursion, and the bytes beyond which all equal pairs of a word are contracted in one step.
 WORDS_PER_QUERY = 20_000
+#: Words and pieces kept from slice to slice, and bytes of text in a slice: they share a worker's memory.
+CACHED_WORDS, CACHED_PIECES, SLICE_BYTES = 700_000, 250_000, 2 << 20
 LONG_WORD = 64
 
 ONE_PAIR = """
@@ -96,8 +98,8 @@ class ByteMerges:
         self._load("vocabulary", tok=pa.array(ranks.values(), pa.int32()), shown=pa.array([t.hex() for t in ranks]))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(pattern).findall
-        self.tokens = WordCache(self._encode)
-        self.spaced = WordCache(lambda pieces: self._pieces([" " + p for p in pieces]), CACHE_ENTRIES // 2)
+        self.tokens = WordCache(self._encode, CACHED_WORDS)
+        self.spaced = WordCache(lambda pieces: self._pieces([" " + p for p in pieces]), CACHED_PIECES)
 
     def _load(self, name: str, **columns: pa.Array) -> None:
         self.con.register("arriving", pa.table(columns))
@@ -177,4 +179,4 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc
         return one
 
     rows = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
-    return per_text(rows, ("doc_id", "text"), "doc_id long, ids array<int>, decoded binary", make)
+    return per_text(rows, ("doc_id", "text"), "doc_id long, ids array<int>, decoded binary", make, SLICE_BYTES)

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     labels = components(links)
 
     placed = labelled(rows.drop("sig"), labels, "class", "label")
-    least = placed.where("class IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join below sees two plain shuffles and can split a large component.
+    least = stored(placed.where("class IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "label", "left").select(
         "doc_id",
         "n_shingles",

@@ -66,14 +66,18 @@ def pieces_of(batch: pa.RecordBatch, size: int = 8 << 20, name: str = "text") ->
 
 
 def per_text(
-    docs: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]
+    docs: DataFrame,
+    columns: Sequence[str],
+    schema: str,
+    make: Callable[[], Callable[[pa.RecordBatch], dict]],
+    slice_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Rows made from each slice of the named columns; ``make`` prepares a worker's state once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            for part in pieces_of(batch):
+            for part in pieces_of(batch, slice_bytes):
                 yield pa.RecordBatch.from_pydict(one(part))
 
     return docs.select(*columns).mapInArrow(run, schema)
