@@ -73,17 +73,19 @@ class LanguageModel:
     """Log odds of each language for words (size 0) and n-grams, each against the mean of all languages."""
 
     languages: list[str]
-    odds: dict[int, dict[str, np.ndarray]]
+    odds: dict[int, dict[str, tuple[float, ...]]]
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         known = self.odds[0].get(word)
         if known is not None:
             return known
         for size in ORDERS:
-            found = [v for g in grams(word, size) if (v := self.odds[size].get(g)) is not None]
+            get = self.odds[size].get
+            found = [v for g in grams(word, size) if (v := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                n = len(found)
+                return tuple([sum(c) / n for c in zip(*found, strict=True)])
+        return (0.0,) * len(self.languages)
 
 
 class WordScores(dict):
@@ -95,7 +97,11 @@ class WordScores(dict):
 
     def __missing__(self, word: bytes) -> int:
         parts = LETTERS.findall(word.decode().lower())
-        self.odds.extend(sum((self.model.word(p) for p in parts), np.zeros(len(self.model.languages))).tolist())
+        if len(parts) == 1:
+            self.odds.extend(self.model.word(parts[0]))
+        else:
+            none = (0.0,) * len(self.model.languages)
+            self.odds.extend([sum(c) for c in zip(none, *map(self.model.word, parts), strict=True)])
         self.words.append(len(parts))
         row = self[word] = len(self.words) - 1
         return row
@@ -128,7 +134,7 @@ def fit_languages(
                 n[k, place[x["lang"]]] += x["n"]
         logs = np.log(n / n.sum(axis=0)) if at else n
         logs -= logs.mean(axis=1, keepdims=True) if at else 0
-        odds[size] = dict(zip([items[i] for i in at], logs.astype(np.float32), strict=True))
+        odds[size] = dict(zip([items[i] for i in at], map(tuple, logs.tolist()), strict=True))
     return LanguageModel(languages, odds)
 
 

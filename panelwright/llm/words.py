@@ -109,8 +109,9 @@ _SHARED: dict = {}
 
 
 def once(slot: str, version, build: Callable):
-    """A value kept in the Python worker across tasks; another version takes its place."""
+    """A value kept in the Python worker across tasks. A worker holds one at a time, so that caches do not add up."""
     if slot not in _SHARED or _SHARED[slot][0] != version:
+        _SHARED.clear()
         _SHARED[slot] = (version, build())
     return _SHARED[slot][1]
 
