@@ -167,10 +167,14 @@ def fit_semantic_space(
     positive: Sequence[str] = POSITIVE_PROTOTYPES,
     negative: Sequence[str] = NEGATIVE_PROTOTYPES,
 ) -> SemanticSpace:
-    """Truncated SVD of the feature rows, and prototypes placed in the same space."""
+    """Truncated SVD of the feature rows, and prototypes placed in the same space.
+
+    A vocabulary with fewer terms than ``components`` gives as many components as terms.
+    """
     spark = train.sparkSession
     rows = MLUtils.convertVectorColumnsFromML(train.select("features"), "features").persist()
-    basis = RowMatrix(rows).computeSVD(components, computeU=False).V.toArray()
+    matrix = RowMatrix(rows)
+    basis = matrix.computeSVD(min(components, matrix.numCols()), computeU=False).V.toArray()
     rows.unpersist()
     sentences = [(i, s) for i, group in enumerate((positive, negative)) for s in group]
     placed = vectorize(vectorizer, spark.createDataFrame(sentences, f"side int, {text} string")).select("side", "features")
