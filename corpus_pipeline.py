@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.fertility import accepted
+from panelwright.llm.fertility import accepted, fit_floors
 from panelwright.llm.language import fit_languages, held_out, recognised
 from panelwright.llm.near import near_duplicates
 from panelwright.llm.packing import pack_documents
@@ -21,8 +22,18 @@ from panelwright.session import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the base rules and lie in the fertility band of their language or script."""
-    return accepted(docs, vocabulary("piece_bpe_32k.model"))
+    """Keep documents that pass the base rules and lie in the fertility band of their language or script.
+
+    Floors are fitted on the labelled rows where the folder has a table of labels.
+    """
+    path = vocabulary("piece_bpe_32k.model")
+    try:
+        labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return accepted(docs, path)
+    return accepted(docs, path, floors=fit_floors(docs, labels, path))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 For each whole text: characters per token, the share of tokens that are single-byte fallbacks, and the entropy of its
 tokens, under a SentencePiece vocabulary with byte fallback. Texts outside the band of their language (else of their
-script) are rejected, as are texts that fail the base rules on length and repeated three-word windows.
+script) are rejected, as are texts that fail the base rules on length and repeated three-word windows. Where labelled rows
+allow it, a joint floor for characters per token and entropy is fitted on clean texts of the language or script as well.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .trees import labelled_sample
 from .words import beside, once, per_text, texts_of
 
 SPACES, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
@@ -57,6 +59,26 @@ BANDS: dict[str, Band] = {
 }
 
 
+@dataclass(frozen=True)
+class Floor:
+    """Least weighted sum of two deviations from clean texts, in standard deviations: characters per token and entropy.
+
+    Entropy grows with the number of tokens, so it is compared with a parabola over the logarithm of that number, which is
+    held within the range that was fitted.
+    """
+
+    chars: tuple[float, float]  # mean and deviation
+    curve: tuple[float, float, float]
+    range: tuple[float, float]
+    entropy: float  # deviation from the curve
+    weights: tuple[float, float]
+    least: float
+
+
+#: The share of clean texts that a fitted floor may cut, and the height in deviations above which no floor rises.
+CLEAN_CUT, HIGHEST_FLOOR = 0.002, -3.5
+
+
 class Fertility:
     """Tokens of words under one vocabulary, cached by word; the cache starts anew between batches when full."""
 
@@ -200,13 +222,86 @@ def in_band(bands: Mapping[str, Band], at: str = "") -> Column:
     return F.coalesce(F.when(tokens > 0, verdict), F.lit(False))
 
 
-def judge(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS, key: str = "doc_id") -> DataFrame:
+def _floor(chars: np.ndarray, tokens: np.ndarray, entropy: np.ndarray, clean: np.ndarray) -> Floor:
+    """The floor from the clean rows; the other rows only set the weights of the two deviations."""
+    size = np.log2(tokens)
+    low, high = float(size[clean].min()), float(size[clean].max())
+    powers = np.vander(size.clip(low, high), 3, increasing=True)
+    curve = np.linalg.lstsq(powers[clean], entropy[clean], rcond=None)[0]
+    x = np.column_stack([chars, entropy - powers @ curve])
+    mean, sd = x[clean].mean(axis=0), x[clean].std(axis=0) + 1e-3
+    z = (x - mean) / sd
+    spread = np.cov(z[clean].T) + 1e-3 * np.eye(2)
+    weights = np.ones(2)
+    if (~clean).sum() >= 5:
+        found = np.linalg.solve(spread, -z[~clean].mean(axis=0)).clip(0)
+        weights = found if found.any() else weights
+    weights = weights / np.sqrt(weights @ spread @ weights)
+    least = min(float(np.quantile(z[clean] @ weights, CLEAN_CUT)), HIGHEST_FLOOR)
+    return Floor(
+        (float(mean[0]), float(sd[0])), tuple(curve.tolist()), (low, high), float(sd[1]), tuple(weights.tolist()), least
+    )
+
+
+def fit_floors(
+    docs: DataFrame, labels: DataFrame, vocabulary: str, most_rows: int = 20_000, least_clean: int = 30, key: str = "doc_id"
+) -> dict[tuple[str, str], Floor]:
+    """Floors by ("lang", language) and ("script", script), from at most ``most_rows`` labelled documents.
+
+    Their measures come to the driver. Rows that fail the base rules do not count. A language or script with fewer than
+    ``least_clean`` clean rows gets no floor; its texts go by the script, else by the bands alone.
+    """
+    lang = ("lang",) if "lang" in docs.columns else ()
+    sample = labelled_sample(docs, labels, "quality", most_rows, key, lang)
+    found = beside(sample, _inputs(sample, key), SCHEMA, _measuring(vocabulary), "_fertility").select("y", "_fertility.*")
+    rows = found.where(~base_failed() & (F.col("n_tokens") > 0)).orderBy("doc_id").toArrow()
+    column = {n: rows.column(n).to_numpy() for n in ("y", "word_chars", "n_tokens", "entropy")}
+    chars, clean = column["word_chars"] / column["n_tokens"], column["y"] == 1
+    floors = {}
+    for by in ("lang", "script"):
+        names = rows.column(by).to_pylist()
+        for name in sorted({n for n in names if n}):
+            at = np.array([n == name for n in names])
+            if clean[at].sum() >= least_clean:
+                floors[by, name] = _floor(chars[at], column["n_tokens"][at], column["entropy"][at], clean[at])
+    return floors
+
+
+def above_floor(floors: Mapping[tuple[str, str], Floor], at: str = "") -> Column:
+    """Whether the measured columns reach the floor of ``lang``, else of ``script``; true where neither has one."""
+    tokens = F.col(f"{at}n_tokens")
+    verdict = F.lit(True)
+    for by in ("script", "lang"):
+        for (of, name), f in floors.items():
+            if of == by:
+                size = F.least(F.greatest(F.log2(tokens), F.lit(f.range[0])), F.lit(f.range[1]))
+                usual = f.curve[0] + size * f.curve[1] + size * size * f.curve[2]
+                score = (F.col(f"{at}word_chars") / tokens - f.chars[0]) * (f.weights[0] / f.chars[1])
+                score += (F.col(f"{at}entropy") - usual) * (f.weights[1] / f.entropy)
+                verdict = F.when(F.col(f"{at}{by}") == name, score >= f.least).otherwise(verdict)
+    return F.coalesce(F.when(tokens > 0, verdict), F.lit(False))
+
+
+def judge(
+    docs: DataFrame,
+    vocabulary: str,
+    bands: Mapping[str, Band] = BANDS,
+    key: str = "doc_id",
+    floors: Mapping[tuple[str, str], Floor] | None = None,
+) -> DataFrame:
     """Measures with ``base_failed`` and ``kept``."""
     rows = measures(docs, vocabulary, key).withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", ~F.col("base_failed") & in_band(bands))
+    return rows.withColumn("kept", ~F.col("base_failed") & in_band(bands) & above_floor(floors or {}))
 
 
-def accepted(docs: DataFrame, vocabulary: str, bands: Mapping[str, Band] = BANDS, key: str = "doc_id") -> DataFrame:
+def accepted(
+    docs: DataFrame,
+    vocabulary: str,
+    bands: Mapping[str, Band] = BANDS,
+    key: str = "doc_id",
+    floors: Mapping[tuple[str, str], Floor] | None = None,
+) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     found = beside(docs, _inputs(docs, key), SCHEMA, _measuring(vocabulary), "_fertility")
-    return found.where(~base_failed("_fertility.") & in_band(bands, "_fertility.")).select(*docs.columns)
+    good = ~base_failed("_fertility.") & in_band(bands, "_fertility.") & above_floor(floors or {}, "_fertility.")
+    return found.where(good).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
 from .counts import token_counts
-from .fertility import judge
+from .fertility import fit_floors, judge
 from .language import fit_languages, held_out, predict_languages
 from .near import near_duplicates
 from .nearest import search
@@ -80,7 +80,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+    docs, path = table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model")
+    return judge(docs, path, floors=fit_floors(docs, table(spark, folder, "labels"), path))
 
 
 @query

@@ -107,8 +107,10 @@ def held_out(key: str = "doc_id", parts: int = 5) -> Column:
     return F.coalesce(remainder(key, parts) == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
-    """(key, text, y) of at most ``most`` labelled rows outside the held-out part, by the order of a hash of the key.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, text, further columns, y) of at most ``most`` labelled rows outside the held-out part, by the order of a hash of the key.
 
     Of several labels of one key the largest stands; labels other than 0 and 1 are left out.
     """
@@ -120,4 +122,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, k
         .limit(most)
     )
     # At most ``most`` keys and labels are broadcast.
-    return docs.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(known), key).dropDuplicates([key])
+    texts = docs.select(key, F.col("text").cast("string").alias("text"), *columns)
+    return texts.join(F.broadcast(known), key).dropDuplicates([key])

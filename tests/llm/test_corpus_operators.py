@@ -178,6 +178,32 @@ def test_bands_go_by_language_then_script(spark):
     assert by_id(fertility.judge(df, path, {"latin": narrow, "xx": wide, "": wide}), "kept") == {1: (True,), 2: (False,)}
 
 
+def test_fitted_floors_reject_junk_and_keep_clean_text_of_held_out_rows(spark):
+    r = random.Random(12)
+    syllables = "the and ing tion er on re st en al ma ri to de sa ble con ter".split()
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    ranks = [1 / (i + 5) for i in range(3000)]
+    rows, labels = [], []
+    for i in range(600):
+        text, junk = r.choices(words, ranks, k=r.randint(60, 600)), r.random() < 0.25
+        if junk:
+            text = [w + r.choice(["###", "$$$", "%%%", "&&&"]) for w in text]
+        rows.append((i, " ".join(text), r.choice(["en", None])))
+        labels.append((i, int(not junk), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    path = public.path("piece_bpe_32k.model")
+    floors = fertility.fit_floors(docs, labels, path)
+    assert set(floors) == {("lang", "en"), ("script", "latin")}
+    judged = fertility.judge(docs, path, floors=floors).where(trees.held_out()).join(labels, "doc_id")
+    shares = {x["quality"]: x["kept"] for x in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert shares[1] > 0.95 and shares[0] < 0.1
+    left = {x[0] for x in fertility.accepted(docs, path, floors=floors).select("doc_id").collect()}
+    assert left == {x["doc_id"] for x in fertility.judge(docs, path, floors=floors).where("kept").collect()}
+    assert fertility.fit_floors(docs.limit(0), labels, path) == {}
+    assert fertility.fit_floors(docs.drop("lang"), labels, path).keys() == {("script", "latin")}
+
+
 # Language identification
 
 
