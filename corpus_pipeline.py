@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.fertility import accepted, fit_floors
 from panelwright.llm.language import fit_languages, held_out, recognised
-from panelwright.llm.near import near_duplicates
+from panelwright.llm.near import distinct_rows
 from panelwright.llm.packing import pack_documents
 from panelwright.llm.queries import vocabulary
 from panelwright.llm.repeats import remove_repeats
@@ -42,12 +42,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of each near-duplicate group (five words, similarity 0.8).
-
-    Rows without doc_id cannot be told apart and go; rows that repeat a kept doc_id stay.
-    """
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row of each near-duplicate group (five words, similarity 0.8): that of least doc_id, rows without one last."""
+    return distinct_rows(docs, size=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

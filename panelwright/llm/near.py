@@ -71,7 +71,7 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class`` and ``sig`` of each text; null class and signature for an empty set."""
+    """``row``, ``doc_id``, ``n_shingles``, ``class`` and ``sig`` of each text; null class and signature for an empty set."""
 
     def make():
         def one(batch: pa.RecordBatch) -> dict:
@@ -85,7 +85,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 classes.append(c)
                 sigs.append(seen.get(c))
             return {
-                "doc_id": batch.column(0),
+                "row": batch.column(0),
+                "doc_id": batch.column(2),
                 "n_shingles": pa.array(sizes, pa.int64()),
                 "class": pa.array(classes, pa.int64()),
                 "sig": pa.array(sigs, pa.list_(pa.int32())),
@@ -93,7 +94,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
         return one
 
-    return per_text(docs, ("doc_id", "text"), "doc_id long, n_shingles long, class long, sig array<int>", make)
+    schema = "row long, doc_id long, n_shingles long, class long, sig array<int>"
+    return per_text(docs, ("row", "text", "doc_id"), schema, make)
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -181,14 +183,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     Texts are lower-cased in A-Z and split at ASCII white space. Null and blank texts have no shingles, link with nothing
     and are their own component. Rows that repeat a key each keep theirs, and all count under that key; a row without key is
-    not kept. An empty table gives no rows; other columns are not read.
+    not kept, but others link through it. An empty table gives no rows; other columns are not read.
     """
     docs = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
+    placed = _placed(numbered(docs, "row"), size, percent)
+    # Written first, so that the join below sees two plain shuffles and can split a large component.
+    least = stored(placed.where("class IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    return placed.join(least, "label", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
+    )
+
+
+def distinct_rows(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that of the least key, a null key last.
+
+    Rows are told apart by a numbering of their own, so keys may repeat or be null; rows with equal keys go by it. Texts
+    without shingles are in no group and all stay.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    docs = numbered(docs, row)
+    keyed = docs.selectExpr(f"`{row}` AS row", f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
+    placed = _placed(keyed, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    best = placed.where("class IS NOT NULL").groupBy("label").agg(first).select(F.col("first.row").alias(row))
+    kept = stored(best.union(placed.where("class IS NULL").select("row")), "kept")
+    return docs.join(kept, row, "left_semi").drop(row)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, written once so that all readers see the same."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``row``, ``doc_id``, ``n_shingles``, ``class`` and ``label`` (its component) of each of the numbered rows."""
     rows = stored(signatures(docs, size), "signatures")
     classes = stored(
         rows.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min_by("sig", "doc_id").alias("sig")),
+        .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.min_by("sig", "row").alias("sig")),
         "classes",
     )
     keys = band_keys(classes)
@@ -213,8 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         .select("a", "b", "shared"),
         "stars",
     )
-    wanted = buckets.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    texts = stored(_texts(docs, wanted, size).dropDuplicates(["class"]), "texts")
+    wanted = buckets.select("class").distinct().join(classes.select("class", "row"), "class")
+    texts = stored(docs.join(wanted, "row").select("class", "text"), "texts")
 
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     links = stored(confirmed(best, texts, size, percent), "links")
@@ -226,30 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     links = stored(links.union(confirmed(pairs, texts, size, percent)), "links")
     labels = components(links)
 
-    placed = labelled(rows.drop("sig"), labels, "class", "label")
-    # Written first, so that the join below sees two plain shuffles and can split a large component.
-    least = stored(placed.where("class IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
-    return placed.join(least, "label", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
-    )
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """One text for each wanted class, found through a document of it."""
-    found = docs.join(wanted, "doc_id").select("class", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [
-                class_of(shingle_set(t, size)) == c
-                for c, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True)
-            ]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return found.mapInArrow(run, "class long, text string")
+    return labelled(rows.drop("sig"), labels, "class", "label")
 
 
 def _other_stars(stars: DataFrame, labels: DataFrame) -> DataFrame:

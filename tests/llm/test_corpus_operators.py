@@ -279,6 +279,31 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, size):
     assert near.near_duplicates(empty, size, 80).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_key(spark):
+    r = random.Random(21)
+    base = [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(5)]
+
+    def changed(words, k):
+        return " ".join(words[:k] + ["other"] + words[k + 1 :])
+
+    a, b, c, d, e = (" ".join(x) for x in base)
+    rows = [(None, a, "unique text, no key"), (7, b, "x"), (7, b, "x"), (7, b, "x"), (3, changed(base[1], 50), "least key")]
+    rows += [(7, c, "other text under the key"), (None, d, "y"), (None, changed(base[3], 9), "y"), (None, e, "z"), (1, e, "key before none")]
+    rows += [(None, "", "blank"), (None, None, "blank")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    left = sorted(x["row"] for x in near.distinct_rows(docs, 4, 80).collect())
+    assert left == sorted(["unique text, no key", "least key", "other text under the key", "y", "key before none", "blank", "blank"])
+
+
+def test_links_run_through_texts_without_a_key(spark):
+    words = [f"w{i}" for i in range(120)]
+    step = [" ".join([f"x{i}" for i in range(k)] + words[k:]) for k in (0, 10, 18)]
+    assert plain_components({0: step[0], 2: step[2]}, 4, 80)[2][1] == 2
+    docs = spark.createDataFrame([(0, step[0]), (None, step[1]), (2, step[2])], "doc_id long, text string")
+    got = by_id(near.near_duplicates(docs, 4, 80), "component_id", "kept")
+    assert got == {0: (0, True), None: (0, False), 2: (0, False)}
+
+
 # Repeats
 
 
