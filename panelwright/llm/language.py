@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import CACHE_ENTRIES, beside, once, per_text, pieces_of, remainder, texts_of
@@ -32,9 +32,20 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def bounded_sample(docs: DataFrame, keep: Column, most: int, key: str = "doc_id") -> DataFrame:
-    """``most`` rows of those that ``keep`` accepts, by the order of a hash of the key; texts are fetched afterwards."""
-    picked = docs.where(keep).select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    return docs.where(keep).join(F.broadcast(picked), key, "left_semi")
+    """Rows that ``keep`` accepts, of at most ``most`` keys of each language, by the order of a hash of the key.
+
+    Only keys whose hash lies in the share that a language needs (and a quarter more) are ordered; texts are fetched
+    afterwards.
+    """
+    rows = docs.where(keep).select(key, "lang")
+    spread = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(spread))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("keys"))
+    limits = counts.select("lang", (F.lit(1.25 * most * spread) / F.col("keys")).alias("limit"))
+    near = rows.join(F.broadcast(limits), "lang").where(place < F.col("limit")).select("lang", key).distinct()
+    order = Window.partitionBy("lang").orderBy(place, key)
+    picked = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("lang", key)
+    return docs.where(keep).join(F.broadcast(picked), ["lang", key], "left_semi")
 
 
 def count_sample(sample: DataFrame) -> DataFrame:
@@ -76,6 +87,11 @@ class LanguageModel:
     odds: dict[int, dict[str, tuple[float, ...]]]
 
     def word(self, word: str) -> tuple[float, ...]:
+        found = self.known(word)
+        return (0.0,) * len(self.languages) if found is None else found
+
+    def known(self, word: str) -> tuple[float, ...] | None:
+        """The odds of a word, or None where the sample has no part of it."""
         known = self.odds[0].get(word)
         if known is not None:
             return known
@@ -85,24 +101,26 @@ class LanguageModel:
             if found:
                 n = len(found)
                 return tuple([sum(c) / n for c in zip(*found, strict=True)])
-        return (0.0,) * len(self.languages)
+        return None
 
 
 class WordScores(dict):
-    """Rows of white-space separated words; ``odds`` has a row's summed log odds, ``words`` its number of words."""
+    """Rows of white-space separated words: ``odds`` has a row's summed log odds, ``words`` its words, ``known`` those known."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.odds, self.words = model, array("d"), array("i")
+        self.model, self.odds, self.words, self.known = model, array("d"), array("i"), array("i")
 
     def __missing__(self, word: bytes) -> int:
         parts = LETTERS.findall(word.decode().lower())
-        if len(parts) == 1:
-            self.odds.extend(self.model.word(parts[0]))
+        found = [x for p in parts if (x := self.model.known(p)) is not None]
+        if len(found) == 1:
+            self.odds.extend(found[0])
         else:
             none = (0.0,) * len(self.model.languages)
-            self.odds.extend([sum(c) for c in zip(none, *map(self.model.word, parts), strict=True)])
+            self.odds.extend([sum(c) for c in zip(none, *found, strict=True)])
         self.words.append(len(parts))
+        self.known.append(len(found))
         row = self[word] = len(self.words) - 1
         return row
 
@@ -110,13 +128,13 @@ class WordScores(dict):
         """Start anew when full; rows handed out before are no longer valid."""
         if len(self) > CACHE_ENTRIES:
             self.clear()
-            del self.odds[:], self.words[:]
+            del self.odds[:], self.words[:], self.known[:]
 
 
 def fit_languages(
-    docs: DataFrame, train: Column, most_docs: int = 4000, min_count: int = 2, key: str = "doc_id"
+    docs: DataFrame, train: Column, most_docs: int = 1000, min_count: int = 2, key: str = "doc_id"
 ) -> LanguageModel:
-    """Fit on at most ``most_docs`` labelled texts; items seen fewer than ``min_count`` times are left out."""
+    """Fit on at most ``most_docs`` labelled texts of each language; items seen fewer than ``min_count`` times are left out."""
     sample = bounded_sample(docs.select(key, "text", "lang"), train & F.col("lang").isNotNull(), most_docs, key)
     counts = count_sample(sample).groupBy("size", "item").agg(
         F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total")
@@ -152,26 +170,35 @@ def _predicting(docs: DataFrame, model: LanguageModel, weight: int):
             split = [t.split() for t in texts_of(batch)]
             at = np.fromiter((i for ws in split for i in map(scores.__getitem__, ws)), np.int64)
             pred, score = [UNDETERMINED] * len(split), np.zeros(len(split))
+            words, known = np.zeros(len(split), np.int64), np.zeros(len(split), np.int64)
             sizes = np.array([len(ws) for ws in split])
             rows = np.flatnonzero(sizes)
-            if width and len(rows):
+            if len(rows):
                 starts = (np.cumsum(sizes) - sizes)[rows]
+                words[rows] = n = np.add.reduceat(np.array(scores.words, np.int64)[at], starts)
+                known[rows] = np.add.reduceat(np.array(scores.known, np.int64)[at], starts)
+            if width and len(rows):
                 total = np.add.reduceat(np.array(scores.odds).reshape(-1, width)[at], starts)
-                n = np.add.reduceat(np.array(scores.words)[at], starts)
                 mean = total / np.maximum(n, 1)[:, None] * np.minimum(n, weight)[:, None]
                 best = mean.argmax(axis=1)
                 share = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
                 for r, b, s, k in zip(rows.tolist(), best.tolist(), share.tolist(), n.tolist(), strict=True):
                     if k:
                         pred[r], score[r] = model.languages[b], s
-            return {"doc_id": batch.column(0), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+            return {
+                "doc_id": batch.column(0),
+                "lang_pred": pa.array(pred, pa.string()),
+                "score": pa.array(score),
+                "words": pa.array(words),
+                "known": pa.array(known),
+            }
 
         return one
 
     return make
 
 
-SCHEMA = "doc_id long, lang_pred string, score double"
+SCHEMA = "doc_id long, lang_pred string, score double, words long, known long"
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, weight: int = 20, key: str = "doc_id") -> DataFrame:
@@ -182,16 +209,22 @@ def predict_languages(docs: DataFrame, model: LanguageModel, weight: int = 20, k
     Repeated keys keep their rows; an empty table gives none; other columns are not read.
     """
     rows = docs.selectExpr(f"cast(`{key}` AS BIGINT) AS doc_id", "cast(text AS STRING) AS text")
-    return per_text(rows, ("doc_id", "text"), SCHEMA, _predicting(docs, model, weight))
+    found = per_text(rows, ("doc_id", "text"), SCHEMA, _predicting(docs, model, weight))
+    return found.select("doc_id", "lang_pred", "score")
 
 
 def recognised(
     docs: DataFrame, model: LanguageModel, least_score: float = 0.4, weight: int = 20, key: str = "doc_id"
 ) -> DataFrame:
-    """The rows of ``docs`` in a language of the model, with all their columns."""
+    """The rows of ``docs`` that the model has nothing against, with all their columns.
+
+    Texts without letters go, and texts of which the model knows most words but no language reaches ``least_score``. A text
+    of mostly unknown words (a script that was not in the sample, a model without languages) says nothing and stays.
+    """
     inputs = [f"cast(`{key}` AS BIGINT)", "cast(text AS STRING)"]
     found = beside(docs, inputs, SCHEMA, _predicting(docs, model, weight), "_language")
-    good = (F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least_score)
+    unknown = 2 * F.col("_language.known") <= F.col("_language.words")
+    good = (F.col("_language.words") > 0) & (unknown | (F.col("_language.score") >= least_score))
     return found.where(good).select(*docs.columns)
 
 

@@ -226,6 +226,32 @@ def test_language_of_held_out_documents(spark, empty):
     assert language.predict_languages(empty, model).count() == 0
 
 
+def test_rare_languages_are_learned_and_unseen_scripts_stay(spark, empty):
+    r = random.Random(8)
+
+    def text(stems):
+        return " ".join(r.choice(stems) + r.choice("abcdefgh") for _ in range(30))
+
+    rows = [(i, text(["kelo", "miru", "tana"]), "aa") for i in range(600)]
+    rows += [(i, text(["grund", "stark", "fluss"]), "bb") for i in range(600, 606)]
+    rows += [(i, " ".join(r.choice(["река", "камень", "утро"]) for _ in range(30)), None) for i in range(700, 705)]
+    rows += [(800, "12 34 !!", None), (801, None, "aa"), (802, " ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = F.lit(True)
+    sample = language.bounded_sample(df, F.col("lang").isNotNull(), 40)
+    assert {x["lang"]: x["count"] for x in sample.groupBy("lang").count().collect()} == {"aa": 40, "bb": 6}
+    model = language.fit_languages(df, train, most_docs=40)
+    assert model.languages == ["aa", "bb"]
+    got = by_id(language.predict_languages(df, model), "lang_pred")
+    assert all(got[i] == (x,) for i, _, x in rows if i < 700)
+    wanted = {i for i, _, _ in rows if i < 705}
+    many = language.LanguageModel(["aa", "bb", "cc", "dd"], {k: {w: (*v, -9.0, -9.0) for w, v in d.items()} for k, d in model.odds.items()})
+    for m in (model, many, language.fit_languages(empty, train), language.fit_languages(df.withColumn("lang", F.lit(None).cast("string")), train)):
+        assert {x[0] for x in language.recognised(df, m).select("doc_id").collect()} == wanted
+    against = language.LanguageModel(["aa", "bb", "cc"], {0: {}, 4: {}, 3: {}, 2: {}, 1: {c: (0.0, 0.0, 0.0) for c in "abcdefghijklmnopqrstuvwxyz"}})
+    assert {x[0] for x in language.recognised(df, against).select("doc_id").collect()} == set(range(700, 705))
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     odds = {0: {"known": (1.0, -1.0)}, 4: {"<abc": (0.5, -0.5)}, 3: {}, 2: {}, 1: {"z": (-2.0, 2.0)}}
     model = language.LanguageModel(["aa", "bb"], odds)
