@@ -1,6 +1,6 @@
 """Suffix-array style removal of long byte strings that an earlier document already has.
 
-Distributed prefix doubling over suffixes at sampled positions. Every 50-byte window owns one anchor, the least of its
+Fingerprints of growing length at sampled positions, in place of prefix doubling. Every 50-byte window owns one anchor, the least of its
 24-byte hashes, so equal windows have equal anchors. Ranks are 64-bit names of prefixes, and a round keeps only positions
 whose name occurs in more than one document:
 
