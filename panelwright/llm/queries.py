@@ -14,10 +14,12 @@ from .language import fit_languages, held_out, predict_languages
 from .near import near_duplicates
 from .nearest import search
 from .packing import pack_documents
+from .pivots import top_k
 from .quality import fit_quality, score_quality
 from .repeats import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .trees import held_out as held_out_fifth
+from .whitening import whiten
 from .words import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +117,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = predict_languages(docs, fit_languages(docs, ~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SQL["op11_exact_top_k"] = """
+WITH finite AS (
+  SELECT vec_id, list_transform(embedding, c -> floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM finite q JOIN finite c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), components=32)
