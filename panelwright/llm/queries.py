@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
+from .collocations import collocations
 from .counts import token_counts
 from .fertility import fit_floors, judge
 from .language import fit_languages, held_out, predict_languages
@@ -126,8 +127,8 @@ def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["op11_exact_top_k"] = """
 WITH finite AS (
-  SELECT vec_id, list_transform(embedding, c -> floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+  SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
   FROM finite q JOIN finite c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
@@ -141,3 +142,42 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), components=32)
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"), least=30, covered=80, top=2000)
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+    FROM documents WHERE text IS NOT NULL)
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), counts AS (
+  SELECT lang, g, count(*) AS f FROM (
+    SELECT lang, list_slice(w, i, i + k - 1) AS g
+    FROM pieces, LATERAL unnest(range(1, len(w) + 1)) AS x(i), unnest(range(1, 5)) AS y(k) WHERE i + k - 1 <= len(w))
+  GROUP BY lang, g HAVING count(*) >= 30
+), covers AS (
+  SELECT lang, list_slice(g, i, i + k - 1) AS g, max(f) AS longer
+  FROM counts, LATERAL unnest(range(1, len(g) + 1)) AS x(i), unnest(range(2, 4)) AS y(k)
+  WHERE i + k - 1 <= len(g) AND k < len(g) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, list_slice(c.g, 1, k) AS first, list_slice(c.g, k + 1, len(c.g)) AS rest
+  FROM counts c LEFT JOIN covers v ON c.lang = v.lang AND c.g = v.g, LATERAL unnest(range(1, len(c.g))) AS x(k)
+  WHERE v.longer IS NULL OR 100 * CAST(v.longer AS HUGEINT) < 80 * CAST(c.f AS HUGEINT)
+), scored AS (
+  SELECT c.lang, c.g, a, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score,
+    k FROM cuts c JOIN counts l ON c.lang = l.lang AND c.first = l.g JOIN counts r ON c.lang = r.lang AND c.rest = r.g
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
