@@ -1,8 +1,9 @@
 """Linking firms to a registry by exact name, ticker hint and fuzzy name.
 
 All candidate work happens on distinct names, so copies of one name cost nothing extra, and results are
-joined back to firms at the end. The fuzzy join is lossless: it blocks on the rarest q-grams of a name
-(prefix filtering), which any name within the allowed edit distance must share.
+joined back to firms at the end. The fuzzy join is lossless at every threshold: it blocks on the rarest q-grams of a
+name (prefix filtering), which any name within the allowed edit distance must share, and where so many edits are
+allowed that no gram need survive, on segments of the longer name, one of which must (pigeonhole).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, compact_name, normalize_name, pad_id, sorted_tokens, trim_all
@@ -25,7 +27,7 @@ EXACT_NAME_SCORE, COMPACT_NAME_SCORE, TICKER_BONUS = 1.0, 0.985, 0.08
 TOKEN_SORT_WEIGHT = 0.95
 
 REGISTRY_COLUMNS = ("cik", "ticker", "sec_name", "exchange")
-# A gram held by more names than this is spread over several join keys.
+# A gram or segment held by more names than this is spread over several join keys, unless a caller says otherwise.
 NAMES_PER_TASK = 5_000
 
 
@@ -72,6 +74,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.nullif(longest, F.lit(0))
 
 
+def similarity_from(a: Column, b: Column, least: Column | float) -> Column:
+    """``similarity`` where it reaches ``least``, else null; the edit distance stops at the edits that allows."""
+    least = F.lit(least) if isinstance(least, float) else least
+    longest = F.greatest(F.length(a), F.length(b))
+    budget = F.greatest(F.lit(0), F.floor((F.lit(1.0) - least) * longest + 1e-9)).cast("int")
+    edits = F.call_function("levenshtein", a, b, budget)
+    return F.when(edits >= 0, F.lit(1.0) - edits / F.nullif(longest, F.lit(0)))
+
+
 def name_score(a: str | Column, b: str | Column) -> Column:
     """The better of plain similarity and 0.95 times the similarity of alphabetically sorted words."""
     a, b = as_col(a), as_col(b)
@@ -110,7 +121,7 @@ def _grams(names: DataFrame, text: str, q: int, threshold: float) -> DataFrame:
     return names.withColumn("budget", budget).select("*", F.inline(pieces))
 
 
-def _rarest(grams: DataFrame, frequency: DataFrame, name: str, q: int) -> DataFrame:
+def _rarest(grams: DataFrame, frequency: DataFrame, name: str, q: int, names_per_task: int) -> DataFrame:
     """The ``q * budget + 1`` rarest grams of every name. A name has boundedly many grams."""
     ranked = grams.join(frequency, "gram", "left").fillna(0, ["freq"])
     listed = ranked.groupBy(name).agg(
@@ -118,22 +129,72 @@ def _rarest(grams: DataFrame, frequency: DataFrame, name: str, q: int) -> DataFr
         F.array_sort(F.collect_list(F.struct("freq", "gram", "at"))).alias("sorted"),
     )
     prefix = F.slice("sorted", 1, F.lit(q) * F.col("budget") + 1)
-    return listed.select(name, F.inline(prefix)).withColumn("parts", F.expr(f"int(freq div {NAMES_PER_TASK}) + 1"))
+    return listed.select(name, F.inline(prefix)).withColumn("parts", F.expr(f"int(freq div {names_per_task}) + 1"))
+
+
+def _segment_layout(m: str, n: str) -> dict[str, str]:
+    """SQL of segment i of a text of ``n`` characters cut into ``m`` even parts, the longer ones last: length and start."""
+    short = f"({m} - {n} % {m})"
+    return {"size": f"({n} div {m} + int(i > {short}))", "start": f"((i - 1) * ({n} div {m}) + greatest(0, i - 1 - {short}) + 1)"}
+
+
+def _segments(names: DataFrame, text: str, threshold: float) -> DataFrame:
+    """(text, n, i, piece): each name cut into one segment more than the edits that a name no longer than it may need."""
+    where = _segment_layout("m", "n")
+    cut = f"transform(sequence(1, m), i -> struct(i, substring({text}, {where['start']}, {where['size']}) as piece))"
+    sized = names.withColumn("n", F.length(text)).withColumn("m", F.expr(f"int(floor((1 - {threshold!r}D) * n + 1e-9D)) + 1"))
+    return sized.select(text, "n", F.expr(f"inline({cut})"))
+
+
+def _probes(names: DataFrame, text: str, threshold: float, least_longer: int) -> DataFrame:
+    """(text, n, i, piece): for each length n of a partner at least ``least_longer`` characters longer, and each of its
+    segments, what stands in the name where the segment can stand.
+
+    With m segments and at most m - 1 edits, some segment is whole, has i - 1 edits before it and at most m - i behind it
+    (take the first i by which fewer than i edits have come). That bounds its shift from both ends of the name.
+    """
+    where = _segment_layout("m", "n")
+    low = f"greatest(1, {where['start']} - (i - 1), {where['start']} + l - n - (m - i))"
+    high = f"least(l - {where['size']} + 1, {where['start']} + (i - 1), {where['start']} + l - n + (m - i))"
+    at = f"if({low} <= {high}, sequence({low}, {high}), cast(array() as array<int>))"
+    found = f"flatten(transform(sequence(1, m), i -> transform({at}, p -> struct(i, substring({text}, p, {where['size']}) as piece))))"
+    longer = F.expr(f"sequence(l + {least_longer}, greatest(l + {least_longer}, int(floor(l / {threshold!r}D + 1e-9D))))")
+    sized = (
+        names.withColumn("l", F.length(text))
+        .withColumn("n", F.explode(longer))
+        .withColumn("m", F.expr(f"int(floor((1 - {threshold!r}D) * n + 1e-9D)) + 1"))
+    )
+    return sized.select(text, "n", F.expr(f"inline(array_distinct({found}))"))
 
 
-def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def _segment_pairs(left: DataFrame, right: DataFrame, threshold: float, names_per_task: int) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold by a shared segment of the longer of the two.
+
+    A segment of very many names is split: each of its names goes to one of its parts, probes go to all of them.
+    """
+    keys = ["n", "i", "piece"]
+    both = []
+    for index, probe, shorter in ((("b", right), ("a", left), 0), (("a", left), ("b", right), 1)):
+        held = _segments(index[1].select(index[0]), index[0], threshold)
+        asked = _probes(probe[1].select(probe[0]), probe[0], threshold, shorter)
+        hot = held.groupBy(*keys).agg(F.count("*").alias("names")).where(F.col("names") > names_per_task)
+        hot = hot.select(*keys, F.expr(f"int(names div {names_per_task}) + 1").alias("parts"))
+        held = held.join(hot, keys, "left").withColumn("part", F.expr(f"int(pmod(xxhash64({index[0]}), coalesce(parts, 1)))"))
+        asked = asked.join(hot, keys, "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
+        met = held.drop("parts").join(asked.drop("parts"), [*keys, "part"])
+        both.append(met.select("a", "b"))
+    # A pair that shares several segments is scored once.
+    return both[0].unionByName(both[1]).distinct()
+
+
+def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float, names_per_task: int) -> DataFrame:
     """Pairs (a, b) of distinct texts that can reach the similarity threshold."""
     q = gram_size(threshold)
     short = F.least(F.length("a"), F.length("b"))
     longest = F.greatest(F.length("a"), F.length("b"))
     fits = short >= F.lit(threshold) * longest - 1e-9
     if q is None:
-        # No lossless gram filter exists for such a low threshold: block on compatible lengths only.
-        reach = F.sequence(
-            F.ceil(F.length("a") * threshold - 1e-9).cast("int"), F.floor(F.length("a") / threshold + 1e-9).cast("int")
-        )
-        spread = left.withColumn("n", F.explode(reach))
-        return spread.join(right.withColumn("n", F.length("b")), "n").select("a", "b")
+        return _segment_pairs(left, right, threshold, names_per_task)
     grams_a, grams_b = _grams(left, "a", q, threshold), _grams(right, "b", q, threshold)
     frequency = grams_a.select("gram").unionAll(grams_b.select("gram")).groupBy("gram").agg(F.count("*").alias("freq"))
     # A frequent gram is split: each left name goes to one of its parts, right names go to all of them.
@@ -141,9 +202,9 @@ def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     # of the join out of few tasks.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part_of = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
-    pre_a = _rarest(grams_a, frequency, "a", q).select("a", "gram", F.col("at").alias("at_a"), part_of.alias("part"))
+    pre_a = _rarest(grams_a, frequency, "a", q, names_per_task).select("a", "gram", F.col("at").alias("at_a"), part_of.alias("part"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pre_b = _rarest(grams_b, frequency, "b", q).select("b", "gram", F.col("at").alias("at_b"), every.alias("part"))
+    pre_b = _rarest(grams_b, frequency, "b", q, names_per_task).select("b", "gram", F.col("at").alias("at_b"), every.alias("part"))
     keys = ["gram", "part"]
     shift = F.lit(1 - threshold) * longest + 1e-9
     near = F.abs(F.col("at_a") - F.col("at_b")) <= shift
@@ -152,22 +213,28 @@ def _blocked_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     return joined.where(fits & near).select("a", "b").distinct()
 
 
-def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) for all distinct name pairs whose ``name_score`` reaches the threshold."""
+def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float, names_per_task: int | None = None) -> DataFrame:
+    """(a, b, score) for all distinct name pairs whose ``name_score`` reaches the threshold, which must be above 0.
+
+    A blocking key of more than ``names_per_task`` names is spread over several tasks; no pair is lost by it.
+    """
+    if threshold <= 0:
+        raise ValueError("the similarity threshold must be above 0: every pair reaches 0")
+    names_per_task = names_per_task or NAMES_PER_TASK
     parts = []
-    plain = _blocked_pairs(left.select("a"), right.select("b"), threshold)
-    parts.append(plain.select("a", "b", similarity(F.col("a"), F.col("b")).alias("score")))
+    plain = _blocked_pairs(left.select("a"), right.select("b"), threshold, names_per_task)
+    parts.append(plain.select("a", "b", similarity_from(F.col("a"), F.col("b"), threshold).alias("score")))
     inner = threshold / TOKEN_SORT_WEIGHT
     if inner <= 1:
         ls = left.select("a", sorted_tokens("a").alias("sa"))
         rs = right.select("b", sorted_tokens("b").alias("sb"))
         pairs = _blocked_pairs(
-            ls.select(F.col("sa").alias("a")).distinct(), rs.select(F.col("sb").alias("b")).distinct(), inner
+            ls.select(F.col("sa").alias("a")).distinct(), rs.select(F.col("sb").alias("b")).distinct(), inner, names_per_task
         )
         scored = pairs.select(
             F.col("a").alias("sa"),
             F.col("b").alias("sb"),
-            (F.lit(TOKEN_SORT_WEIGHT) * similarity(F.col("a"), F.col("b"))).alias("score"),
+            (F.lit(TOKEN_SORT_WEIGHT) * similarity_from(F.col("a"), F.col("b"), inner)).alias("score"),
         )
         close = scored.where(F.col("score") >= threshold).groupBy("sa", "sb").agg(F.max("score").alias("score"))
         parts.append(close.join(ls, "sa").join(rs, "sb").select("a", "b", "score"))
@@ -205,22 +272,73 @@ def _name_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
     return frames[0].unionByName(frames[1])
 
 
-def _ticker_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry rows under a firm's ticker hint, scored by name once per distinct pair of names."""
-    parts = int(firms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _hinted(firms: DataFrame) -> DataFrame:
+    """Distinct profiles (firm_name_norm, ticker_hint) that have a hint."""
     hinted = firms.select("firm_name_norm", "ticker_hint").where(F.col("ticker_hint") != "").distinct()
-    # Few profiles meet many names: a stated partition count keeps that growth out of one task.
-    spread = F.xxhash64("firm_name_norm", "ticker_hint")
-    hinted = hinted.withColumn("__fs", sorted_tokens("firm_name_norm")).repartition(parts, spread)
-    listed = registry.select("ticker", "sec_name_norm").distinct().withColumn("__rs", sorted_tokens("sec_name_norm"))
+    return hinted.withColumn("__fs", sorted_tokens("firm_name_norm"))
+
+
+def _ticker_score(similar: Column) -> Column:
+    return F.least(F.lit(1.0), F.coalesce(similar, F.lit(0.0)) + TICKER_BONUS)
+
+
+def _ticker_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows under a firm's ticker hint, scored by name. The rows are made by the last join and sent nowhere."""
+    listed = registry.withColumn("__rs", sorted_tokens("sec_name_norm"))
     plain = similarity(F.col("firm_name_norm"), F.col("sec_name_norm"))
     swapped = F.lit(TOKEN_SORT_WEIGHT) * similarity(F.col("__fs"), F.col("__rs"))
     similar = F.when(F.col("firm_name_norm") != "", F.greatest(plain, swapped))
-    score = F.least(F.lit(1.0), F.coalesce(similar, F.lit(0.0)) + TICKER_BONUS)
-    pairs = hinted.join(listed, F.col("ticker_hint") == F.col("ticker")).select(
-        "firm_name_norm", "ticker_hint", "ticker", "sec_name_norm", score.alias("score")
+    return _hinted(firms).join(listed, F.col("ticker_hint") == F.col("ticker")).select(
+        "firm_name_norm", "ticker_hint", *REGISTRY_COLUMNS, "sec_name_norm", _ticker_score(similar).alias("score")
     )
-    return pairs.join(registry, ["ticker", "sec_name_norm"])
+
+
+def ticker_leaders(firms: DataFrame, registry: DataFrame, k: int, seeds: int = 4) -> DataFrame:
+    """(firm_name_norm, ticker_hint, cik): the ``k`` best registry ids under each profile's hint, ties by id.
+
+    Two passes. Names near in length, ``seeds * k`` of each ticker and length, give every profile ids of its own and with
+    them the score that others must reach. Only names whose length can reach it are visited then, and their edit distance
+    stops where it can no longer be reached. Of either pass a task sends on no more than the leading rows of a profile.
+    """
+    profile = ["firm_name_norm", "ticker_hint"]
+    rows = registry.where(F.col("ticker") != "").select("ticker", "sec_name_norm", "cik").distinct()
+    # An id with several names under a ticker takes several places; so many more rows hold the k best ids.
+    names_of_id = rows.groupBy("ticker", "cik").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    places = k * names_of_id
+    by_name = top_k_per_key(rows, ["ticker", "sec_name_norm"], [F.col("cik")], places, "__nth")
+    listed = by_name.select(
+        "ticker", "sec_name_norm", "cik", sorted_tokens("sec_name_norm").alias("__rs"), F.coalesce(F.length("sec_name_norm"), F.lit(0)).alias("__n")
+    )
+    hinted = _hinted(firms).withColumn("__l", F.length("firm_name_norm"))
+
+    def leaders(met: DataFrame, least: Column) -> DataFrame:
+        plain = similarity_from(F.col("firm_name_norm"), F.col("sec_name_norm"), least)
+        swapped = F.lit(TOKEN_SORT_WEIGHT) * similarity_from(F.col("__fs"), F.col("__rs"), least)
+        similar = F.when(F.col("firm_name_norm") != "", F.greatest(plain, swapped))
+        # Where the name cannot matter any more, the hint alone counts.
+        scored = met.withColumn("score", _ticker_score(similar)).where(similar.isNotNull() | (least <= 0))
+        return top_k_per_key(scored, profile, [F.desc("score"), F.col("cik")], places, "__nth").select(*profile, "cik", "score")
+
+    def best_ids(found: DataFrame) -> DataFrame:
+        return found.groupBy(*profile, "cik").agg(F.max("score").alias("score"))
+
+    first = listed.withColumn("__nth", F.row_number().over(W.partitionBy("ticker", "__n").orderBy(F.xxhash64("cik", "sec_name_norm"))))
+    first = first.where(F.col("__nth") <= seeds * k).drop("__nth")
+    near = hinted.withColumn("__at", F.explode(F.expr("sequence(greatest(0, __l - 1), __l + 1)")))
+    here = (F.col("ticker_hint") == F.col("ticker")) & (F.col("__at") == F.col("__n"))
+    seeded = pinned(best_ids(leaders(near.join(first, here), F.lit(0.0))))
+    kth = top_k_per_key(seeded, profile, [F.desc("score"), F.col("cik")], k, "__nth").groupBy(*profile).agg(
+        F.when(F.count("*") >= k, F.min("score")).alias("__kth")
+    )
+    # A score of 1 is capped: names below it by no more than the bonus tie with it.
+    least = F.greatest(F.lit(0.0), F.coalesce(F.col("__kth") - TICKER_BONUS, F.lit(0.0)) - 1e-9)
+    bounded = hinted.join(kth, profile, "left").withColumn("__least", least).drop("__kth")
+    lengths = listed.select(F.col("ticker").alias("ticker_hint"), F.col("__n").alias("__at")).distinct()
+    fits = F.least("__l", "__at") >= F.col("__least") * F.greatest("__l", "__at") - 1e-9
+    visits = bounded.join(lengths, "ticker_hint").where(fits)
+    return top_k_per_key(
+        best_ids(leaders(visits.join(listed, here), F.col("__least"))), profile, [F.desc("score"), F.col("cik")], k, "__nth"
+    ).select(*profile, "cik")
 
 
 def link_exact(firms: DataFrame, registry: DataFrame) -> DataFrame:
@@ -251,15 +369,13 @@ def name_candidates(firms: DataFrame, registry: DataFrame, config: LinkConfig =
     return best.select("firm_name_norm", "cik", *[f"best.{c}" for c in rest])
 
 
-def _top_by_ticker(firms: DataFrame, registry: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+def _top_by_ticker(firms: DataFrame, registry: DataFrame, k: int) -> DataFrame:
     """The k best registry ids per hinted profile with the attributes of their best row."""
     keys = ["firm_name_norm", "ticker_hint", "cik"]
-    top = top_k_per_key(scores, keys[:2], [F.desc("score"), F.col("cik")], k, "__rank").select(*keys)
-    wanted = top.join(registry, (F.col("ticker_hint") == F.col("ticker")) & (top["cik"] == registry["cik"])).drop(
-        registry["cik"]
-    )
+    top = ticker_leaders(firms, registry, k).withColumnRenamed("cik", "__id")
+    wanted = top.join(registry, (F.col("ticker_hint") == F.col("ticker")) & (F.col("__id") == F.col("cik"))).drop("__id")
     similar = F.when(F.col("firm_name_norm") != "", name_score("firm_name_norm", "sec_name_norm"))
-    score = F.least(F.lit(1.0), F.coalesce(similar, F.lit(0.0)) + TICKER_BONUS)
+    score = _ticker_score(similar)
     scored = wanted.withColumns(
         {"score": score, "method": F.lit("ticker_hint"), "method_rank": method_rank(F.lit("ticker_hint"))}
     )
@@ -279,22 +395,28 @@ def link_resolve(
     order = [F.desc("score"), F.col("method_rank"), F.col("cik")]
     k = max(config.top_n_candidates, 2)
     named = pinned(name_candidates(firms, registry, config))
-    by_ticker = pinned(
-        _ticker_matches(firms, registry).groupBy(*profile, "cik").agg(F.max("score").alias("score"))
-    )
     profiles = firms.select(*profile).distinct()
 
     top_named = top_k_per_key(named, ["firm_name_norm"], order, k, "__rank").drop("__rank").join(profiles, "firm_name_norm")
-    leading = top_named.select(*profile, *CANDIDATE).unionByName(_top_by_ticker(firms, registry, by_ticker, k))
+    leading = top_named.select(*profile, *CANDIDATE).unionByName(_top_by_ticker(firms, registry, k))
     once = keep_best(leading, [*profile, "cik"], order)
     ranked = top_k_per_key(once, profile, order, k, "candidate_rank")
 
     n_named = named.groupBy("firm_name_norm").agg(F.count("*").alias("__named"))
-    known = named.select("firm_name_norm", "cik", F.lit(1).alias("__known"))
-    n_extra = (
-        by_ticker.join(known, ["firm_name_norm", "cik"], "left")
+    # Ids under a profile's hint: all ids of the ticker, less those already found by name.
+    under = registry.where(F.col("ticker") != "").select(F.col("ticker").alias("ticker_hint"), "cik").distinct()
+    n_under = under.groupBy("ticker_hint").agg(F.count("*").alias("__under"))
+    n_both = (
+        profiles.where(F.col("ticker_hint") != "")
+        .join(named.select("firm_name_norm", "cik"), "firm_name_norm")
+        .join(under, ["ticker_hint", "cik"])
         .groupBy(*profile)
-        .agg(F.count_if(F.col("__known").isNull()).alias("__extra"))
+        .agg(F.count("*").alias("__both"))
+    )
+    n_extra = (
+        profiles.join(n_under, "ticker_hint")
+        .join(n_both, profile, "left")
+        .select(*profile, (F.col("__under") - F.coalesce("__both", F.lit(0))).alias("__extra"))
     )
     first = F.col("candidate_rank") == 1
     heads = ranked.groupBy(*profile).agg(

@@ -120,3 +120,50 @@ def test_hot_name_gives_one_link_per_firm(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match=r"\['cik', 'gvkey'\]"):
         linking.manual_links(spark.createDataFrame([(1,)], "x int"))
+
+
+@pytest.mark.parametrize(("threshold", "per_task"), [(0.6, 5000), (0.5, 2), (0.35, 5000), (0.65, 4)])
+def test_segments_lose_nothing_where_grams_would(spark, threshold, per_task):
+    assert linking.gram_size(threshold) is None
+    rng = random.Random(int(threshold * 1000))
+    a, b = words(rng, 60), [*words(rng, 60), "a", "ab", "é"]
+    left, right = spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string")
+    got = {(r.a, r.b): r.score for r in linking.fuzzy_names(left, right, threshold, per_task).collect()}
+    want = {(x, y): score(x, y) for x in a for y in b if score(x, y) >= threshold}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_threshold_of_zero_is_refused(spark):
+    names = spark.createDataFrame([("x",)], "a string")
+    with pytest.raises(ValueError, match="above 0"):
+        linking.fuzzy_names(names, names.withColumnRenamed("a", "b"), 0.0)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_ticker_leaders_equal_scoring_all(spark, k):
+    rng = random.Random(k)
+    names = words(rng, 60)
+    firms = [(str(i), rng.choice([*names[:30], "", None]), i) for i in range(40)]
+    hints = [(str(i), rng.choice(["t0", "t1", "hot", "none"])) for i in range(36)]
+    rows = [(str(i), rng.choice(["t0", "t1"]) if i % 3 else "hot", rng.choice(names), "N") for i in range(300)]
+    rows += [("7", "hot", names[3], "N"), ("8", "hot", names[5], "N"), ("9", "hot", "", "N"), ("9", "t0", None, "N")]
+    registry = linking.prepare_registry(spark.createDataFrame(rows, "cik string, ticker string, sec_name string, exchange string"))
+    prepared = linking.prepare_firms(
+        spark.createDataFrame(firms, "gvkey string, firm_name string, patent_count int"),
+        spark.createDataFrame(hints, "gvkey string, ticker string"),
+    )
+    best = {}
+    known = registry.select("cik", "ticker", "sec_name_norm").collect()
+    for f in prepared.select("firm_name_norm", "ticker_hint").distinct().collect():
+        ids = {}
+        for r in known:
+            if f.ticker_hint and r.ticker == f.ticker_hint:
+                s = score(f.firm_name_norm, r.sec_name_norm) if f.firm_name_norm and r.sec_name_norm is not None else 0.0
+                ids[r.cik] = max(ids.get(r.cik, 0.0), min(1.0, s + linking.TICKER_BONUS))
+        if ids:
+            best[f.firm_name_norm, f.ticker_hint] = {c for c, _ in sorted(ids.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]}
+    got = {}
+    for r in linking.ticker_leaders(prepared, registry, k, seeds=1).collect():
+        got.setdefault((r.firm_name_norm, r.ticker_hint), set()).add(r.cik)
+    assert got == best
