@@ -2,7 +2,7 @@
 
 A gram of the greatest length is an edge between the two overlapping grams one word shorter; its weight is how often it
 occurs. Where a piece ends before that length, the shorter gram found there is kept as a correction of its node. Every
-occurrence of a phrase begins one edge or one such gram, so the counts of all shorter phrases follow from the edges out of
+occurrence of a phrase begins one edge or one such gram, so the counts of all shorter phrases follow from the flow out of
 their nodes and the corrections; only longest grams are ever counted in the text.
 
 A pair of words rarer than the threshold lies in no phrase that can be listed, so edges are cut there as at the end of a
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,7 @@ def _longest_grams(bitmap: np.ndarray):
 
 
 def longest_grams(docs: DataFrame, least: int, slots: int) -> DataFrame:
-    """``lang``, ``gram``, ``n``: edges of four words, shorter grams where a piece or a frequent stretch ends, and all words
+    """``lang``, ``gram``, ``n``, ``words``: edges of four words, shorter grams where a piece or a frequent stretch ends, and all words
     of a language under the empty gram."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(docs, least, slots))
@@ -168,33 +169,28 @@ def longest_grams(docs: DataFrame, least: int, slots: int) -> DataFrame:
         "lang string, gram string, n long",
         lambda: _longest_grams(once("frequent", version, lambda: bitmap.value)),
     )
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("gram") == "", 0).otherwise(F.size(F.split("gram", " ")))
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("words", words)
 
 
-def unary_links(edges: DataFrame, least: int) -> DataFrame:
-    """``lang``, ``edge``, ``next``: edges of one weight that meet in a node which no other edge enters or leaves."""
-    def end(node: int, enters: bool):
-        return F.struct(F.substring_index("gram", " ", node).alias("node"), F.lit(enters).alias("enters"))
+def unary_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``lang``, ``edge``, ``next``: edges that meet in a node whose whole flow comes by the one and leaves by the other."""
+    flow = nodes.select("lang", F.col("phrase").alias("node"), F.col("f").alias("flow"))
 
-    both = F.explode(F.array(end(1 - LONGEST, True), end(LONGEST - 1, False))).alias("end")
-    ends = edges.select("lang", "gram", "n", both).select("lang", "end.node", "end.enters", "gram", "n")
+    def carrying_all(node: int, name: str) -> DataFrame:
+        ends = edges.select("lang", F.substring_index("gram", " ", node).alias("node"), F.col("gram").alias(name), "n")
+        return ends.join(flow, ["lang", "node"]).where("n = flow").select("lang", "node", name)
 
-    def only(condition):
-        return [F.count_if(condition).alias("n_edges"), F.max(F.when(condition, F.struct("gram", "n"))).alias("edge")]
+    met = carrying_all(1 - LONGEST, "edge").join(carrying_all(LONGEST - 1, "next"), ["lang", "node"])
+    return met.where("edge <> next").select("lang", "edge", "next")
 
-    (n_in, into), (n_out, out) = only(F.col("enters")), only(~F.col("enters"))
-    nodes = ends.groupBy("lang", "node").agg(n_in.alias("n_in"), into.alias("into"), n_out.alias("n_out"), out.alias("out"))
-    return nodes.where(
-        f"n_in = 1 AND n_out = 1 AND into.n = out.n AND into.n >= {int(least)} AND into.gram <> out.gram"
-    ).select("lang", F.col("into.gram").alias("edge"), F.col("out.gram").alias("next"))
 
-
-def compacted(edges: DataFrame, least: int, segment: int = 1024) -> DataFrame:
+def compacted(edges: DataFrame, nodes: DataFrame, segment: int = 1024) -> DataFrame:
     """``lang``, ``words``, ``n``: the edges, those of a chain as one path of at most ``segment`` edges.
 
     Each edge of a chain looks for the chain's head by steps that double. Edges of a ring have no head and stay alone.
     """
-    links = stored(unary_links(edges, least), "links")
+    links = stored(unary_links(edges, nodes), "links")
     heads = links.select("lang", "edge").join(links.select("lang", F.col("next").alias("edge")), ["lang", "edge"], "left_anti")
     steps = stored(
         links.select("lang", F.col("next").alias("edge"), F.col("edge").alias("back"), F.lit(1).cast("long").alias("far"))
@@ -228,15 +224,23 @@ def compacted(edges: DataFrame, least: int, segment: int = 1024) -> DataFrame:
     return alone.unionByName(chain.select("lang", F.concat(F.split(F.col("row")[0]["gram"], " "), last).alias("words"), "n"))
 
 
+def node_flow(grams: DataFrame, words: int, least: int) -> DataFrame:
+    """``lang``, ``phrase``, ``f`` of the phrases of so many words that occur ``least`` times: what leaves their node by longer
+    grams, and the corrections that end there."""
+    prefix = F.substring_index("gram", " ", words).alias("phrase")
+    flow = grams.where(F.col("words") >= words).groupBy("lang", prefix).agg(F.sum("n").alias("f"))
+    return flow.where(F.col("f") >= least)
+
+
 def phrase_counts(grams: DataFrame, least: int) -> DataFrame:
-    """``lang``, ``phrase``, ``f`` of all phrases of up to four words that occur ``least`` times."""
-    edge = F.size(F.split("gram", " ")) == LONGEST
-    paths = compacted(grams.where(edge), least)
-    corrections = grams.where(~edge & (F.col("gram") != "")).select("lang", F.split("gram", " ").alias("words"), "n")
-    begun = f"""flatten(transform(sequence(1, greatest(1, size(words) - {LONGEST - 1})),
-        i -> transform(sequence(1, least({LONGEST}, size(words))), j -> concat_ws(' ', slice(words, i, j)))))"""
-    flow = paths.unionByName(corrections).select("lang", F.explode(F.expr(begun)).alias("phrase"), "n")
-    return flow.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    """``lang``, ``phrase``, ``f``, ``words`` of all phrases of up to four words that occur ``least`` times."""
+    nodes = stored(node_flow(grams, LONGEST - 1, least), "nodes")
+    edges = stored(grams.where((F.col("words") == LONGEST) & (F.col("n") >= least)).select("lang", "gram", "n"), "edges")
+    paths = compacted(edges, nodes)
+    along = f"transform(sequence(1, size(words) - {LONGEST - 1}), i -> concat_ws(' ', slice(words, i, {LONGEST})))"
+    found = {LONGEST: paths.select("lang", F.explode(F.expr(along)).alias("phrase"), F.col("n").alias("f")), LONGEST - 1: nodes}
+    found |= {k: node_flow(grams, k, least) for k in range(1, LONGEST - 1)}
+    return reduce(DataFrame.unionByName, [df.withColumn("words", F.lit(k)) for k, df in found.items()])
 
 
 def _exact(column: str):
@@ -255,8 +259,7 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
     grams = stored(longest_grams(rows, least, slots), "grams")
     counts = stored(phrase_counts(grams, least), "phrases")
     totals = grams.where("gram = ''").select("lang", "n")
-    found = counts.withColumn("words", F.size(F.split("phrase", " ")))
-    candidates = found.where("words > 1").withColumnRenamed("f", "a")
+    candidates = counts.where("words > 1").withColumnRenamed("f", "a")
 
     inner = """flatten(transform(sequence(2, words - 1), j -> transform(sequence(1, words - j + 1),
         i -> concat_ws(' ', slice(split(phrase, ' '), i, j)))))"""
