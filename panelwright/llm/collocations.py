@@ -5,9 +5,9 @@ occurs. Where a piece ends before that length, the shorter gram found there is k
 occurrence of a phrase begins one edge or one such gram, so the counts of all shorter phrases follow from the flow out of
 their nodes and the corrections; only longest grams are ever counted in the text.
 
-A pair of words rarer than the threshold lies in no phrase that can be listed, so edges are cut there as at the end of a
-piece. Which pairs may be frequent is kept in a bitmap of fixed size: a rare pair that passes it costs time and changes no
-count. Chains of edges without a branch and with one weight become one path with a row of its own.
+Two or three words rarer than the threshold lie in no phrase that can be listed, so edges are cut there as at the end of a
+piece. Which may be frequent is kept in bitmaps of fixed size, found in two passes: a rare one that passes costs time and
+changes no count. Chains of edges without a branch and with one weight become one path with a row of its own.
 """
 
 from __future__ import annotations
@@ -70,9 +70,32 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     yield from groups.items()
 
 
-def _hash_counts(batch: pa.RecordBatch) -> dict:
+def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = hashes.view(np.int64) & np.int64(len(bitmap) * 8 - 1)
+    return bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0
+
+
+def _pairs_linked(ids: np.ndarray, known: np.ndarray, often: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Of each position whether it and the next are words of one piece and may be a frequent pair."""
+    linked = np.zeros(len(ids), bool)
+    linked[:-1] = often[ids[:-1]] & often[ids[1:]]
+    at = np.flatnonzero(linked)
+    linked[at] = _marked(bitmap, pair_hashes(known[ids[at]], known[ids[at + 1]]))
+    return linked
+
+
+def _triple_hashes(ids: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return pair_hashes(pair_hashes(known[ids[at]], known[ids[at + 1]]), known[ids[at + 2]])
+
+
+def _counts(hashes: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+    hashes, counts = [np.zeros(0, np.uint64), *hashes], [np.zeros(0, np.int64), *counts]
+    return {"hash": pa.array(np.concatenate(hashes).view(np.int64)), "n": pa.array(np.concatenate(counts).astype(np.int64))}
+
+
+def _pair_counts(batch: pa.RecordBatch) -> dict:
     """Counts of the words and of the pairs of neighbouring words, by hash."""
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, counts = [], []
     for lang, texts in _by_lang(batch):
         ids, words = numbered(texts)
         if not len(ids):
@@ -82,12 +105,32 @@ def _hash_counts(batch: pa.RecordBatch) -> dict:
         pairs, n = np.unique(pairs, return_counts=True)
         hashes += [known[1:], pair_hashes(known[pairs >> 32], known[pairs & 0xFFFFFFFF])]
         counts += [np.bincount(ids, minlength=len(words))[1:], n]
-    return {"hash": pa.array(np.concatenate(hashes).view(np.int64)), "n": pa.array(np.concatenate(counts).astype(np.int64))}
+    return _counts(hashes, counts)
+
 
+def _triple_counts(pairs: np.ndarray):
+    """Counts, by hash, of three words in a row of which both pairs may be frequent."""
 
-def frequent_bitmap(docs: DataFrame, least: int, slots: int) -> np.ndarray:
-    """One bit for the hash of each word or pair that occurs ``least`` times; others may share it. Fixed size."""
-    counted = per_text(docs, ["text", "lang"], "hash long, n long", lambda: _hash_counts)
+    def run(batch: pa.RecordBatch) -> dict:
+        hashes, counts = [], []
+        for lang, texts in _by_lang(batch):
+            ids, words = numbered(texts)
+            known = word_hashes(words, lang)
+            often = _marked(pairs, known)
+            often[0] = False
+            linked = _pairs_linked(ids, known, often, pairs)
+            at = np.flatnonzero(linked[:-1] & linked[1:])
+            found, n = np.unique(_triple_hashes(ids, known, at), return_counts=True)
+            hashes.append(found)
+            counts.append(n)
+        return _counts(hashes, counts)
+
+    return run
+
+
+def frequent_bitmap(docs: DataFrame, make, least: int, slots: int) -> np.ndarray:
+    """One bit for each hash that ``make`` counts ``least`` times in all; others may share it. Fixed size."""
+    counted = per_text(docs, ["text", "lang"], "hash long, n long", make)
     often = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.pmod("hash", F.lit(slots))
     bit = F.expr(f"shiftleft(1, cast(pmod(hash, {slots}) % 8 as int))")
@@ -97,13 +140,8 @@ def frequent_bitmap(docs: DataFrame, least: int, slots: int) -> np.ndarray:
     return bitmap
 
 
-def _longest_grams(bitmap: np.ndarray):
-    """Of each position the longest gram up to the end of its piece or a rare pair; counted, as text."""
-    mask = np.int64(len(bitmap) * 8 - 1)
-
-    def marked(hashes: np.ndarray) -> np.ndarray:
-        slots = hashes.view(np.int64) & mask
-        return bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0
+def _longest_grams(pairs: np.ndarray, triples: np.ndarray):
+    """Of each position the longest gram up to the end of its piece or a rare pair or triple; counted, as text."""
 
     def run(batch: pa.RecordBatch) -> dict:
         langs, grams, counts = [], [], []
@@ -119,22 +157,22 @@ def _longest_grams(bitmap: np.ndarray):
             if not len(ids):
                 continue
             known, spelled = word_hashes(words, lang), pa.array(words, pa.binary())
-            often = marked(known)
+            often = _marked(pairs, known)
             often[0] = False
             ids = np.concatenate([ids, np.zeros(LONGEST, np.int64)])
-            linked = np.zeros(len(ids), bool)
-            linked[:-1] = often[ids[:-1]] & often[ids[1:]]
-            at = np.flatnonzero(linked)
-            linked[at] = marked(pair_hashes(known[ids[at]], known[ids[at + 1]]))
+            linked = _pairs_linked(ids, known, often, pairs)
+            tripled = np.zeros(len(ids), bool)
+            at = np.flatnonzero(linked[:-1] & linked[1:])
+            tripled[at] = _marked(triples, _triple_hashes(ids, known, at))
             # A lone word is a gram as well: the correction of its node where nothing follows it.
             alone = np.bincount(ids[~linked], minlength=len(words))
             alone[~often] = 0
             single = np.flatnonzero(alone)
             add(lang, spelled.take(pa.array(single)).cast(pa.string()), alone[single])
             starts = np.flatnonzero(linked)
-            third = linked[starts + 1]
+            third = tripled[starts]
             columns = [ids[starts], ids[starts + 1], np.where(third, ids[starts + 2], 0)]
-            columns.append(np.where(third & linked[starts + 2], ids[starts + 3], 0))
+            columns.append(np.where(third & tripled[starts + 1], ids[starts + 3], 0))
             order = np.lexsort(columns[::-1])
             columns = [c[order] for c in columns]
             new = np.ones(len(order), bool)
@@ -161,13 +199,15 @@ def longest_grams(docs: DataFrame, least: int, slots: int) -> DataFrame:
     """``lang``, ``gram``, ``n``, ``words``: edges of four words, shorter grams where a piece or a frequent stretch ends, and all words
     of a language under the empty gram."""
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(frequent_bitmap(docs, least, slots))
-    version = uuid.uuid4().hex
+    first, second = uuid.uuid4().hex, uuid.uuid4().hex
+    pairs = spark.sparkContext.broadcast(frequent_bitmap(docs, lambda: _pair_counts, least, slots))
+    make = lambda: _triple_counts(once("pairs", first, lambda: pairs.value))
+    triples = spark.sparkContext.broadcast(frequent_bitmap(docs, make, least, slots))
     counted = per_text(
         docs,
         ["text", "lang"],
         "lang string, gram string, n long",
-        lambda: _longest_grams(once("frequent", version, lambda: bitmap.value)),
+        lambda: _longest_grams(*once("grams", second, lambda: (pairs.value, triples.value))),
     )
     words = F.when(F.col("gram") == "", 0).otherwise(F.size(F.split("gram", " ")))
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("words", words)
@@ -253,7 +293,7 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
     A null lang counts as ``und`` (with a lang of that name), a null text as empty. Phrases occur within pieces, which end at
     ``.,;:!?`` and line ends; a phrase inside a longer one that has ``covered`` per cent of its count goes. Repeated rows
     count as often as they occur; ties rank by count, then by the phrase's bytes. Empty input gives no rows. ``slots``, a
-    power of two, is the size of the bitmap of frequent pairs in bits; it changes the work and not the result.
+    power of two, is the size of each bitmap of frequent pairs and triples in bits; it changes the work and not the result.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     grams = stored(longest_grams(rows, least, slots), "grams")
