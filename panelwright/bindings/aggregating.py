@@ -311,16 +311,17 @@ def _filtered_series_mean(t: Tables) -> DataFrame:
 @query(
     "top_measures_pivot",
     """
-    WITH top AS (SELECT event_type, count(value) AS n FROM events WHERE value < 20 GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3),
-    e AS (SELECT user_id, CAST(day(ts) AS INT) AS day, event_type, value, dense_rank() OVER (ORDER BY event_type) AS i
-          FROM events JOIN top USING (event_type) WHERE value < 20)
+    WITH low AS (SELECT user_id, CAST(day(ts) AS INT) AS day, event_type, if(value < 20, value, NULL) AS value FROM events),
+    top AS (SELECT event_type, count(value) AS n FROM low GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3),
+    e AS (SELECT user_id, day, event_type, value, dense_rank() OVER (ORDER BY event_type) AS i FROM low JOIN top USING (event_type))
     SELECT user_id, day, round(avg(value) FILTER (WHERE i = 1), 6) AS first_measure,
            round(avg(value) FILTER (WHERE i = 2), 6) AS second_measure, round(avg(value) FILTER (WHERE i = 3), 6) AS third_measure
     FROM e GROUP BY 1, 2
     """,
 )
 def _top_measures_pivot(t: Tables) -> DataFrame:
-    rows = t.events.where("value < 20").withColumn("day", F.dayofmonth("ts"))
+    low = F.when(F.col("value") < 20, F.col("value"))
+    rows = t.events.withColumns({"day": F.dayofmonth("ts"), "value": low})
     out = aggregates.top_measures_pivot(rows, ["user_id", "day"], "event_type", "value", 3, "m_", "_mean")
     return rounded(out.toDF("user_id", "day", "first_measure", "second_measure", "third_measure"), 6)
 
@@ -571,11 +572,13 @@ def _tech_breakdown(t: Tables) -> DataFrame:
 @query(
     "tech_group_mix",
     """
-    SELECT list_filter([if(measured AND learned, 'Measurement + ML', NULL), if(measured, 'Measurement only', NULL),
-                        if(learned, 'ML only', NULL), if(has_testing_cpc = 1, 'Testing only', NULL),
-                        if(has_data_processing_cpc = 1, 'Data-processing only', NULL), 'Other/none'], lambda x: x IS NOT NULL)[1] AS grp,
-           count(*) AS n_patents, round(sum(benchmark_flag) / count(*), 8) AS share_flag
-    FROM (SELECT *, has_measurement_cpc = 1 AS measured, has_ml_cpc = 1 AS learned FROM {scored}) GROUP BY ALL
+    WITH truth(grp, measured, learned, tested, processed) AS (VALUES
+      ('Other/none', [0], [0], [0], [0]), ('ML only', [0], [1], [0, 1], [0, 1]), ('Testing only', [0], [0], [1], [0, 1]),
+      ('Measurement only', [1], [0], [0, 1], [0, 1]), ('Data-processing only', [0], [0], [0], [1]),
+      ('Measurement + ML', [1], [1], [0, 1], [0, 1]))
+    SELECT grp, count(*) AS n_patents, round(sum(benchmark_flag) / count(*), 8) AS share_flag
+    FROM {scored} JOIN truth ON has_measurement_cpc IN measured AND has_ml_cpc IN learned
+      AND has_testing_cpc IN tested AND has_data_processing_cpc IN processed GROUP BY grp
     """,
 )
 def _tech_group_mix(t: Tables) -> DataFrame:

@@ -301,7 +301,7 @@ VARIANTS_SQL = " UNION ALL ".join(
 @query("union_variants", VARIANTS_SQL)
 def _union_variants(t: Tables) -> DataFrame:
     s = scored_with_codes(t)
-    return rounded(describe.union_variants({label: aggregates.country_year_scores(s, c, y) for label, (c, y) in VARIANTS.items()}), 12)
+    return rounded(aggregates.country_year_variants(s, VARIANTS), 12)
 
 
 @query(

@@ -204,7 +204,7 @@ def _score_incremental(t: Tables) -> DataFrame:
 
     docs = t.documents.select("doc_id", "text", "lang")
     # Two runs over a folder that grows in between give what one run over everything gives.
-    for part in (docs.where("lang = 'en'"), docs.where("lang <> 'en'")):
+    for part in (docs.where("lang = 'en'"), docs.where("lang <> 'en' OR lang IS NULL")):
         part.write.mode("append").parquet(source)
         incremental.score_incremental(t.spark, source, docs.schema, score, out, checkpoint)
     return rounded(incremental.read_scored(t.spark, out), 9)

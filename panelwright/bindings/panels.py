@@ -9,13 +9,14 @@ from ..operators import aggregates, linking
 from ..plans import backbone, countries, derived, evidence, firms, industries
 from .aggregating import AGENCY
 from .base import Tables, query, rounded
-from .describing import SQL_CODES
+from .describing import VARIANTS_SQL
 from .joining import RESOLVE_CTES
 
 STATIC = """
-    SELECT 'us' || CAST(l_orderkey AS VARCHAR(20)) AS patent_id, CAST(year(l_shipdate) AS VARCHAR(4)) AS "appYear",
+    SELECT CASE WHEN l_returnflag <> 'N' THEN 'us' ELSE 'xx' END || CAST(l_orderkey AS VARCHAR(20)) AS patent_id,
+           CAST(year(l_shipdate) AS VARCHAR(4)) AS "appYear",
            CASE WHEN l_linestatus = 'F' THEN CAST(year(l_shipdate) + 2 AS VARCHAR(8)) || '.0' END AS "grantYear"
-    FROM {lineitem} WHERE l_returnflag <> 'N'
+    FROM {lineitem}
 """
 CLASS_ROWS = """
     SELECT 'uS' || CAST(l_orderkey AS VARCHAR(20)) AS patent_id,
@@ -28,9 +29,10 @@ CLASS_ROWS = """
 @query(
     "backbone",
     f"""
-    WITH u AS (SELECT 'US' || CAST(l_orderkey AS VARCHAR) AS patent_id, CAST(min(year(l_shipdate)) AS INT) AS app_year,
+    WITH u AS (SELECT if(l_returnflag = 'N', 'XX', 'US') || CAST(l_orderkey AS VARCHAR) AS patent_id,
+                      CAST(min(year(l_shipdate)) AS INT) AS app_year,
                       CAST(max(CASE WHEN l_linestatus = 'F' THEN year(l_shipdate) + 2 END) AS INT) AS grant_year
-               FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+               FROM lineitem GROUP BY 1),
     core AS (SELECT 'US' || CAST(o_orderkey AS VARCHAR) AS patent_id, CAST(year(o_orderdate) AS INT) AS patent_date_year,
                     CAST(o_orderdate AS DATE) AS patent_date, 'utility' AS patent_type, o_orderstatus AS patent_abstract,
                     o_orderpriority AS patent_title, CAST(round(o_totalprice / 1000) AS INT) AS num_claims FROM orders),
@@ -104,8 +106,8 @@ DERIVED_SQL = f"""
                    CASE WHEN l_returnflag = 'A' THEN 'cited by examiner' ELSE 'cited by applicant' END AS cat FROM lineitem),
     cls AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS citing, c_mktsegment || '-' || o_orderpriority AS sub
             FROM orders JOIN customer ON o_custkey = c_custkey),
-    fy AS (SELECT o_custkey AS gvkey, CAST(year(o_orderdate) AS INT) AS year, CAST(count(*) * 97 AS DOUBLE) AS employees
-           FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+    fy AS (SELECT if(o_orderstatus = 'F', o_custkey, -o_custkey) AS gvkey, CAST(year(o_orderdate) AS INT) AS year,
+                  CAST(count(*) * 97 AS DOUBLE) AS employees FROM orders GROUP BY 1, 2),
     fm AS (SELECT gvkey, list_sort(list_transform(map_entries(histogram(round(employees))), lambda x: [-CAST(x.value AS DOUBLE), x.key]))[1][2] AS b
            FROM fy GROUP BY gvkey),
     sz AS (SELECT 'O' || CAST(o_orderkey AS VARCHAR) AS citing, coalesce(fy.employees, fm.b) AS employees
@@ -164,8 +166,10 @@ def derived_inputs(t: Tables) -> derived.DerivedInputs:
     part_class = t.part.select(tagged("P", "p_partkey").alias("patent_id"), F.upper("p_brand").alias("cpc_subclass"))
     agency = t.sql(AGENCY)
     facts = (
-        t.orders.where("o_orderstatus = 'F'")
-        .groupBy(F.col("o_custkey").alias("gvkey"), F.year("o_orderdate").alias("year"))
+        t.orders.groupBy(
+            F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-F.col("o_custkey")).alias("gvkey"),
+            F.year("o_orderdate").alias("year"),
+        )
         .agg(
             (F.count("*") * 97).cast("double").alias("employees"),
             F.sum("o_totalprice").alias("revenue"),
@@ -295,40 +299,23 @@ def _industry_panels(t: Tables) -> DataFrame:
     return out.select(*[F.round(c, 6 if c in six else 8).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
 
 
-@query(
-    "evidence_country_years",
-    f"""
-    WITH q AS (SELECT quantile_cont(benchmark_score, 0.9) AS cut FROM {{scored}}),
-    v AS (
-      SELECT {SQL_CODES['assignee_iso3']} AS iso3c, app_year AS year, 'assignee' AS assignment_basis, 'app' AS year_basis, * FROM {{scored}} UNION ALL
-      SELECT {SQL_CODES['assignee_iso3']}, grant_year, 'assignee', 'grant', * FROM {{scored}} UNION ALL
-      SELECT inventor_iso2, app_year, 'inventor', 'app', * FROM {{scored}} UNION ALL
-      SELECT inventor_iso2, grant_year, 'inventor', 'grant', * FROM {{scored}})
-    SELECT iso3c, year, assignment_basis, year_basis, count(*) AS patent_count, round(avg(benchmark_score), 10) AS benchmark_score_mean,
-           round(avg(CASE WHEN benchmark_score >= cut THEN 1 ELSE 0 END), 8) AS benchmark_top_decile_share
-    FROM v, q WHERE iso3c IS NOT NULL GROUP BY 1, 2, 3, 4
-    """,
-)
+@query("evidence_country_years", VARIANTS_SQL)
 def _evidence_country_years(t: Tables) -> DataFrame:
     scored = t.view("scored").withColumns(
         {"assignee_country_mode": F.lower("assignee_iso2"), "inventor_country_mode": F.col("inventor_iso2")}
     )
-    out = evidence.country_year_variants(scored, t.view("iso_map"))["all_variants"]
-    return out.select(
-        "iso3c", "year", "assignment_basis", "year_basis", "patent_count",
-        F.round("benchmark_score_mean", 10).alias("benchmark_score_mean"),
-        F.round("benchmark_top_decile_share", 8).alias("benchmark_top_decile_share"),
-    )
+    return rounded(evidence.country_year_variants(scored, t.view("iso_map"))["all_variants"], 12)
 
 
 @query(
     "country_panel",
     """
-    WITH reg AS (SELECT 'N' || chr(65 + n_nationkey) || 'T' AS iso3c, 'Nation ' || CAST(n_nationkey AS VARCHAR) AS nm, n_nationkey AS k FROM nation WHERE n_nationkey <> 11),
+    WITH reg AS (SELECT if(n_nationkey = 11, 'ZZZ', 'N' || chr(65 + n_nationkey) || 'T') AS iso3c,
+                        'Nation ' || CAST(n_nationkey AS VARCHAR) AS nm, n_nationkey AS k FROM nation),
     a AS (SELECT 'N' || chr(65 + c_nationkey) || 'T' AS iso3c, CAST(year(o_orderdate) AS INT) AS year, count(*)::DOUBLE AS resd
           FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3 GROUP BY 1, 2),
-    m AS (SELECT 'N' || chr(65 + s_nationkey) || 'T' AS iso3c, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n
-          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN reg ON k = s_nationkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
+    m AS (SELECT iso3c, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n
+          FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN reg ON k = if(l_returnflag = 'R', s_nationkey, NULL) GROUP BY 1, 2),
     c AS (SELECT *, sum(n) OVER (PARTITION BY iso3c ORDER BY year)::BIGINT AS cum FROM m),
     keys AS (SELECT iso3c, year FROM a UNION SELECT iso3c, year FROM c)
     SELECT iso3c, year, nm AS country_name, round(ln(1 + resd), 9) AS log_patent_resident_plus1, n AS n_measures, cum AS n_measures_cum
@@ -339,16 +326,17 @@ def _country_panel(t: Tables) -> DataFrame:
     def code(column: str) -> F.Column:
         return F.concat(F.lit("N"), F.char(F.lit(65) + F.col(column)), F.lit("T"))
 
-    registry = t.nation.where("n_nationkey <> 11").select(
-        code("n_nationkey").alias("iso3c"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("wb_country_name")
+    registry = t.nation.select(
+        F.when(F.col("n_nationkey") != 11, code("n_nationkey")).otherwise("ZZZ").alias("iso3c"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("wb_country_name")
     )
     accounts = (
         t.orders.join(t.customer, F.col("o_custkey") == F.when(F.col("c_nationkey") != 3, F.col("c_custkey")))
         .groupBy(code("c_nationkey").alias("iso3c"), F.year("o_orderdate").alias("year"))
         .agg(F.count("*").cast("double").alias("IP.PAT.RESD"))
     )
-    measures = t.lineitem.where("l_returnflag = 'R'").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.concat(F.lit("nation  "), F.col("s_nationkey").cast("string")).alias("Country"),
+    place = F.when(F.col("l_returnflag") == "R", F.lit("nation  ")).otherwise("no such nation ")
+    measures = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.concat(place, F.col("s_nationkey").cast("string")).alias("Country"),
         F.year("l_shipdate").cast("string").alias("year_from_timeframe"),
     )
     policy, _ = countries.policy_panel(measures, registry)

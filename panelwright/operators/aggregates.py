@@ -302,33 +302,66 @@ SCORE_COLUMNS = (
 )
 
 
-def country_year_scores(
-    df: DataFrame,
-    country: str,
-    year: str,
+def _score_measures(
     threshold: str = "threshold",
     scores: Sequence[str] = SCORE_COLUMNS,
     score: str = "benchmark_score",
     flag: str = "benchmark_flag",
     confidence: str = "benchmark_confidence",
     claims: str = "num_claims",
-) -> DataFrame:
-    """Country-year measures: counts, shares, score means, share above a global threshold, weighted mean."""
+) -> list[Column]:
     weight = F.when(F.col(claims) > 0, F.col(claims))
+    return [
+        F.count("*").alias("patent_count"),
+        F.sum(flag).alias("data_driven_patent_count"),
+        F.avg(flag).alias("data_driven_patent_share"),
+        F.avg(score).alias(f"{score}_mean"),
+        F.avg(F.when(F.col(score) >= F.col(threshold), 1).otherwise(0)).alias("benchmark_top_decile_share"),
+        *[F.avg(c).alias(f"{c}_mean") for c in scores],
+        F.try_divide(F.sum(F.col(score) * weight), F.sum(weight)).alias(f"claims_weighted_{score}_mean"),
+        F.avg(confidence).alias(f"{confidence}_mean"),
+    ]
+
+
+def country_year_scores(df: DataFrame, country: str, year: str, threshold: str = "threshold", **names) -> DataFrame:
+    """Country-year measures: counts, shares, score means, share above a global threshold, weighted mean."""
     return (
         df.where(F.col(country).rlike(ISO3) & F.col(year).isNotNull())
         .groupBy(F.col(country).alias("iso3c"), F.col(year).cast("int").alias("year"))
-        .agg(
-            F.count("*").alias("patent_count"),
-            F.sum(flag).alias("data_driven_patent_count"),
-            F.avg(flag).alias("data_driven_patent_share"),
-            F.avg(score).alias(f"{score}_mean"),
-            F.avg(F.when(F.col(score) >= F.col(threshold), 1).otherwise(0)).alias("benchmark_top_decile_share"),
-            *[F.avg(c).alias(f"{c}_mean") for c in scores],
-            F.try_divide(F.sum(F.col(score) * weight), F.sum(weight)).alias(f"claims_weighted_{score}_mean"),
-            F.avg(confidence).alias(f"{confidence}_mean"),
-        )
+        .agg(*_score_measures(threshold, **names))
+    )
+
+
+def country_year_variants(
+    df: DataFrame, variants: Mapping[tuple[str, str], tuple[str, str]], threshold: str = "threshold", **names
+) -> DataFrame:
+    """``country_year_scores`` by several country and year columns, stacked with the labels of each.
+
+    All variants are grouping sets of one aggregate, so the rows are read once and expanded before the partial sums.
+    """
+    countries = {c: f"__c{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in variants.values()))}
+    years = {y: f"__y{i}" for i, y in enumerate(dict.fromkeys(y for _, y in variants.values()))}
+    keys = [*countries.values(), *years.values()]
+    rows = df.withColumns(
+        {n: F.when(F.col(c).rlike(ISO3), F.col(c)) for c, n in countries.items()}
+        | {n: F.col(y).cast("int") for y, n in years.items()}
+    )
+    sets = {label: [countries[c], years[y]] for label, (c, y) in variants.items()}
+    grouped = rows.groupingSets([[F.col(k) for k in s] for s in sets.values()], *[F.col(k) for k in keys]).agg(
+        *_score_measures(threshold, **names), F.grouping_id().alias("__set")
     )
+    # A grouping id has a bit for each key that its set leaves out.
+    ids = {label: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s) for label, s in sets.items()}
+    of = [F.col("__set") == i for i in ids.values()]
+    picked = {
+        "iso3c": F.coalesce(*[F.when(w, F.col(s[0])) for w, s in zip(of, sets.values(), strict=True)]),
+        "year": F.coalesce(*[F.when(w, F.col(s[1])) for w, s in zip(of, sets.values(), strict=True)]),
+        "assignment_basis": F.coalesce(*[F.when(w, F.lit(a)) for w, (a, _) in zip(of, sets, strict=True)]),
+        "year_basis": F.coalesce(*[F.when(w, F.lit(y)) for w, (_, y) in zip(of, sets, strict=True)]),
+    }
+    found = grouped.withColumns(picked).where("iso3c IS NOT NULL AND year IS NOT NULL")
+    measures = [c for c in grouped.columns if c not in {*keys, "__set"}]
+    return found.select("iso3c", "year", *measures, "assignment_basis", "year_basis")
 
 
 def country_year_derived(df: DataFrame, country: str, year: str, means: Mapping[str, Column | str]) -> DataFrame:

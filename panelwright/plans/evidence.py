@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 from ..functions.evidence import TEXT_PATTERNS, evidence_features, model_text
 from ..operators.aggregates import country_year_scores
-from ..operators.describe import prefix_measures, union_variants
+from ..operators.aggregates import country_year_variants as scores_by_variant
+from ..operators.describe import prefix_measures
 from ..operators.joins import iso2_to_iso3
 from ..operators.learning import EvidenceModel, balanced_sample, fit_evidence_model, hash_split, score_texts
 from ..operators.ranking import with_quantile
@@ -36,14 +37,11 @@ def country_year_variants(scored: DataFrame, iso_map: DataFrame) -> dict[str, Da
     coded = iso2_to_iso3(scored, iso_map, "assignee_country_mode", "assignee_iso3")
     coded = iso2_to_iso3(coded, iso_map, "inventor_country_mode", "inventor_iso3")
     marked = with_quantile(coded, "benchmark_score", 0.9, "threshold")
-    frames = {
-        (basis, kind): country_year_scores(marked, f"{basis}_iso3", f"{kind}_year")
-        for basis in ("assignee", "inventor")
-        for kind in ("app", "grant")
-    }
+    variants = {(b, k): (f"{b}_iso3", f"{k}_year") for b in ("assignee", "inventor") for k in ("app", "grant")}
+    preferred = country_year_scores(marked, *variants["assignee", "app"])
     return {
-        "all_variants": union_variants(frames),
-        "benchmark": prefix_measures(frames["assignee", "app"], ["iso3c", "year"]),
+        "all_variants": scores_by_variant(marked, variants),
+        "benchmark": prefix_measures(preferred, ["iso3c", "year"]),
     }
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import coerce_double, coerce_int
 from ..functions.text import null_if_blank, strip_quotes, strip_quotes_upper
 from ..operators.joins import semi_join_universe
+from ..session import pinned
 
 TRANCHE_COLUMNS = {
     "patent_id": "string",
@@ -113,9 +117,99 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return ";" if (total["s"] or 0) > (total["c"] or 0) else ","
 
 
+_WHOLE, _HEAD, _MIDDLE, _TAIL = range(4)
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the lines of each split to records. What began before the split or goes on behind it becomes a fragment.
+
+    Lines come as (value, quotes, file, block, open): in order within a split, with whether its first line is inside quotes.
+    """
+    split, is_open, fresh, held = None, False, True, []
+    out: list[tuple] = []
+
+    def close():
+        if split is not None and held:
+            out.append((*split, _TAIL if fresh else _MIDDLE, "\n".join(held)))
+
+    for batch in batches:
+        values, quotes, files, blocks, opens = (c.to_pylist() for c in batch.columns)
+        for value, n, file, block, start in zip(values, quotes, files, blocks, opens, strict=True):
+            if split != (file, block):
+                close()
+                split, is_open, held = (file, block), start, []
+                fresh = not start  # whether what is held began in this split
+            held.append(value)
+            is_open ^= n % 2 == 1
+            if not is_open:
+                out.append((*split, _WHOLE if fresh else _HEAD, "\n".join(held)))
+                held, fresh = [], True
+        if len(out) > 4096:
+            yield _records(out)
+            out = []
+    close()
+    yield _records(out)
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string())
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["file", "block", "kind", "record"])
+
+
+def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """``file``, ``block``, ``record``: the records of delimited files, in which quoted fields may hold line breaks.
+
+    Files are read in splits, one large file by many tasks. Whether a split begins inside quotes follows from the number of
+    quotes before it: they are counted by split, and a prefix sum over the splits, one small row each, carries the parity
+    on. Each split then cuts its own records; only the fragments at its borders, two at most, meet again. A quote inside an
+    unquoted field counts too, as the format does not allow one there.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value",
+        (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))).alias("quotes"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "block").agg(F.sum("quotes").alias("n"))
+    starts = starts.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1).alias("open"))
+    marked = lines.join(F.broadcast(starts), ["file", "block"]).select("value", "quotes", "file", "block", "open")
+    pieces = pinned(marked.mapInArrow(_cut_records, "file string, block long, kind int, record string"))
+    whole = pieces.where(F.col("kind") == _WHOLE).select("file", "block", "record")
+    ordered = W.partitionBy("file").orderBy("block", "kind")
+    torn = pieces.where(F.col("kind") != _WHOLE).withColumn("nth", F.sum((F.col("kind") == _TAIL).cast("int")).over(ordered))
+    mended = torn.groupBy("file", "nth").agg(
+        F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("block", "kind", "record"))).alias("parts")
+    )
+    joined = F.array_join(F.transform("parts", lambda x: x["record"]), "\n")
+    return whole.unionByName(mended.select("file", "block", joined.alias("record")))
+
+
+def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """Names in the first record of the first file."""
+    first = matching_paths(spark, path)
+    inside = [p for p in (matching_paths(spark, f"{first[0]}/[!_.]*") if first else [])]
+    head = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", True)
+    return [c.strip().strip('"') for c in head.csv(inside[0] if inside else path).columns]
+
+
 def normalize_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file of unknown delimiter with quoted line breaks, read as text columns."""
-    return read_delimited(spark, path, sep=sniff_delimiter(spark, path), multi_line=True)
+    """Delimited files of unknown delimiter with quoted line breaks, read in splits as text columns.
+
+    Columns are those of the first file's header; the header record of each file is left out, and blank lines are.
+    """
+    sep = sniff_delimiter(spark, path)
+    names = _header(spark, path, sep)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    record = F.regexp_replace("record", "\r$", "")
+    rows = quoted_records(spark, path).where(F.trim(record) != "")
+    parsed = rows.select(F.from_csv(record, schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"'}).alias("r"), "block")
+    heading = F.lit(True)
+    for i, n in enumerate(names):
+        heading = heading & F.trim(F.col(f"r.c{i}"), F.lit(' "')).eqNullSafe(F.lit(n))
+    cells = parsed.where(~((F.col("block") == 0) & heading)).select("r.*")
+    return cells.toDF(*names)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,54 @@ def test_incremental_equals_one_run(spark, tmp_path):
     got = incremental.read_scored(spark, out)
     assert got.count() == got.select("id").distinct().count() == 150
     assert got.where("y <> 2 * x").count() == 0
+
+
+def delimited(rng, rows):
+    """Rows as CSV with quotes, doubled quotes, delimiters and line breaks of every kind inside quoted fields."""
+    parts = ["a", "b c", ";", ",", '""', "\n", "\r\n", "\n\n", "é漢", "x" * 40, "'"]
+    lines = ["id;text;end"]
+    for i in range(rows):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 8)))
+        lines.append(f'{i};"{text}";"e{i}"' if i % 3 else f"{i};plain {i};e{i}")
+    return rng.choice(["\n", "\r\n"]).join(lines) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("split", ["40", "700", "100000"])
+def test_quoted_records_across_splits(spark, tmp_path, split):
+    import csv
+    import io
+
+    rng = random.Random(int(split))
+    want = []
+    for k in range(3):
+        text = delimited(rng, 60 if k else 1)
+        if k == 2:
+            text += '\n7777;"' + "one field over many splits\n" * 60 + '";last'
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        found = list(csv.reader(io.StringIO(text, newline=""), delimiter=";"))
+        want += [tuple(c if c or i != 1 else "" for i, c in enumerate(r)) for r in found[1:] if r]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], split)
+        spark.conf.set(names[1], "1")
+        df = tables.normalize_delimited(spark, str(tmp_path))
+        assert df.columns == ["id", "text", "end"]
+        got = [tuple("" if c is None else c for c in r) for r in df.collect()]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert sorted(got) == sorted(want)
+
+
+def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('a,b\n' + "".join(f'{i},"two\nlines {i}"\n' for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+        records = tables.quoted_records(spark, str(tmp_path / "one.csv"))
+        assert records.select("block").distinct().count() > 4
+        assert tables.normalize_delimited(spark, str(tmp_path / "one.csv")).where("b = concat('two\n', 'lines ', a)").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
