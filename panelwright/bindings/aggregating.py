@@ -372,9 +372,7 @@ def _keyword_features(t: Tables) -> DataFrame:
     return aggregates.keyword_features_by_firm_year(counted, ["host"], [*TERMS, "kw_total"])
 
 
-@query(
-    "firm_year_facts",
-    f"""
+FACTS_CTES = f"""
     WITH f AS ({FACTS_SQL}),
     r AS (
       SELECT *, CASE tag WHEN 'Revenues' THEN 0 WHEN 'SalesRevenueNet' THEN 1 ELSE 0 END AS tr,
@@ -388,6 +386,12 @@ def _keyword_features(t: Tables) -> DataFrame:
                  max(CASE WHEN metric = 'rd_expense' THEN value END) AS rd_expense,
                  max(CASE WHEN metric = 'capex' THEN value END) AS capex,
                  max(CASE WHEN metric = 'employees' THEN value END) AS employees FROM b GROUP BY 1, 2)
+"""
+
+
+@query(
+    "firm_year_facts",
+    f"""{FACTS_CTES}
     SELECT o_custkey, year, round(revenue, 2) AS revenue, round(rd_expense, 2) AS rd_expense, round(capex, 2) AS capex,
            round(employees, 2) AS employees, round(rd_expense / nullif(revenue, 0), 8) AS rd_to_revenue,
            round(capex / nullif(revenue, 0), 8) AS capex_to_revenue
@@ -405,6 +409,63 @@ def _firm_year_facts(t: Tables) -> DataFrame:
     )
 
 
+def submissions_payload() -> F.Column:
+    """A submissions document built from one customer: its profile and three filings, the second not an annual one."""
+    key, start = F.col("c_custkey"), 1993 + F.col("c_custkey") % 7
+
+    def texts(*parts: F.Column | str) -> F.Column:
+        return F.array(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+    def day(year: F.Column, rest: str) -> F.Column:
+        return F.concat(year.cast("string"), F.lit(rest))
+
+    recent = F.struct(
+        texts(key * 10, key * 10 + 1, key * 10 + 2).alias("accessionNumber"),
+        texts(day(start + 1, "-02-01"), day(start + 1, "-02-02"), day(start + 1, "-03-15")).alias("filingDate"),
+        texts(day(start, "-12-31"), day(start, "-12-31"), "").alias("reportDate"),
+        texts("10-K", "8-K", "20-F").alias("form"),
+        texts(key * 7 % 97, key % 5, key * 11 % 89).alias("primaryDocument"),
+    )
+    return F.to_json(
+        F.struct(
+            (key % 90 + 10).cast("string").alias("sic"), F.col("c_mktsegment").alias("sicDescription"), F.lit("DE").alias("stateOfIncorporation"),
+            F.lit("1231").alias("fiscalYearEnd"), F.lit("operating").alias("entityType"), F.col("c_name").alias("name"),
+            F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(texts("T", "second")).alias("tickers"),
+            F.struct(recent.alias("recent")).alias("filings"),
+        )
+    )
+
+
+@query(
+    "firm_year_facts_with_context",
+    f"""{FACTS_CTES},
+    filed AS (SELECT c_custkey, 1993 + c_custkey % 7 + late AS year, if(late = 0, c_custkey * 7 % 97, c_custkey * 11 % 89) AS page_id
+              FROM customer, (VALUES (0), (1)) AS v(late)),
+    words AS (SELECT page_id, {keyword_sql('text')} FROM (SELECT page_id, {HTML_SQL} AS text FROM pages)),
+    texts AS (SELECT c_custkey, year, max(kw_article) AS kw_article, max(kw_noun) AS kw_noun, max(kw_link) AS kw_link,
+                     max(kw_total) AS kw_total FROM filed JOIN words USING (page_id) GROUP BY 1, 2)
+    SELECT o_custkey, w.year, round(revenue, 2) AS revenue, round(rd_expense / nullif(revenue, 0), 8) AS rd_to_revenue,
+           kw_article, kw_noun, kw_link, kw_total, CAST(c.c_custkey % 90 + 10 AS VARCHAR) AS sic, c_mktsegment AS sic_description,
+           if(c.c_custkey IS NULL, NULL, 'DE') AS state_of_incorporation, if(c.c_custkey IS NULL, NULL, '1231') AS fiscal_year_end,
+           if(c.c_custkey IS NULL, NULL, 'operating') AS entity_type, c_name AS name_sec, if(c.c_custkey % 3 = 0, NULL, 'T') AS ticker_sec
+    FROM w LEFT JOIN texts t ON t.c_custkey = o_custkey AND t.year = w.year LEFT JOIN customer c ON c.c_custkey = o_custkey
+    """,
+)
+def _firm_year_facts_with_context(t: Tables) -> DataFrame:
+    facts = payloads.flatten_facts_json(t.orders.select("o_custkey", facts_payload().alias("j")), "j", ["o_custkey"])
+    wide = aggregates.firm_year_facts(facts, "o_custkey", "year", "tag", "unit", "value", "position")
+    submissions = t.customer.select(F.col("c_custkey").alias("o_custkey"), submissions_payload().alias("j"))
+    filings = payloads.flatten_filings_json(submissions, "j", ["o_custkey"])
+    annual = aggregates.filing_year(filings, "form", "reportDate", "filingDate", ["accessionNumber", "primaryDocument"])
+    annual = annual.select("o_custkey", "year", F.col("primaryDocument").cast("long").alias("page_id"))
+    features = aggregates.filing_features(annual, t.pages, "page_id", "html", ["o_custkey", "year"], TERMS, "kw_total")
+    out = aggregates.facts_with_context(wide, "o_custkey", "year", features, payloads.firm_profile_json(submissions, "j", ["o_custkey"]))
+    return out.select(
+        "o_custkey", "year", F.round("revenue", 2).alias("revenue"), F.round("rd_to_revenue", 8).alias("rd_to_revenue"), *TERMS, "kw_total",
+        "sic", "sic_description", "state_of_incorporation", "fiscal_year_end", "entity_type", "name_sec", "ticker_sec",
+    )
+
+
 def country_scores_sql(country: str, year: str) -> str:
     """Sums per country, year and number of claims; every measure is then a ratio of such sums."""
     names = [*aggregates.SCORE_COLUMNS, "benchmark_score", "benchmark_confidence"]

@@ -210,6 +210,45 @@ def _score_incremental(t: Tables) -> DataFrame:
     return rounded(incremental.read_scored(t.spark, out), 9)
 
 
+CHUNKED_SQL = f"""
+    SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 + 1 AS INT) AS chunk,
+           round(dictionary_score, 9) AS dictionary_score, round(boilerplate_score, 9) AS boilerplate_score FROM ({SCORES_SQL})
+"""
+
+
+def scored_chunks(t: Tables) -> str:
+    """All documents scored in ranges of chunks that overlap, come out of order and repeat."""
+    source, out = scratch_path(t.spark, "chunks"), scratch_path(t.spark, "chunk-scores")
+
+    def score(rows: DataFrame) -> DataFrame:
+        low = rows.select("doc_id", "chunk", F.lower("text").alias("text"))
+        scored = evidence.saturating_scores(evidence.regex_hits(low, "text", PATTERNS))
+        return scored.select("doc_id", "chunk", "dictionary_score", "boilerplate_score")
+
+    chunks = incremental.number_chunks(t.documents.select("doc_id", "text"), ["doc_id"], 128, source)
+    for first, last in ((3, None), (1, 4), (2, 2)):
+        incremental.score_chunks(chunks, score, out, first, last)
+    return out
+
+
+@query("score_chunk_ranges", CHUNKED_SQL)
+def _score_chunk_ranges(t: Tables) -> DataFrame:
+    out = incremental.read_chunks(t.spark, scored_chunks(t))
+    return rounded(out.select("doc_id", "chunk", "dictionary_score", "boilerplate_score"), 9)
+
+
+@query(
+    "score_chunk_diagnostics",
+    f"""
+    SELECT count(DISTINCT chunk) AS n_chunks, max(chunk) AS last_chunk, count(*) AS n_listed, count(*) AS n_rows,
+           round(avg(dictionary_score), 6) AS mean_score, round(count_if(dictionary_score >= 0.15) / count(*), 6) AS share_above
+    FROM ({CHUNKED_SQL})
+    """,
+)
+def _score_chunk_diagnostics(t: Tables) -> DataFrame:
+    return rounded(incremental.chunk_diagnostics(t.spark, scored_chunks(t), "dictionary_score", 0.15), 6)
+
+
 @query(
     "reuse_stage",
     """

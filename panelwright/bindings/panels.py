@@ -118,6 +118,8 @@ DERIVED_SQL = f"""
                      count(*) FILTER (WHERE delay BETWEEN 0 AND 10) AS f10,
                      count(*) FILTER (WHERE delay BETWEEN 0 AND 10 AND cat = 'cited by examiner') AS fe,
                      count(DISTINCT sub) FILTER (WHERE delay BETWEEN 0 AND 10) AS n_sub,
+                     count(DISTINCT left(sub, 4)) FILTER (WHERE delay BETWEEN 0 AND 10) AS n_sub4,
+                     count(DISTINCT citing) FILTER (WHERE delay BETWEEN 0 AND 10) AS n_citing,
                      count(DISTINCT citing) FILTER (WHERE delay BETWEEN 0 AND 10 AND employees IS NOT NULL) AS n_sized,
                      count(DISTINCT citing) FILTER (WHERE delay BETWEEN 0 AND 10 AND employees < 500) AS n_small
               FROM dated GROUP BY patent_id),
@@ -138,7 +140,9 @@ DERIVED_SQL = f"""
            coalesce(f10, 0) AS forward_citation_count_10y, coalesce(fe, 0) AS forward_citation_examiner_10y,
            round(ln(1 + coalesce(f10, 0)), 9) AS ln_forward_citation_count_10y_plus1,
            coalesce(n_sub, 0) AS citing_cpc_subclass_count_10y, coalesce(n_sized, 0) AS citing_patents_with_size_10y,
-           coalesce(n_small, 0) AS citing_small_firm_patents_10y,
+           coalesce(n_small, 0) AS citing_small_firm_patents_10y, coalesce(n_sub4, 0) AS citing_cpc4_count_10y,
+           coalesce(n_citing, 0) AS citing_patents_10y,
+           round(n_sized / nullif(n_citing, 0), 9) AS small_firm_citation_size_coverage_10y,
            round(n_small / nullif(n_sized, 0), 9) AS small_firm_citation_share_10y_linked,
            coalesce(years_ahead, 0) AS years_ahead_of_cpc_intro, coalesce(n_inv, 0) AS inventor_count,
            round(coalesce(mean_prior, 0), 9) AS inventor_productivity_mean_prior_count, coalesce(max_prior, 0) AS inventor_productivity_max_prior_count
@@ -151,7 +155,8 @@ DERIVED_COLUMNS = [
     "patent_id", "app_year", "benchmark_score", "is_publicly_funded", "other_reference_count", "science_reference_count",
     "forward_citation_count_all", "forward_citation_count_5y", "forward_citation_count_10y", "forward_citation_examiner_10y",
     "ln_forward_citation_count_10y_plus1", "citing_cpc_subclass_count_10y", "citing_patents_with_size_10y",
-    "citing_small_firm_patents_10y", "small_firm_citation_share_10y_linked", "years_ahead_of_cpc_intro", "inventor_count",
+    "citing_small_firm_patents_10y", "citing_cpc4_count_10y", "citing_patents_10y", "small_firm_citation_size_coverage_10y",
+    "small_firm_citation_share_10y_linked", "years_ahead_of_cpc_intro", "inventor_count",
     "inventor_productivity_mean_prior_count", "inventor_productivity_max_prior_count",
 ]
 
@@ -231,6 +236,43 @@ def _derived_country_years(t: Tables) -> DataFrame:
     )
 
 
+FIRM_CHANGES = (
+    "ln_sales_plus1", "ln_rd_plus1", "ln_capital_proxy_plus1", "ln_patent_count_plus1", "ln_sales_per_worker_plus1",
+    "empirical_driven_share", "public_funded_share", "science_reference_share_mean",
+)
+
+
+@query(
+    "firm_year_changes",
+    f"""
+    WITH d AS ({DERIVED_RAW_SQL}), flags AS ({EVIDENCE}),
+    facts AS (SELECT if(o_orderstatus = 'F', o_custkey, -o_custkey) AS gvkey, CAST(year(o_orderdate) AS INT) AS year,
+                     sum(o_totalprice) AS revenue, max(o_totalprice) AS rd_expense, min(o_totalprice) AS capex, count(*) * 97 AS workers
+              FROM orders GROUP BY 1, 2),
+    held AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS patent_id, p_partkey * 3 % 200 AS gvkey FROM part),
+    linked AS (SELECT gvkey, app_year AS year, count(*) AS n, sum(benchmark_flag) / count(*) AS empirical_driven_share,
+                      sum(is_publicly_funded) / count(*) AS public_funded_share,
+                      avg(science_reference_count / nullif(other_reference_count, 0)) AS science_reference_share_mean
+               FROM d JOIN flags USING (patent_id) JOIN held USING (patent_id) GROUP BY 1, 2),
+    p AS (SELECT gvkey, year, n AS patent_count_linked, ln(1 + revenue) AS ln_sales_plus1, ln(1 + rd_expense) AS ln_rd_plus1,
+                 ln(1 + capex) AS ln_capital_proxy_plus1, ln(1 + coalesce(n, 0)) AS ln_patent_count_plus1,
+                 ln(1 + revenue / workers) AS ln_sales_per_worker_plus1, empirical_driven_share, public_funded_share, science_reference_share_mean
+          FROM facts LEFT JOIN linked USING (gvkey, year))
+    SELECT gvkey, year, patent_count_linked, {", ".join(f"round({c}, 7) AS {c}" for c in FIRM_CHANGES)},
+           {", ".join(f"round(lead({c}, 5) OVER w - {c}, 7) AS d5_{c}" for c in FIRM_CHANGES)}
+    FROM p WINDOW w AS (PARTITION BY gvkey ORDER BY year)
+    """,
+)
+def _firm_year_changes(t: Tables) -> DataFrame:
+    given = derived_inputs(t)
+    owners = t.part.select(
+        tagged("P", "p_partkey").alias("patent_id"), (F.col("p_partkey") * 3 % 200).alias("gvkey"), (1992 + F.col("p_size") % 8).alias("app_year")
+    )
+    panel = derived.firm_year_panel_with_changes(derived.patent_variables(given), owners, given.firm_year)
+    names = [*FIRM_CHANGES, *[f"d5_{c}" for c in FIRM_CHANGES]]
+    return panel.select("gvkey", "year", "patent_count_linked", *[F.round(c, 7).alias(c) for c in names])
+
+
 INDUSTRY_ITEMS = """
     SELECT s.*, s.assignee_iso2 AS assignee_country_mode FROM {scored} s
 """

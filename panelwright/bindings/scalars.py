@@ -330,9 +330,14 @@ HTML_SQL = """
 """
 
 
-@query("clean_html_text", f"SELECT page_id, {HTML_SQL} AS text FROM pages")
+# References of every kind behind each page, and what they stand for.
+MORE_REFERENCES = " &eacute;&Eacute; &notin; &notit; &copy2 &AMP; &amplt; &unknown; &#65;&#x42 &#128; &#0;&#7; &hellip;"
+RESOLVED = "éé ∉ ¬it; ©2 & &lt; &unknown; ab € \ufffd …"
+
+
+@query("clean_html_text", f"SELECT page_id, trim({HTML_SQL} || ' {RESOLVED}') AS text FROM pages")
 def _clean_html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.clean_html_text("html").alias("text"))
+    return t.pages.select("page_id", text.clean_html_text(F.concat("html", F.lit(MORE_REFERENCES))).alias("text"))
 
 
 TERMS = {"kw_article": ["the", "then", "and"], "kw_noun": ["tion", "ment"], "kw_link": ["http", "www."]}

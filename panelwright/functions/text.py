@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,35 +27,6 @@ LEGAL_SUFFIXES = (
     "holding",
 )
 
-# The named character references that occur in ordinary filings.
-HTML_ENTITIES = {
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "mdash": "—",
-    "ndash": "–",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "hellip": "…",
-    "bull": "•",
-    "middot": "·",
-    "sect": "§",
-    "para": "¶",
-    "deg": "°",
-    "euro": "€",
-    "pound": "£",
-    "cent": "¢",
-    "yen": "¥",
-    "amp": "&",
-}
-
 _BLANKS = " \t\n\r\x0b\x0c"
 _ANY_SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -121,31 +94,61 @@ def extract_year(value: str | Column) -> Column:
     return F.nullif(F.regexp_extract(as_col(value), r"((?:19|20)\d{2})", 1), F.lit(""))
 
 
+def _entity_names() -> Column:
+    """All named references as a map of maps, by their first two characters so that a lookup stays short."""
+    nested: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        nested.setdefault(name[:2], {})[name] = value
+    return F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,string>>")
+
+
+# Names that also count without a semicolon, and in front of other letters; the longest wins.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _numeric_reference(piece: Column) -> Column:
+    """The character of ``&#12;`` or ``&#x1f;``, as browsers resolve it: a Windows character for a C1 control, the
+    replacement character for what is no code point, nothing for other controls and non-characters."""
+    digits = F.regexp_extract(piece, "^&#0*([0-9]*);?$", 1)
+    hex_digits = F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]*);?$", 1)
+    is_hex = piece.rlike("^&#[xX]")
+    known = F.when(is_hex, hex_digits).otherwise(digits)
+    base = F.conv(F.concat(F.lit("0"), known), 16, 10)
+    code = F.when(F.length(known) > 7, F.lit(0x110000)).otherwise(F.when(is_hex, base).otherwise(F.concat(F.lit("0"), known)).cast("int"))
+    windows = {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+    replaced = F.from_json(F.lit(json.dumps({str(c): v for c, v in windows.items()})), "map<string,string>")
+    plane = code % 0x10000
+    silent = (code < 9) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (plane >= 0xFFFE)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+        .when(code.between(0x80, 0x9F), replaced[code.cast("string")])
+        .when(silent, F.lit(""))
+        .otherwise(character)
+    )
+
+
 def unescape_entities(value: str | Column) -> Column:
-    """Resolve numeric and common named character references once, ``&amp;`` last."""
+    """Resolve numeric and all named character references once, named ones also by their longest known beginning."""
     text = as_col(value)
+    names = _entity_names()
+
+    def named(piece: Column) -> Column:
+        name = F.substring(piece, 2, 40)
+        whole = names[F.substring(name, 1, 2)][name]
+        start = F.regexp_extract(name, f"^(?:{_OPEN_NAMES})", 0)
+        begun = names[F.substring(start, 1, 2)][start]
+        rest = F.substr(name, F.length(start) + 1)
+        return F.coalesce(whole, F.when(start != "", F.concat(begun, rest)), piece)
 
     def one(piece: Column) -> Column:
-        hex_digits = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        dec_digits = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
-        code = (
-            F.when(hex_digits != "", F.lpad(hex_digits, 8, "0"))
-            .when(dec_digits != "", F.lpad(F.hex(dec_digits.try_cast("bigint")), 8, "0"))
-        )
-        # An ampersand stays escaped here so that the last replacement resolves it exactly once.
-        return (
-            F.when(code.isNull(), piece)
-            .when(code == "00000026", "&amp;")
-            .otherwise(F.decode(F.unhex(code), "UTF-32"))
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#[xX]?[0-9a-fA-F]{1,7};|[^&]+|&"), F.lit(0))
-    numeric = F.when(text.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
-    return reduce(
-        lambda acc, item: F.replace(acc, F.lit(f"&{item[0]};"), F.lit(item[1])),
-        HTML_ENTITIES.items(),
-        numeric,
-    )
+        return F.when(piece.startswith("&#") & (F.length(piece) > 2), _numeric_reference(piece)).when(
+            piece.startswith("&") & (F.length(piece) > 1), named(piece)
+        ).otherwise(piece)
+
+    reference = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
+    pieces = F.regexp_extract_all(text, F.lit(reference), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def clean_html_text(value: str | Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import ISO3
 from ..functions.numbers import safe_ratio, to_year
-from ..functions.text import as_col, null_if_blank
+from ..functions.text import as_col, clean_html_text, keyword_counts, null_if_blank
 from .joins import semi_join_universe
 from .ranking import mode_by_key, quantiles
 
@@ -167,6 +167,21 @@ def keyword_features_by_firm_year(df: DataFrame, keys: Sequence[str], features:
     return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in features])
 
 
+def filing_features(
+    filings: DataFrame, pages: DataFrame, document: str, html: str, keys: Sequence[str], terms: Mapping[str, list[str]], total: str
+) -> DataFrame:
+    """Keyword counts of each filing's page, the largest by ``keys``. A page is cleaned once however many filings name it."""
+    wanted = filings.select(document).distinct()
+    clean = pages.join(wanted, document).select(document, clean_html_text(html).alias("__text"))
+    counted = clean.select(document, *keyword_counts("__text", dict(terms), total))
+    return keyword_features_by_firm_year(filings.join(counted, document), keys, [*terms, total])
+
+
+def facts_with_context(facts: DataFrame, firm: str, year: str, features: DataFrame, profile: DataFrame) -> DataFrame:
+    """Firm-year facts with the text features of their year and the firm's profile; facts without either are kept."""
+    return facts.join(features, [firm, year], "left").join(profile, firm, "left")
+
+
 # Fact tags per metric in rising priority, and whether only money units count.
 FACT_TAGS = {
     "revenue": (("Revenues", "SalesRevenueNet", "RevenueFromContractWithCustomerExcludingAssessedTax"), ("USD",)),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import row_sample_std, safe_ratio
 from ..functions.text import as_col
-from .ranking import quantiles, running_totals
+from .ranking import quantile_points, quantiles, running_totals
 
 SUMMARY_POINTS = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -28,7 +28,7 @@ def summary_stats(
 ) -> DataFrame:
     """N, mean, sample SD, quantiles, minimum and maximum, one row per column that has values.
 
-    Moments come from one pass over all columns, quantiles from one sort of all columns' distinct values.
+    Moments come from one pass over all columns, quantiles from one selection for all columns and points together.
     """
     moments = df.agg(
         *[
@@ -74,10 +74,9 @@ def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     """Quantile-cut x into right-closed bins (repeated edges merged, lowest value included) and average both."""
     known = df.select(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).dropna()
     # Never more bins than distinct values; counting stops at the number of bins.
-    q = max(1, known.select("x").distinct().limit(bins).count())
-    points = {f"e{i}": i / q for i in range(q + 1)}
-    edge_row = quantiles(known, "x", points)
-    edges = edge_row.select(F.array_distinct(F.array(*points)).alias("edges")).scalar()
+    few = known.select("x").distinct().limit(bins).agg(F.greatest(F.count("*"), F.lit(1)).cast("int").alias("few"))
+    shares = "transform(sequence(0, few), i -> i / double(few))"
+    edges = quantile_points(known, "x", shares, given=few).select(F.array_distinct("points").alias("edges")).scalar()
     below = F.size(F.filter(F.col("edges"), lambda e: e < F.col("x")))
     return (
         known.withColumn("edges", edges)

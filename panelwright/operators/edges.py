@@ -159,6 +159,77 @@ def small_firm_citations(
     )
 
 
+def citation_profile(
+    edges: DataFrame,
+    universe: DataFrame,
+    years: DataFrame,
+    classes: DataFrame,
+    sizes: DataFrame,
+    cited: str,
+    citing: str,
+    category: str,
+    subclass: str,
+    size: str,
+    year: str,
+    spans: Mapping[str, int],
+    categories: Mapping[str, tuple[str, int]],
+    small: float = 500,
+    span: int = 10,
+) -> DataFrame:
+    """``forward_citations``, ``citation_breadth`` and ``small_firm_citations`` of each item, from one exchange of the edges.
+
+    The edges meet what is known of the citing items once. That leaves them partitioned by citing item, where repeated
+    edges collapse to pairs and the classes are looked up without moving them again. One aggregate by (cited, citing year,
+    class) then holds all counts, under a null class, and the classes seen; it combines before its shuffle and leaves one
+    row per item, year and class, however many edges an item has. ``years`` and ``sizes`` have one row per citing item.
+    """
+    about = years.select(F.col(citing), F.col(year).alias("__cy")).join(
+        sizes.select(citing, F.col(size).alias("__size")), citing, "full"
+    )
+    labels = {name: f"__l{i}" for i, name in enumerate(dict.fromkeys(label for label, _ in categories.values()))}
+    known = edges.where(F.col(cited).isNotNull() & F.col(citing).isNotNull())
+    pairs = known.join(about, citing, "left").groupBy(citing, cited, "__cy", "__size").agg(
+        F.count("*").alias("__rows"), *[F.count_if(F.col(category) == label).alias(n) for label, n in labels.items()]
+    )
+    held = classes.where(F.length(subclass) >= 4).groupBy(citing).agg(F.collect_set(subclass).alias("__classes"))
+    none = F.array(F.lit(None).cast("string"))
+    reduced = (
+        pairs.join(held, citing, "left")
+        .withColumn("__class", F.explode(F.concat(none, F.coalesce("__classes", F.slice(none, 1, 0)))))
+        .groupBy(cited, "__cy", "__class")
+        .agg(
+            F.count("*").alias("__pairs"),
+            F.count("__size").alias("__sized"),
+            F.count_if(F.col("__size") < small).alias("__small"),
+            *[F.sum(c).alias(c) for c in ("__rows", *labels.values())],
+        )
+    )
+    joined = universe.select(cited, year).join(reduced, cited, "left")
+    plain, inside = F.col("__class").isNull(), in_window("__cy", year, span)
+
+    def counted(column: str, condition: Column) -> Column:
+        return F.sum(F.when(plain & condition, F.coalesce(column, F.lit(0))).otherwise(0))
+
+    seen = F.when(inside, F.col("__class"))
+    every, sized, few = f"citing_patents_{span}y", f"citing_patents_with_size_{span}y", f"citing_small_firm_patents_{span}y"
+    out = joined.groupBy(cited).agg(
+        counted("__rows", F.lit(True)).alias("forward_citation_count_all"),
+        *[counted("__rows", in_window("__cy", year, s)).alias(name) for name, s in spans.items()],
+        *[counted(labels[label], in_window("__cy", year, s)).alias(name) for name, (label, s) in categories.items()],
+        F.countDistinct(F.substring(seen, 1, 4)).alias(f"citing_cpc4_count_{span}y"),
+        F.countDistinct(seen).alias(f"citing_cpc_subclass_count_{span}y"),
+        counted("__pairs", inside).alias(every),
+        counted("__sized", inside).alias(sized),
+        counted("__small", inside).alias(few),
+    )
+    return out.withColumns(
+        {
+            f"small_firm_citation_share_{span}y_linked": safe_ratio(few, sized),
+            f"small_firm_citation_size_coverage_{span}y": safe_ratio(sized, every),
+        }
+    )
+
+
 def class_intro_year(classes: DataFrame, years: DataFrame, item: str, label: str, year: str, out: str) -> DataFrame:
     """First year in which each class is seen."""
     known = classes.where(F.col(label).isNotNull()).join(years.select(item, year), item)

@@ -3,20 +3,36 @@
 A window without partitions, or one over a hot key, sorts all its rows in a single task. Here the rows
 are range-partitioned on the full order instead, so a hot key or a run of ties on the leading column is
 spread over as many tasks as it needs; only one small row per partition is combined afterwards.
+Quantiles need no order of the rows at all: they are selected by counting leading bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import as_col
 from ..session import pinned
 
-_PART, _POS = "__part", "__pos"
+_PART, _POS, _RUN = "__part", "__pos", "__run"
+#: Bytes of a plan's input for which one more range partition is made.
+BYTES_PER_PARTITION = 64 << 20
+#: Leading bits of a double's ordered key that each pass of a selection counts; 64 in all.
+RADIX_BITS = (22, 21, 21)
+
+
+def _partitions(df: DataFrame) -> int:
+    """By the size of the data, and no fewer than the session's shuffle partitions."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    by_size = min(int(str(size)) // BYTES_PER_PARTITION, 100_000)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by_size)
 
 
 def _ordered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -24,9 +40,8 @@ def _ordered_rows(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     Range bounds come from a sample, so the layout must be pinned before two branches read it.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(_partitions(df), *order)
         .sortWithinPartitions(*order)
         .withColumn("__mid", F.monotonically_increasing_id())
     )
@@ -61,16 +76,64 @@ def global_rank(
     return rows.select(*df.columns, (F.col("__before") + F.col(_POS) + 1).alias(rank), *extra)
 
 
+def _same(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Equal as grouping keys: null like null, NaN like NaN."""
+    equal = pc.fill_null(pc.equal(a, b), False)
+    if pa.types.is_floating(a.type):
+        equal = pc.or_(equal, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return pc.or_(equal, pc.and_(pc.is_null(a), pc.is_null(b)))
+
+
+def _run_lengths(by: Sequence[str]):
+    """Number each row within its unbroken run of equal keys in the partition, and within the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, open_rows, done = None, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in by]
+            same = np.ones(n, bool)
+            for k in keys:
+                same[1:] &= _same(k.slice(1), k.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            same[0] = last is not None and all(_same(k.slice(0, 1), x)[0].as_py() for k, x in zip(keys, last, strict=True))
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(same, -1, at))
+            rank = np.where(start < 0, at + open_rows, at - start) + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(done + at), pa.array(rank)], [*batch.schema.names, _POS, _RUN]
+            )
+            last, open_rows, done = [k.slice(n - 1, 1) for k in keys], int(rank[-1]), done + n
+
+    return run
+
+
 def grouped_rank(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rank: str = "rank") -> DataFrame:
-    """1-based position within each group; a group may span any number of tasks."""
+    """1-based position within each group; a group may span any number of tasks.
+
+    A segmented prefix scan: rows are sorted across partitions once, and each partition numbers the rows of its runs. The
+    group that is open at a border, and its rows so far, are carried over in a table of one row per partition. Null keys
+    form one group.
+    """
     keys = [F.col(c) for c in by]
-    ranked = global_rank(df, [*keys, *order], rank)
-    starts = ranked.groupBy(*by).agg(F.min(rank).alias("__first"))
-    return (
-        ranked.join(starts, list(by))
-        .withColumn(rank, F.col(rank) - F.col("__first") + 1)
-        .select(*df.columns, rank)
+    fields = [*df.schema.fields, T.StructField(_POS, T.LongType()), T.StructField(_RUN, T.LongType())]
+    ordered = df.repartitionByRange(_partitions(df), *keys, *[as_col(c) for c in order])
+    ordered = ordered.sortWithinPartitions(*keys, *[as_col(c) for c in order])
+    numbered = ordered.mapInArrow(_run_lengths(by), T.StructType(fields)).withColumn(_PART, F.spark_partition_id())
+    rows = pinned(numbered)
+    group = F.struct(*keys)
+    borders = rows.groupBy(_PART).agg(
+        F.min_by(group, _POS).alias("__first"), F.max_by(group, _POS).alias("__last"), F.max_by(_RUN, _POS).alias("__open")
     )
+    earlier = borders.select(F.col(_PART).alias("__p"), F.col("__last").alias("__l"), F.col("__open").alias("__o"))
+    # A group that was open before this partition's first row has been open at the end of all partitions it is in.
+    goes_on = F.col("__first").eqNullSafe(F.col("__l")) & (F.col("__p") < F.col(_PART))
+    carried = borders.join(earlier, goes_on).groupBy(_PART).agg(F.sum("__o").alias("__carried"))
+    joined = rows.join(F.broadcast(carried), _PART, "left")
+    in_first_run = F.col(_RUN) == F.col(_POS) + 1
+    add = F.when(in_first_run, F.coalesce("__carried", F.lit(0))).otherwise(0)
+    return joined.select(*df.columns, (F.col(_RUN) + add).alias(rank))
 
 
 def running_totals(
@@ -98,43 +161,72 @@ def ntile(df: DataFrame, tiles: int, order: Sequence[str | Column], name: str =
     return ranked.select(*df.columns, tile.cast("int").alias(name))
 
 
-def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolated quantiles, one column per entry of ``probs``, nulls skipped.
+def _ordered_key(value: Column) -> Column:
+    """A long for each double, in the same order; NaN last, both zeros alike."""
+    plain = F.when(value == 0, F.lit(0.0)).otherwise(value)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _key_value(key: Column) -> Column:
+    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def quantile_points(df: DataFrame, value: str, shares: str, by: Sequence[str] = (), given: DataFrame | None = None) -> DataFrame:
+    """The columns ``by`` and ``points``, an array of exact linear-interpolated quantiles; nulls skipped.
 
-    Values are counted, the distinct ones sorted across the cluster, and only the two neighbours of each point kept, at
-    every size alike. Without ``by``, an input without values gives one row of nulls.
+    ``shares`` is the SQL of an array of shares, over the columns of ``given`` if there is such a table of one row; a null
+    share gives a null point. Selection by radix histograms: each pass counts the values by their next leading bits, for all
+    groups and points together, and the following pass looks only into the bins that hold a wanted position. There are as
+    many passes for any data; no row is sorted or written, and what is shuffled and kept are counts. Rows with a null in
+    ``by`` are left out. Without ``by`` there is one row, of null where there are no values.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    # Equal values are counted together first, so a value that fills a third of the rows is one row here.
-    counts = rows.groupBy(*by, "__v").agg(F.count("*").alias("__c"))
-    ordered = running_totals(counts, [*by, "__v"], {"__upto": "__c"}, "__rank", "__rows")
-    ordered = ordered.withColumn("__before", F.col("__upto") - F.col("__c"))
-    spans = ordered.groupBy(*by).agg(F.min("__before").alias("__start"), F.max("__upto").alias("__end"))
-    if by:
-        placed = ordered.join(spans, list(by))
-    else:
-        placed = ordered.withColumns({"__start": F.lit(0), "__end": spans.select("__end").scalar()})
-    aggs = []
-    for i, p in enumerate(probs.values()):
-        at = F.lit(float(p)) * (F.col("__end") - F.col("__start") - 1) + 1
-        low, high = F.col("__start") + F.floor(at), F.col("__start") + F.ceil(at)
-
-        def holds(position: Column) -> Column:
-            return (F.col("__before") < position) & (position <= F.col("__upto"))
-
-        aggs += [
-            F.max(F.when(holds(low), F.col("__v"))).alias(f"__lo{i}"),
-            F.max(F.when(holds(high), F.col("__v"))).alias(f"__hi{i}"),
-            F.max(at - F.floor(at)).alias(f"__w{i}"),
-        ]
-    parts = placed.groupBy(*by).agg(*aggs)
-    return parts.select(
-        *by,
-        *[
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__w{i}")).alias(name)
-            for i, name in enumerate(probs)
-        ],
-    )
+    known = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    rows = known.select(*by, _ordered_key(F.col("__v")).alias("__k"))
+    found, shift, prefix = None, 64, []
+    for depth, bits in enumerate(RADIX_BITS):
+        shift -= bits
+        level = f"__r{depth}"
+        rows = rows.withColumn(level, F.shiftright("__k", shift))
+        inside = rows if found is None else rows.join(found.select(*by, *prefix), [*by, *prefix])
+        bins = inside.groupBy(*by, *prefix, level).agg(F.count("*").alias("__c"))
+        within = W.partitionBy(*by, *prefix)
+        bins = bins.withColumn("__upto", F.sum("__c").over(within.orderBy(level).rowsBetween(W.unboundedPreceding, 0)))
+        if found is None:
+            # One-based positions of both neighbours of each point, and the weight of the upper one.
+            at = f"transform({shares}, p -> p * (__n - 1) + 1)"
+            bins = bins.withColumn("__n", F.sum("__c").over(within))
+            if given is not None:
+                bins = bins.withColumn("__one", F.lit(1)).join(F.broadcast(given.withColumn("__one", F.lit(1))), "__one")
+            both = "array(struct(2 * i as i, floor(x) as at, x - floor(x) as w), struct(2 * i + 1 as i, ceil(x) as at, x - floor(x) as w))"
+            bins = bins.withColumn("__wanted", F.expr(f"flatten(transform({at}, (x, i) -> {both}))"))
+        else:
+            # Positions count from the start of the bin that the pass before has found.
+            bins = bins.join(found, [*by, *prefix])
+        bins = bins.withColumn("__before", F.col("__upto") - F.col("__c"))
+        here = "filter(__wanted, x -> x.at > __before AND x.at <= __upto)"
+        prefix = [*prefix, level]
+        shifted = F.expr(f"transform({here}, x -> struct(x.i as i, x.at - __before as at, x.w as w))").alias("__wanted")
+        hit = bins.where(F.expr("exists(__wanted, x -> x.at > __before AND x.at <= __upto)"))
+        found = hit.select(*by, *prefix, shifted)
+        # A pass is a small table, written once: the next one reads it twice.
+        found = pinned(found) if shift else found
+    ends = found.select(*by, _key_value(F.col(prefix[-1])).alias("__v"), F.explode("__wanted").alias("x"))
+    cells = ends.groupBy(*by).agg(F.collect_list(F.struct("x.i", F.struct(F.col("__v").alias("v"), "x.w"))).alias("__cells"))
+    between = "(at[2 * i].v + (at[2 * i + 1].v - at[2 * i].v) * at[2 * i].w)"
+    size = "array_max(transform(__cells, c -> c.i)) div 2"
+    points = f"transform(sequence(0, {size}), i -> {between.replace('at[', 'map_from_entries(__cells)[')})"
+    return cells.select(*by, F.when(F.size("__cells") > 0, F.expr(points)).alias("points"))
+
+
+def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """``quantile_points`` with one column per entry of ``probs``."""
+    shares = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    points = quantile_points(df, value, f"array({shares})", by)
+    return points.select(*by, *[F.col("points")[i].alias(name) for i, name in enumerate(probs)])
 
 
 def with_quantile(df: DataFrame, value: str, prob: float, name: str) -> DataFrame:

@@ -94,13 +94,12 @@ def patent_variables(x: DerivedInputs) -> DataFrame:
     """One row per item of the universe with all derived variables."""
     x = clean_ids(x)
     u = x.universe
-    # The year map and the distinct edges feed most of the branches below; they are written once.
+    # The year map feeds most of the branches below; it is written once.
     years = pinned(aggregates.app_year_map(x.applications, KEY, "filing_date"))
     citing_years = years.select(F.col(KEY).alias("citing_patent_id"), YEAR)
     cited = semi_join_universe(x.citations, u, KEY)
-    pairs = pinned(edges.distinct_edges(cited, KEY, "citing_patent_id"))
     owners = ranking.best_owner(x.owners, KEY, "gvkey", YEAR)
-    sizes = citing_sizes(edges.distinct_citing(pairs, "citing_patent_id"), years, owners, x.firm_year)
+    sizes = citing_sizes(edges.distinct_citing(cited, "citing_patent_id"), years, owners, x.firm_year)
     citing_classes = x.current_classes.select(F.col(KEY).alias("citing_patent_id"), "cpc_subclass")
     intro = edges.class_intro_year(x.issue_classes, years, KEY, "cpc_subclass", YEAR, "intro_year")
     backward = edges.backward_citations(x.citations, u.select(F.col(KEY).alias("citing_patent_id")), "citing_patent_id", KEY)
@@ -110,13 +109,10 @@ def patent_variables(x: DerivedInputs) -> DataFrame:
         aggregates.gov_org_profile(x.gov_org, u, KEY, "fedagency_name", "level_one"),
         aggregates.science_reference_flags(semi_join_universe(x.references, u, KEY), KEY, "other_reference_text"),
         backward.withColumnRenamed("citing_patent_id", KEY),
-        edges.forward_citations(
-            cited, u, citing_years, KEY, "citing_patent_id", "citation_category", YEAR, SPANS, CATEGORIES
+        edges.citation_profile(
+            cited, u, citing_years, citing_classes, sizes, KEY, "citing_patent_id", "citation_category", "cpc_subclass",
+            "employees", YEAR, SPANS, CATEGORIES,
         ),
-        edges.citation_breadth(
-            pairs, u, citing_years, citing_classes, KEY, "citing_patent_id", "cpc_subclass", YEAR
-        ),
-        edges.small_firm_citations(pairs, u, citing_years, sizes, KEY, "citing_patent_id", YEAR, "employees"),
         edges.class_ahead(x.current_classes, u, intro, KEY, "cpc_subclass", YEAR, "intro_year"),
         edges.first_generation_flag(x.main_classes, u, KEY, "uspc_mainclass_id", YEAR),
         owner_history(x.inventors, u, "inventor_id", "inventor"),

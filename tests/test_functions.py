@@ -1,4 +1,5 @@
 import html
+import html.entities
 import math
 import re
 
@@ -80,6 +81,8 @@ def clean_in_python(raw):
         "x &#38;lt; &#x20AC; &#8364; &copy; &mdash; café",
         "<style>\np{}</style>T U V",
         "a &#38;amp; b &unknown; &#; &",
+        "&eacute;&Eacute &notin; &notit; &copy2 &AMP;lt; &amplt; &CounterClockwiseContourIntegral; &ngE; &acE;&\t;",
+        "&#0; &#x0; &#128; &#x9f;&#x81; &#7; &#13; &#xD800; &#1114112; &#99999999999999999999; &#xFFFE; &#00065 &#x000041;b",
     ],
 )
 def test_html_text(spark, raw):
@@ -153,3 +156,11 @@ def test_row_sample_std(spark):
 def test_extract_year(spark):
     assert one(spark, text.extract_year("v0"), "since 1899, 2018-2020") == "2018"
     assert one(spark, F.coalesce(text.extract_year("v0"), F.lit("none")), "no year") == "none"
+
+
+def test_every_named_reference(spark):
+    names = [f"&{n}" for n in html.entities.html5]
+    made = spark.createDataFrame([(n, n + "q") for n in names], "a string, b string")
+    got = made.select("a", "b", text.unescape_entities("a").alias("x"), text.unescape_entities("b").alias("y")).collect()
+    assert len(got) == len(names) > 2000
+    assert [r for r in got if r.x != html.unescape(r.a) or r.y != html.unescape(r.b)] == []

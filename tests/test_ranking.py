@@ -34,6 +34,36 @@ def test_grouped_rank(skewed):
     assert got.sort_index().tolist() == want.groupby(pdf.loc[want.index, "id"]).first().sort_index().tolist()
 
 
+def test_grouped_rank_over_many_borders(spark):
+    """Groups of one row and of many partitions, null and NaN keys, ties, and more partitions than rows."""
+    rng = random.Random(3)
+    data = [(None if i % 7 == 0 else float("nan") if i % 7 == 1 else float(i % 3 == 0), "x" * (i % 2), rng.randrange(5), i) for i in range(70)]
+    df = spark.createDataFrame(data, "k double, s string, o int, id int")
+    counted, size = {}, {}
+    for k, s, _, i in sorted(data, key=lambda r: (str(r[0]), r[1], r[2], r[3])):
+        counted[i] = size[str(k), s] = size.get((str(k), s), 0) + 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "13", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.id: r.r for r in ranking.grouped_rank(df, ["k", "s"], ["o", "id"], "r").collect()}
+            assert got == counted
+        assert ranking.grouped_rank(df.limit(0), ["k"], ["id"], "r").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_quantiles_of_hard_doubles(spark):
+    inf = float("inf")
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, -1.0, inf, -inf, 3.0, 3.0, 3.0, None]
+    df = spark.createDataFrame([(v, "a" if i % 2 else None) for i, v in enumerate(values)], "v double, k string")
+    ordered = sorted(v for v in values if v is not None)
+    probs = {f"p{i}": i / (len(ordered) - 1) for i in range(len(ordered))}
+    got = list(ranking.quantiles(df, "v", probs).first())
+    assert [g for g, v in zip(got, ordered, strict=True) if abs(v) < inf] == [v for v in ordered if abs(v) < inf]
+    assert [r.k for r in ranking.quantiles(df, "v", probs, ["k"]).collect()] == ["a"]
+
+
 @pytest.mark.parametrize("tiles", [3, 7, 10, 1000])
 def test_ntile(skewed, tiles):
     df, pdf = skewed

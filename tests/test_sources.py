@@ -182,3 +182,34 @@ def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path):
         assert tables.normalize_delimited(spark, str(tmp_path / "one.csv")).where("b = concat('two\n', 'lines ', a)").count() == 4000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chunk_ranges_in_any_order_equal_one_run(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 50, f"t{i}") for i in range(103)], "id int, text string").repartition(5)
+    chunks = incremental.number_chunks(rows, ["id", "text"], 10, str(tmp_path / "chunks"))
+    assert incremental.number_chunks(rows.limit(3), ["id"], 7, str(tmp_path / "chunks")).count() == 103  # reused as it is
+
+    def score(version):
+        def run(df):
+            return df.where("text <> 't7'").select("chunk", "text", F.lit(version).alias("version"))
+
+        return run
+
+    out = str(tmp_path / "out")
+    assert incremental.manifest(spark, out).count() == 0
+    for version, (first, last) in enumerate([(5, 11), (1, 6), (2, 3), (3, 3)]):
+        incremental.score_chunks(chunks, score(version), out, first, last)
+
+    def fails(df):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        incremental.score_chunks(chunks, fails, out, 1, 11)
+    got = incremental.read_chunks(spark, out).collect()
+    assert sorted(r.text for r in got) == sorted(f"t{i}" for i in range(103) if i != 7)
+    newest = {c: v for v, (a, b) in enumerate([(5, 11), (1, 6), (2, 3), (3, 3)]) for c in range(a, b + 1)}
+    assert all(r.version == newest[r.chunk] for r in got)
+    sizes = {r.chunk: r.rows for r in incremental.manifest(spark, out).collect()}
+    assert sorted(sizes) == list(range(1, 12)) and sum(sizes.values()) == 102
+    one = incremental.chunk_diagnostics(spark, out, "version", 2).first()
+    assert (one.n_chunks, one.last_chunk, one.n_rows, one.n_listed) == (11, 11, 102, 102)
