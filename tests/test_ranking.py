@@ -169,3 +169,13 @@ def test_summary_stats_match_pandas(skewed):
         want = [len(s), s.mean(), s.std(), *s.quantile([0.1, 0.25, 0.5, 0.75, 0.9]), s.min(), s.max()]
         have = got.loc[name, ["n", "mean", "sd", "p10", "p25", "median", "p75", "p90", "min", "max"]]
         assert np.allclose(have.to_numpy(float), want)
+
+
+def test_partitions_follow_the_tables_read_not_the_estimate_of_a_join(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).write.parquet(path)
+    rows = spark.read.parquet(path)
+    product = rows.join(rows.withColumnRenamed("id", "b"), F.col("id") == F.col("b")).join(rows.withColumnRenamed("id", "c"), F.col("id") == F.col("c"))
+    made = spark.createDataFrame([(1,)], "x int")
+    set_by = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [ranking._partitions(df) for df in (rows, product, made)] == [set_by] * 3
