@@ -84,3 +84,31 @@ def test_rd_series_and_indicator_pivot(spark):
     assert got["DEU"]["oecd_gerd_total_usd_ppp_const2015"] == 3.0 and got["DEU"]["oecd_gerd_business_usd_ppp_const2015"] == 2.0
     assert got["DEU"]["oecd_gerd_government_usd_ppp_const2015"] is None and got["FRA"]["oecd_msti_b_pct_gdp"] == 1.5
     assert sum(len(s) for s in countries.RD_SERIES.values()) == 17
+
+
+def test_one_citation_profile_equals_the_three_measures(spark):
+    import random
+
+    from panelwright.operators import edges
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.4 else f"p{rng.randrange(12)}", f"c{rng.randrange(30)}", rng.choice(["x", "y", None])) for _ in range(400)]
+    rows += [(None, "c1", "x"), ("p1", None, "x"), ("p1", "unknown", "y")] + rows[:20]
+    cited = spark.createDataFrame(rows, "p string, c string, cat string")
+    universe = spark.createDataFrame([(f"p{i}", 2000 + i % 4) for i in range(14)] + [("hot", 2001), ("late", None)], "p string, y int")
+    years = spark.createDataFrame([(f"c{i}", 1999 + i % 9) for i in range(28)], "c string, y int")
+    sizes = spark.createDataFrame([(f"c{i}", None if i % 5 == 0 else 100.0 * i) for i in range(30)], "c string, n double")
+    classes = spark.createDataFrame(
+        [(f"c{i % 25}", k) for i in range(60) for k in (f"A0{i % 3}B", f"A0{i % 3}B-{i % 7}", "abc", None)], "c string, s string"
+    )
+    spans, kinds = {"all5": 5, "all3": 3}, {"x3": ("x", 3), "y5": ("y", 5)}
+    got = edges.citation_profile(cited, universe, years, classes, sizes, "p", "c", "cat", "s", "n", "y", spans, kinds, span=4)
+    pairs = edges.distinct_edges(cited, "p", "c")
+    want = (
+        edges.forward_citations(cited, universe, years, "p", "c", "cat", "y", spans, kinds)
+        .join(edges.citation_breadth(pairs, universe, years, classes, "p", "c", "s", "y", span=4), "p")
+        .join(edges.small_firm_citations(pairs, universe, years, sizes, "p", "c", "y", "n", span=4), "p")
+    )
+    assert set(got.columns) == set(want.columns)
+    a, b = (sorted(map(tuple, df.select(*sorted(want.columns)).collect()), key=str) for df in (got, want))
+    assert a == b and len(a) == 16 and sum(r[sorted(want.columns).index("forward_citation_count_all")] for r in a) > 300
