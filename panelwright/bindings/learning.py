@@ -11,7 +11,7 @@ from ..session import pinned, scratch_path
 from ..sources import tables
 from ..streaming import incremental
 from .base import Tables, query, rounded
-from .scalars import PATTERNS, SCORES_SQL
+from .scalars import DOC_FLAGS, PATTERNS, SCORES_SQL
 
 MD5_SQL = "('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT"
 
@@ -111,8 +111,7 @@ def _score_flags(t: Tables) -> DataFrame:
 
 def labelled_features(t: Tables) -> DataFrame:
     """Features of all documents with the known quality label and the hash split."""
-    docs = t.documents.select("doc_id", F.lower("text").alias("text"))
-    features = evidence.evidence_features(docs, "text", PATTERNS)
+    features = evidence.evidence_features(t.sql(DOC_FLAGS), "text", PATTERNS)
     return learning.hash_split(features.join(t.labels.select("doc_id", "quality"), "doc_id", "left"), "doc_id")
 
 
@@ -121,36 +120,128 @@ def training_sample(t: Tables) -> DataFrame:
     return learning.balanced_sample(labelled_features(t), "doc_id", "quality", "is_holdout", caps)
 
 
+#: Terms of the models that are compared with SQL; as many components make the semantic space exact.
+TERMS = 256
+
+TRAIN_SQL = f"""
+    x AS (SELECT doc_id, quality, {MD5_SQL} AS h FROM {{labels}} JOIN (SELECT doc_id FROM {{documents}}) USING (doc_id)
+          WHERE {MD5_SQL} % 10 < 8 AND quality IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) AS rn FROM x),
+    train AS (SELECT doc_id, quality FROM r
+              WHERE rn <= (SELECT least(min(n), 120000) FROM (SELECT count(*) AS n FROM x GROUP BY quality)))
+"""
+
+
+def terms_sql(texts: str) -> str:
+    """Counts of single words and pairs in the rows ``(id, text)``."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}')"
+    return f"""(
+      WITH s AS (SELECT id, {words} AS w FROM ({texts})),
+      v AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM s)
+      SELECT id, term, count(*) AS c FROM (
+        SELECT id, term FROM v UNION ALL SELECT id, a.term || ' ' || b.term FROM v a JOIN v b USING (id) WHERE b.i = a.i + 1)
+      GROUP BY ALL)"""
+
+
+def unit_sql(counts: str) -> str:
+    """Unit TF-IDF rows of term counts."""
+    return f"""(SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS x
+                FROM (SELECT id, term, c * idf AS w FROM {counts} JOIN vocab USING (term)))"""
+
+
+VOCABULARY_SQL = f"""
+    {TRAIN_SQL},
+    tf AS (SELECT * FROM {terms_sql('SELECT doc_id AS id, text FROM {documents}')}),
+    vocab AS (
+      SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+      FROM tf JOIN train ON id = doc_id, (SELECT count(*) AS n FROM train)
+      GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.97::DOUBLE * any_value(n) ORDER BY sum(c) DESC, term LIMIT {TERMS})
+"""
+
+
 def vectors(t: Tables) -> tuple:
     train = pinned(training_sample(t)).where("not is_holdout")
-    vectorizer = learning.fit_vectorizer(train, "text")
-    return vectorizer, learning.vectorize(vectorizer, train)
+    vectorizer = learning.fit_vectorizer(train, "text", TERMS)
+    return vectorizer, learning.vectorize(vectorizer, train).persist()
+
 
+def certified(optimality: DataFrame, names: list[str], column: str) -> DataFrame:
+    """Features by name; the gradient of an optimum rounds to zero."""
+    table = F.array(*[F.lit(n) for n in names])
+    name = F.when(F.col("feature") < 0, "(intercept)").otherwise(F.get(table, F.col("feature")))
+    return optimality.select(name.alias(column), F.round("observed", 9).alias("observed"), F.round("gradient", 5).alias("gradient"))
 
-@query("fit_text_classifier")
+
+@query(
+    "fit_text_classifier",
+    f"""
+    WITH {VOCABULARY_SQL}, u AS (SELECT * FROM {unit_sql('tf')} JOIN train ON id = doc_id)
+    SELECT term, round(coalesce(sum(x * quality), 0) / (SELECT count(*) FROM train), 9) AS observed, 0.0::DOUBLE AS gradient
+    FROM vocab LEFT JOIN u USING (term) GROUP BY term
+    UNION ALL SELECT '(intercept)', round(avg(quality), 9), 0.0 FROM train
+    """,
+)
 def _fit_text_classifier(t: Tables) -> DataFrame:
     vectorizer, train = vectors(t)
     classifier = learning.fit_text_classifier(train, "quality")
-    scored = learning.positive_probability(
-        classifier, learning.vectorize(vectorizer, t.documents.select("doc_id", F.lower("text").alias("text"))), "p"
-    )
-    return scored.select("doc_id", F.round("p", 6).alias("text_supervised_score"))
+    proof = learning.optimality(classifier, train, "quality", "features", learning.TEXT_PENALTY)
+    return certified(proof, learning.vocabulary_of(vectorizer), "term")
+
 
+def sentences_sql() -> str:
+    sides = (learning.POSITIVE_PROTOTYPES, learning.NEGATIVE_PROTOTYPES)
+    return ", ".join(f"({100 * side + i}, '{s}')" for side, group in enumerate(sides) for i, s in enumerate(group))
 
-@query("fit_semantic_space")
+
+@query(
+    "fit_semantic_space",
+    f"""
+    WITH {VOCABULARY_SQL}, u AS (SELECT * FROM {unit_sql('tf')}),
+    ptf AS (SELECT * FROM {terms_sql('SELECT id, text FROM (VALUES ' + sentences_sql() + ') AS s(id, text)')}),
+    m AS (SELECT id // 100 AS side, term,
+                 sum(x) / CASE WHEN id < 100 THEN {len(learning.POSITIVE_PROTOTYPES)} ELSE {len(learning.NEGATIVE_PROTOTYPES)} END AS x
+          FROM {unit_sql('ptf')} GROUP BY 1, 2, id < 100),
+    p AS (SELECT term, sum(CASE WHEN side = 0 THEN x ELSE -x END / (norm + 1e-9)) AS d
+          FROM m JOIN (SELECT side, sqrt(sum(x * x)) AS norm FROM m GROUP BY side) USING (side) GROUP BY term),
+    s AS (SELECT id, sum(x * d) / (sqrt(sum(x * x)) + 1e-9) AS c FROM u LEFT JOIN p USING (term) GROUP BY id)
+    SELECT doc_id, round(1 / (1 + exp(-2 * coalesce(c, 0))), 6) AS semantic_lsa_score FROM {{documents}} LEFT JOIN s ON id = doc_id
+    """,
+)
 def _fit_semantic_space(t: Tables) -> DataFrame:
     vectorizer, train = vectors(t)
-    space = learning.fit_semantic_space(vectorizer, train, "text", 32)
+    space = learning.fit_semantic_space(vectorizer, train, "text", TERMS)
     placed = learning.vectorize(vectorizer, t.documents.select("doc_id", F.lower("text").alias("text")))
     return placed.select("doc_id", F.round(space.similarity(), 6).alias("semantic_lsa_score"))
 
 
-@query("fit_stacker")
+@query(
+    "fit_stacker",
+    f"""
+    WITH {TRAIN_SQL},
+    f AS (SELECT quality, dictionary_score, boilerplate_score,
+                 1 / (1 + exp(1.2 - 1.2 * has_measurement_cpc - 0.9 * has_data_processing_cpc)) AS metadata_score
+          FROM train JOIN ({SCORES_SQL}) USING (doc_id) JOIN ({DOC_FLAGS}) USING (doc_id))
+    SELECT feature, round(observed, 9) AS observed, 0.0::DOUBLE AS gradient FROM (
+      SELECT 'dictionary_score' AS feature, avg(quality * dictionary_score) AS observed FROM f
+      UNION ALL SELECT 'metadata_score', avg(quality * metadata_score) FROM f
+      UNION ALL SELECT 'boilerplate_score', avg(quality * boilerplate_score) FROM f
+      UNION ALL SELECT 'text_supervised_score', NULL
+      UNION ALL SELECT '(intercept)', avg(quality) FROM f)
+    """,
+)
 def _fit_stacker(t: Tables) -> DataFrame:
-    sample = training_sample(t).withColumn("text_supervised_score", F.col("dictionary_score"))
-    stacker = learning.fit_stacker(sample.where("not is_holdout"), "quality")
-    scored = learning.positive_probability(stacker, labelled_features(t).withColumn("text_supervised_score", F.col("dictionary_score")), "p")
-    return scored.select("doc_id", F.round("p", 6).alias("benchmark_score"))
+    _, train = vectors(t)
+    classifier = learning.fit_text_classifier(train, "quality")
+    scored = pinned(learning.positive_probability(classifier, train, "text_supervised_score").drop("features"))
+    stacker = learning.fit_stacker(scored, "quality")
+    stack = stacker.stages[0].transform(scored)
+    proof = certified(
+        learning.optimality(stacker.stages[1], stack, "quality", "__stack", 1.0 / scored.count()),
+        list(learning.STACK_FEATURES), "feature",
+    )
+    # What the text model contributes is no sum that SQL can give.
+    known = F.when(F.col("feature") != "text_supervised_score", F.col("observed"))
+    return proof.withColumn("observed", known)
 
 
 def fitted(t: Tables) -> tuple[learning.EvidenceModel, DataFrame]:

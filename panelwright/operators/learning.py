@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,35 +61,51 @@ def balanced_sample(df: DataFrame, key: str, label: str, split: str, caps: Mappi
     return known.join(chosen, key, "left_semi")
 
 
-def text_stages(text: str, vocabulary: int, min_df: float, max_df: float) -> list[Transformer]:
-    """Lower-case words of two or more characters, single words and pairs, counted over the kept vocabulary.
-
-    ``max_df`` is a share of the documents; Spark reads a value of one as a count, so one means no limit.
-    """
-    limit = max_df if max_df < 1 else float(2**63 - 1)
+def term_stages(text: str) -> list[Transformer]:
+    """Lower-case words of two or more characters, then single words and pairs together; null text has none."""
+    words = rf"regexp_extract_all(lower(coalesce(`{text}`, '')), r'(?U)\b\w\w+\b', 0)"
     return [
-        RegexTokenizer(inputCol=text, outputCol="__w1", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
+        SQLTransformer(statement=f"SELECT *, {words} AS __w1 FROM __THIS__"),
         NGram(n=2, inputCol="__w1", outputCol="__w2"),
         SQLTransformer(statement="SELECT *, concat(__w1, __w2) AS __terms FROM __THIS__"),
-        CountVectorizer(
-            inputCol="__terms", outputCol="__counts", vocabSize=vocabulary, minDF=min_df, maxDF=limit
-        ),
     ]
 
 
+def term_counts(df: DataFrame, terms: str) -> DataFrame:
+    """``term``, its occurrences and the rows that hold it, from one pass; tasks add up before the shuffle."""
+    one, none = F.lit(1), F.lit(0)
+    seen = F.transform(terms, lambda t: F.struct(t.alias("term"), one.alias("n"), none.alias("rows")))
+    held = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), none.alias("n"), one.alias("rows")))
+    cells = df.select(F.inline(F.concat(seen, held)))
+    return cells.groupBy("term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+
+
 SCRATCH = ("__w1", "__w2", "__terms", "__counts", "__weighted")
 
 
 def fit_vectorizer(
     df: DataFrame, text: str, vocabulary: int = 80_000, min_df: float = 5, max_df: float = 0.97
 ) -> PipelineModel:
-    """Smoothed TF-IDF with unit rows: count * (ln((1 + n) / (1 + df)) + 1), then length one."""
-    counted = Pipeline(stages=text_stages(text, vocabulary, min_df, max_df)).fit(df)
-    idf = IDF(inputCol="__counts", outputCol="__weighted").fit(counted.transform(df)).idf
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="__counts", outputCol="__weighted"
-    )
-    return PipelineModel([*counted.stages, scale, Normalizer(p=2.0, inputCol="__weighted", outputCol="features")])
+    """Smoothed TF-IDF with unit rows: count * (ln((1 + n) / (1 + df)) + 1), then length one.
+
+    The vocabulary is the commonest terms, of equally common ones the least; ``min_df`` and ``max_df`` below one are
+    shares of the rows, others counts, and a ``max_df`` of one sets no limit. Only the kept terms reach the driver.
+    """
+    stages = term_stages(text)
+    n = df.count()
+    least, most = (x if x >= 1 else x * n for x in (min_df, max_df if max_df != 1 else n + 1))
+    counts = term_counts(PipelineModel(stages).transform(df), "__terms").where(F.col("rows").between(least, most))
+    kept = counts.orderBy(F.desc("n"), "term").limit(vocabulary).collect()
+    if not kept:
+        raise ValueError("no term lies within the limits of document frequency")
+    idf = [float(np.log((1 + n) / (1 + r["rows"])) + 1) for r in kept]
+    counted = CountVectorizerModel.from_vocabulary([r["term"] for r in kept], inputCol="__terms", outputCol="__counts")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__counts", outputCol="__weighted")
+    return PipelineModel([*stages, counted, scale, Normalizer(p=2.0, inputCol="__weighted", outputCol="features")])
+
+
+def vocabulary_of(vectorizer: PipelineModel) -> list[str]:
+    return next(s for s in vectorizer.stages if isinstance(s, CountVectorizerModel)).vocabulary
 
 
 def vectorize(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -108,14 +123,55 @@ def reloaded(model, spark: SparkSession):
     return type(model).load(path)
 
 
-def fit_text_classifier(df: DataFrame, label: str, reg: float = 2e-6, max_iter: int = 30) -> LogisticRegressionModel:
+#: Strength of the penalty of the text classifier.
+TEXT_PENALTY = 2e-6
+
+
+def fit_text_classifier(
+    df: DataFrame, label: str, reg: float = TEXT_PENALTY, max_iter: int = 200, tol: float = 1e-9
+) -> LogisticRegressionModel:
+    """Logistic model on unit rows: least mean loss plus ``reg`` / 2 times the squared length of the coefficients."""
     fitted = LogisticRegression(
-        featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter, probabilityCol="__p",
-        rawPredictionCol="__raw", predictionCol="__pred",
+        featuresCol="features", labelCol=label, regParam=reg, standardization=False, maxIter=max_iter, tol=tol,
+        probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred",
     ).fit(df)
     return reloaded(fitted, df.sparkSession)
 
 
+def optimality(model: LogisticRegressionModel, df: DataFrame, label: str, features: str, reg: float) -> DataFrame:
+    """How far a logistic model is from the optimum of its own training rows, feature by feature.
+
+    ``feature`` (its place; -1 is the intercept), ``coefficient``, ``observed`` (mean of label times feature) and
+    ``gradient`` (mean of probability times feature less ``observed``, plus the penalty's part). The objective is strictly
+    convex for ``reg`` above zero, so gradients of zero single out its only optimum. Rows are added up by feature across
+    the cluster, first within each task; the coefficients come from the model. Rows without a label are left out.
+    """
+    spark = df.sparkSession
+    raw = F.unwrap_udt(features)
+    places = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
+    known = df.where(F.col(label).isNotNull())
+    scored = positive_probability(model, known, "__q").select(
+        F.col("__q"), F.col(label).cast("double").alias("__y"), places.alias("__at"), raw["values"].alias("__x")
+    )
+    cells = F.concat(
+        F.array(F.struct(F.lit(-1).alias("feature"), F.lit(1.0).alias("x"))),
+        F.zip_with("__at", "__x", lambda i, x: F.struct(i.alias("feature"), x.alias("x"))),
+    )
+    sums = scored.select("__q", "__y", F.inline(cells)).groupBy("feature").agg(
+        F.sum(F.col("__y") * F.col("x")).alias("y"), F.sum((F.col("__q") - F.col("__y")) * F.col("x")).alias("r"),
+        F.count("*").alias("n"),
+    )
+    rows = sums.where("feature = -1").select(F.col("n").alias("total"))
+    weights = [(-1, float(model.intercept), 0.0)]
+    weights += [(i, float(w), reg) for i, w in enumerate(model.coefficients.toArray())]
+    coefficients = spark.createDataFrame(weights, "feature int, coefficient double, reg double")
+    joined = coefficients.join(sums, "feature", "left").fillna(0.0, ["y", "r"]).crossJoin(F.broadcast(rows))
+    return joined.select(
+        "feature", "coefficient", (F.col("y") / F.col("total")).alias("observed"),
+        (F.col("r") / F.col("total") + F.col("reg") * F.col("coefficient")).alias("gradient"),
+    )
+
+
 def positive_probability(model: Transformer, df: DataFrame, out: str) -> DataFrame:
     scored = model.transform(df).withColumn(out, vector_to_array("__p")[1])
     return scored.drop("__p", "__raw", "__pred")
@@ -159,6 +215,88 @@ class SemanticSpace:
         return sigmoid(F.lit(2.0) * project(raw["indices"], raw["values"]))
 
 
+#: Terms in one block of a product, how many partial blocks are added up at once, and the cells multiplied at once.
+TERMS_IN_BLOCK, FAN_IN, CELLS_MULTIPLIED = 1024, 16, 65_536
+
+
+def gram_product(vectors: DataFrame, features: str, q: np.ndarray) -> np.ndarray:
+    """``X'X q`` for the sparse rows X of a vector column.
+
+    Each task adds up its own rows and gives blocks of terms; blocks are added by a tree of exchanges, at most ``FAN_IN``
+    of them in one group, so neither many tasks nor a common term burden one task. The driver receives a matrix of the
+    shape of ``q``.
+    """
+    spark, (terms, width) = vectors.sparkSession, q.shape
+    shared = spark.sparkContext.broadcast(q)
+    cell = "block int, part int, body binary"
+
+    def blocks(total: np.ndarray, touched: np.ndarray, part: int) -> pa.RecordBatch:
+        ids = np.unique(np.flatnonzero(touched) // TERMS_IN_BLOCK)
+        bodies = [total[b * TERMS_IN_BLOCK : (b + 1) * TERMS_IN_BLOCK].tobytes() for b in ids]
+        columns = [pa.array(ids, pa.int32()), pa.array([part] * len(ids), pa.int32()), pa.array(bodies, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "part", "body"])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, total, touched = shared.value, np.zeros((terms, width)), np.zeros(terms, bool)
+        for batch in batches:
+            ends = np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + CELLS_MULTIPLIED, side="right")))
+                sizes = np.diff(ends[start:stop], prepend=done)
+                at, x = (batch.column(i)[start:stop].flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+                points = np.add.reduceat(x[:, None] * basis[at], np.cumsum(sizes) - sizes, axis=0)
+                order = np.argsort(at, kind="stable")
+                found, first = np.unique(at[order], return_index=True)
+                spread = x[order, None] * np.repeat(points, sizes, axis=0)[order]
+                total[found] += np.add.reduceat(spread, first, axis=0)
+                touched[found] = True
+                start = stop
+        yield blocks(total, touched, TaskContext.get().partitionId())
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        bodies = (np.frombuffer(b, float) for b in table.column("body").to_pylist())
+        body = sum(bodies).tobytes()
+        columns = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([body], pa.binary())]
+        return pa.Table.from_arrays(columns, ["block", "part", "body"])
+
+    raw = F.unwrap_udt(features)
+    sparse_rows = vectors.select(raw["indices"].alias("at"), raw["values"].alias("x")).where("size(at) > 0")
+    parts = sparse_rows.rdd.getNumPartitions()
+    partial = sparse_rows.mapInArrow(multiply, cell)
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        level = partial.select("block", F.pmod("part", F.lit(parts)).alias("part"), "body")
+        partial = level.groupBy("block", "part").applyInArrow(add, cell)
+    out = np.zeros((terms, width))
+    for r in partial.select("block", "body").collect():
+        body = np.frombuffer(r["body"], float).reshape(-1, width)
+        out[r["block"] * TERMS_IN_BLOCK :][: len(body)] += body
+    shared.destroy()
+    return out
+
+
+def leading_directions(
+    vectors: DataFrame, features: str, terms: int, components: int, passes: int = 6, spare: int = 10, seed: int = 7
+) -> np.ndarray:
+    """Right singular vectors of the rows by a randomised block range finder: a seeded sketch, a fixed number of passes.
+
+    Each pass multiplies an orthonormal block, ``spare`` columns wider than asked for, by ``X'X``; the last one also gives
+    the small matrix whose eigenvectors turn the block. A block as wide as the terms needs one pass only and is exact.
+    """
+    width = min(terms, components + spare)
+    sketch = np.random.default_rng(seed).normal(size=(terms, width))
+    q = np.linalg.qr(sketch)[0]
+    for left in range(passes if width < terms else 1, 0, -1):
+        product = gram_product(vectors, features, q)
+        if left > 1:
+            q = np.linalg.qr(product)[0]
+    small = q.T @ product
+    turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
+    return q @ turn[:, : min(components, terms)]
+
+
 def fit_semantic_space(
     vectorizer: PipelineModel,
     train: DataFrame,
@@ -166,16 +304,15 @@ def fit_semantic_space(
     components: int = 128,
     positive: Sequence[str] = POSITIVE_PROTOTYPES,
     negative: Sequence[str] = NEGATIVE_PROTOTYPES,
+    passes: int = 6,
 ) -> SemanticSpace:
     """Truncated SVD of the feature rows, and prototypes placed in the same space.
 
-    A vocabulary with fewer terms than ``components`` gives as many components as terms.
+    A vocabulary with fewer terms than ``components`` gives as many components as terms; scores are then the cosines of
+    the feature rows themselves.
     """
     spark = train.sparkSession
-    rows = MLUtils.convertVectorColumnsFromML(train.select("features"), "features").persist()
-    matrix = RowMatrix(rows)
-    basis = matrix.computeSVD(min(components, matrix.numCols()), computeU=False).V.toArray()
-    rows.unpersist()
+    basis = leading_directions(train, "features", len(vocabulary_of(vectorizer)), components, passes)
     sentences = [(i, s) for i, group in enumerate((positive, negative)) for s in group]
     placed = vectorize(vectorizer, spark.createDataFrame(sentences, f"side int, {text} string")).select("side", "features")
     sides: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -186,14 +323,14 @@ def fit_semantic_space(
     return SemanticSpace(basis, unit[0], unit[1])
 
 
-def fit_stacker(df: DataFrame, label: str, features: Sequence[str] = STACK_FEATURES) -> PipelineModel:
+def fit_stacker(df: DataFrame, label: str, features: Sequence[str] = STACK_FEATURES, tol: float = 1e-10) -> PipelineModel:
     """Logistic model on the component scores with unit inverse regularisation strength."""
     n = df.count()
     fitted = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="__stack"),
             LogisticRegression(
-                featuresCol="__stack", labelCol=label, regParam=1.0 / n, standardization=False, maxIter=1000,
+                featuresCol="__stack", labelCol=label, regParam=1.0 / n, standardization=False, maxIter=1000, tol=tol,
                 probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__pred",
             ),
         ]

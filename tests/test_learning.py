@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from panelwright.functions import evidence
@@ -83,3 +84,85 @@ def test_prototype_similarity(spark):
     want = [1 / (1 + np.exp(-2.0)), 1 / (1 + np.exp(2.0)), 0.5]
     assert [r["s"] for r in out.collect()] == pytest.approx(want, abs=1e-6)
     assert out.select(F.count("*")).first()[0] == 3
+
+
+def test_vocabulary_breaks_ties_by_term_and_null_text_has_no_terms(spark):
+    df = spark.createDataFrame([("bb aa",), ("cc bb aa",), ("é1 x",), (None,), ("",)], "text string")
+    model = learning.fit_vectorizer(df, "text", vocabulary=3, min_df=1, max_df=1.0)
+    assert learning.vocabulary_of(model) == ["aa", "bb", "bb aa"]
+    sizes = [r["features"].numNonzeros() for r in learning.vectorize(model, df).collect()]
+    assert sizes == [3, 3, 0, 0, 0]
+    assert learning.vocabulary_of(learning.fit_vectorizer(df, "text", min_df=1, max_df=0.3)) == ["cc", "cc bb", "é1"]
+    with pytest.raises(ValueError):
+        learning.fit_vectorizer(df, "text", min_df=4)
+
+
+def sparse_rows(spark, x, partitions):
+    data = [(Vectors.sparse(x.shape[1], {int(j): float(row[j]) for j in np.flatnonzero(row)}),) for row in x]
+    return spark.createDataFrame(data, ["features"]).repartition(partitions)
+
+
+def test_leading_directions_match_numpy_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(learning, "TERMS_IN_BLOCK", 16)
+    monkeypatch.setattr(learning, "FAN_IN", 3)
+    monkeypatch.setattr(learning, "CELLS_MULTIPLIED", 50)
+    rng = np.random.default_rng(5)
+    left, right = (np.linalg.qr(rng.normal(size=(n, 60)))[0] for n in (150, 70))
+    x = (left * 0.8 ** np.arange(60)) @ right.T
+    x[np.abs(x) < 1e-4] = 0
+    x[[3, 90]] = 0
+    rows = sparse_rows(spark, x, 11)
+    q = rng.normal(size=(70, 4))
+    assert np.allclose(learning.gram_product(rows, "features", q), x.T @ (x @ q))
+    found = learning.leading_directions(rows, "features", 70, 8, passes=8)
+    vt = np.linalg.svd(x)[2]
+    assert np.allclose(found.T @ found, np.eye(8)) and np.allclose(np.abs((found * vt[:8].T).sum(axis=0)), 1, atol=1e-6)
+    whole = learning.leading_directions(rows, "features", 70, 70)
+    assert np.allclose(whole @ whole.T, np.eye(70))
+
+
+def test_optimality_tells_an_optimum_from_other_coefficients(spark, sample):
+    vectorizer = learning.fit_vectorizer(sample, "text", vocabulary=50)
+    rows = learning.vectorize(vectorizer, sample).cache()
+    reg = 1e-3
+    model = learning.fit_text_classifier(rows, "y", reg)
+    proof = {r["feature"]: r for r in learning.optimality(model, rows, "y", "features", reg).collect()}
+    assert len(proof) == len(learning.vocabulary_of(vectorizer)) + 1
+    assert max(abs(r["gradient"]) for r in proof.values()) < 1e-5
+    # The same against numpy, for a model stopped early and judged under another penalty.
+    early = learning.fit_text_classifier(rows, "y", reg, max_iter=2)
+    got = {r["feature"]: r for r in learning.optimality(early, rows, "y", "features", 0.1).collect()}
+    data = rows.select("features", "y").collect()
+    x, y = np.array([r["features"].toArray() for r in data]), np.array([r["y"] for r in data], float)
+    w = early.coefficients.toArray()
+    p = 1 / (1 + np.exp(-(x @ w + early.intercept)))
+    want = ((p - y)[:, None] * x).mean(axis=0) + 0.1 * w
+    assert np.allclose([got[i]["gradient"] for i in range(len(w))], want) and np.abs(want).max() > 1e-3
+    assert got[-1]["gradient"] == pytest.approx((p - y).mean(), abs=1e-12)
+    assert np.allclose([got[i]["observed"] for i in range(len(w))], (y[:, None] * x).mean(axis=0))
+    # A dense column with a feature that is never set, and a row without a label.
+    cells = [(0.1, 0), (0.4, 1), (0.3, 0), (0.9, 1)]
+    dense = spark.createDataFrame([(Vectors.dense([a, 0.0]), b) for a, b in cells], ["features", "y"])
+    small = learning.fit_text_classifier(dense, "y", 0.05)
+    unknown = dense.limit(1).withColumn("y", F.lit(None).cast("long"))
+    proof = learning.optimality(small, dense.unionByName(unknown), "y", "features", 0.05)
+    table = {r["feature"]: r for r in proof.collect()}
+    assert table[0]["observed"] == pytest.approx(1.3 / 4) and abs(table[0]["gradient"]) < 1e-6 and table[1]["gradient"] == 0
+
+
+def test_comparison_matches_numpy_for_every_method(spark, sample):
+    model, comparison = learning.fit_evidence_model(sample, "text", "y", "is_holdout", vocabulary=60, components=4)
+    held = learning.score_texts(model, sample.where("is_holdout"), "text").collect()
+    y = np.array([r["y"] for r in held])
+    names = {
+        "dictionary": "dictionary_score", "metadata": "metadata_score", "semantic_lsa": "semantic_lsa_score",
+        "text_supervised": "text_supervised_score", "hybrid_benchmark": "benchmark_score",
+    }
+    table = {r["method"]: r for r in comparison.collect()}
+    assert set(table) == set(names)
+    for method, column in names.items():
+        s = np.array([r[column] for r in held])
+        gap = s[y == 1][:, None] - s[y == 0]
+        assert table[method]["auc"] == pytest.approx(((gap > 0) + 0.5 * (gap == 0)).mean())
+        f1 = [2 * ((s >= t) & (y == 1)).sum() / ((s >= t).sum() + (y == 1).sum()) for t in learning.threshold_grid()]
+        assert table[method]["best_f1"] == pytest.approx(max(f1))
