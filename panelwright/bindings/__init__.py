@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "scalars", "joining", "aggregating", "describing", "learning", "panels")
+MODULES = ("sources", "scalars", "joining", "aggregating", "describing", "learning", "panels", "scoring")
 
 
 def load_all():

@@ -183,7 +183,7 @@ def certified(optimality: DataFrame, names: list[str], column: str) -> DataFrame
 )
 def _fit_text_classifier(t: Tables) -> DataFrame:
     vectorizer, train = vectors(t)
-    classifier = learning.fit_text_classifier(train, "quality")
+    classifier = learning.fit_text_classifier(train, "quality", max_iter=500, tol=1e-10)
     proof = learning.optimality(classifier, train, "quality", "features", learning.TEXT_PENALTY)
     return certified(proof, learning.vocabulary_of(vectorizer), "term")
 
@@ -257,13 +257,7 @@ def _method_comparison(t: Tables) -> DataFrame:
 def _score_patents(t: Tables) -> DataFrame:
     model, _ = fitted(t)
     scored = learning.score_texts(model, labelled_features(t), "text")
-    return rounded(
-        scored.select(
-            "doc_id", "dictionary_score", "metadata_score", "boilerplate_score", "semantic_lsa_score", "text_supervised_score",
-            "benchmark_score", "benchmark_flag", "benchmark_confidence",
-        ),
-        6,
-    )
+    return rounded(scored.drop("text"), 6)
 
 
 @query("save_load_model", "SELECT count(*) AS n, count(*) AS n_equal FROM documents")

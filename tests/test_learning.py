@@ -125,7 +125,7 @@ def test_optimality_tells_an_optimum_from_other_coefficients(spark, sample):
     vectorizer = learning.fit_vectorizer(sample, "text", vocabulary=50)
     rows = learning.vectorize(vectorizer, sample).cache()
     reg = 1e-3
-    model = learning.fit_text_classifier(rows, "y", reg)
+    model = learning.fit_text_classifier(rows, "y", reg, max_iter=300, tol=1e-10)
     proof = {r["feature"]: r for r in learning.optimality(model, rows, "y", "features", reg).collect()}
     assert len(proof) == len(learning.vocabulary_of(vectorizer)) + 1
     assert max(abs(r["gradient"]) for r in proof.values()) < 1e-5
@@ -143,7 +143,7 @@ def test_optimality_tells_an_optimum_from_other_coefficients(spark, sample):
     # A dense column with a feature that is never set, and a row without a label.
     cells = [(0.1, 0), (0.4, 1), (0.3, 0), (0.9, 1)]
     dense = spark.createDataFrame([(Vectors.dense([a, 0.0]), b) for a, b in cells], ["features", "y"])
-    small = learning.fit_text_classifier(dense, "y", 0.05)
+    small = learning.fit_text_classifier(dense, "y", 0.05, max_iter=300, tol=1e-12)
     unknown = dense.limit(1).withColumn("y", F.lit(None).cast("long"))
     proof = learning.optimality(small, dense.unionByName(unknown), "y", "features", 0.05)
     table = {r["feature"]: r for r in proof.collect()}
