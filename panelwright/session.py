@@ -6,6 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +51,47 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+@dataclass
+class Intermediates:
+    """The intermediate tables of one result; ``release`` deletes them once the result is written."""
+
+    spark: SparkSession
+    paths: list[str] = field(default_factory=list)
+
+    def release(self) -> int:
+        """Delete the tables; returns how many there were."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        done = len(self.paths)
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+        return done
+
+
 _SCRATCH: list[str] = []
+_OPEN: ContextVar[tuple[Intermediates, ...]] = ContextVar("open_intermediates", default=())
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[Intermediates]:
+    """Collect the tables that results composed inside the block write, apart from those of other results.
+
+    They stay after the block, since a frame made in it may not have been read yet: call ``release`` of the handle then.
+    Blocks may be nested; a table belongs to the innermost one.
+    """
+    handle = Intermediates(spark)
+    token = _OPEN.set((*_OPEN.get(), handle))
+    try:
+        yield handle
+    finally:
+        _OPEN.reset(token)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared root for one intermediate table, remembered for ``release``."""
+    """A fresh path below the shared root for one intermediate table, remembered for its release."""
     path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    handles = _OPEN.get()
+    (handles[-1].paths if handles else _SCRATCH).append(path)
     return path
 
 
@@ -65,10 +103,8 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables of earlier results once those are written; returns how many there were."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    done = len(_SCRATCH)
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return done
+    """Delete the intermediate tables of all results composed outside ``intermediates``; returns how many there were.
+
+    Frames not yet read lose their tables too; use ``intermediates`` where several results are under way.
+    """
+    return Intermediates(spark, _SCRATCH).release()

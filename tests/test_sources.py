@@ -213,3 +213,20 @@ def test_chunk_ranges_in_any_order_equal_one_run(spark, tmp_path):
     assert sorted(sizes) == list(range(1, 12)) and sum(sizes.values()) == 102
     one = incremental.chunk_diagnostics(spark, out, "version", 2).first()
     assert (one.n_chunks, one.last_chunk, one.n_rows, one.n_listed) == (11, 11, 102, 102)
+
+
+def test_intermediates_are_released_result_by_result(spark):
+    from panelwright import session
+
+    df = spark.range(5)
+    with session.intermediates(spark) as first:
+        a = session.pinned(df)
+        with session.intermediates(spark) as inner:
+            b = session.pinned(df)
+    c = session.pinned(df)
+    assert len(first.paths) == len(inner.paths) == 1
+    kept = list(first.paths)
+    assert inner.release() == 1 and not inner.paths and a.count() == c.count() == 5
+    with pytest.raises(Exception):
+        b.count()
+    assert first.release() == 1 and first.release() == 0 and c.count() == 5 and kept
