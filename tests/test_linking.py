@@ -167,3 +167,10 @@ def test_ticker_leaders_equal_scoring_all(spark, k):
     for r in linking.ticker_leaders(prepared, registry, k, seeds=1).collect():
         got.setdefault((r.firm_name_norm, r.ticker_hint), set()).add(r.cik)
     assert got == best
+
+
+def test_series_map_becomes_names(spark):
+    table = spark.createDataFrame([("a.1", "first"), ("b", "second")], "series_id string, metric_name string")
+    assert linking.series_names(table) == {"a.1": "first", "b": "second"}
+    with pytest.raises(ValueError):
+        linking.series_names(table.drop("metric_name"))
