@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, compact_name, normalize_name, pad_id, sorted_tokens, trim_all
+from ..session import partitions_for as _partitions
 from ..session import pinned
 from .ranking import keep_best, top_k_per_key
 
@@ -29,6 +30,8 @@ TOKEN_SORT_WEIGHT = 0.95
 REGISTRY_COLUMNS = ("cik", "ticker", "sec_name", "exchange")
 # A gram or segment held by more names than this is spread over several join keys, unless a caller says otherwise.
 NAMES_PER_TASK = 5_000
+# Pairs of a profile and a registry row under one ticker that are scored together, and the most tasks that share them.
+PAIRS_PER_TASK, MOST_TASKS = 200_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -283,12 +286,29 @@ def _ticker_score(similar: Column) -> Column:
 
 
 def _ticker_matches(firms: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry rows under a firm's ticker hint, scored by name. The rows are made by the last join and sent nowhere."""
-    listed = registry.withColumn("__rs", sorted_tokens("sec_name_norm"))
+    """Registry rows under a firm's ticker hint, scored by name. The rows are made by the last join and sent nowhere.
+
+    A ticker is cut into parts of about ``PAIRS_PER_TASK`` pairs: each part has some of its registry rows and all of its
+    profiles, so that the scoring is spread even where a ticker is held by most rows.
+    """
+    hinted = _hinted(firms)
+    held = registry.where(F.col("ticker") != "").groupBy("ticker").agg(F.count("*").alias("__rows"))
+    asked = hinted.groupBy(F.col("ticker_hint").alias("ticker")).agg(F.count("*").alias("__profiles"))
+    pairs = F.col("__rows") * F.col("__profiles")
+    parts = F.least(F.col("__rows"), F.floor(pairs / F.lit(PAIRS_PER_TASK)) + 1)
+    layout = pinned(held.join(asked, "ticker").select("ticker", parts.alias("__parts")))
+    tasks = min(max(_partitions(layout), layout.agg(F.sum("__parts")).first()[0] or 0), MOST_TASKS)
+    listed = registry.withColumn("__rs", sorted_tokens("sec_name_norm")).join(layout, "ticker")
+    listed = listed.withColumn("__part", F.pmod(F.xxhash64(*registry.columns), F.col("__parts")))
+    # Both sides are dealt by number: whichever is broadcast in the end, the other keeps its tasks.
+    listed = listed.repartition(tasks, "ticker", "__part")
+    spread = hinted.join(layout.withColumnRenamed("ticker", "ticker_hint"), "ticker_hint")
+    spread = spread.withColumn("__at", F.explode(F.expr("sequence(0L, __parts - 1)"))).repartition(tasks, "ticker_hint", "__at")
     plain = similarity(F.col("firm_name_norm"), F.col("sec_name_norm"))
     swapped = F.lit(TOKEN_SORT_WEIGHT) * similarity(F.col("__fs"), F.col("__rs"))
     similar = F.when(F.col("firm_name_norm") != "", F.greatest(plain, swapped))
-    return _hinted(firms).join(listed, F.col("ticker_hint") == F.col("ticker")).select(
+    here = (F.col("ticker_hint") == F.col("ticker")) & (F.col("__at") == F.col("__part"))
+    return spread.drop("__parts").join(listed.drop("__parts"), here).select(
         "firm_name_norm", "ticker_hint", *REGISTRY_COLUMNS, "sec_name_norm", _ticker_score(similar).alias("score")
     )
 

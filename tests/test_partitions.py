@@ -47,3 +47,17 @@ def test_owner_productivity_is_the_same_in_many_partitions(spark, links, rows, m
     many = made()
     assert tasks_of(many) > int(spark.conf.get(SETTINGS[0]))
     assert rows(many) == few
+
+
+def test_a_ticker_is_scored_by_several_tasks(spark, rows, monkeypatch):
+    from panelwright.operators import linking
+
+    registry = linking.prepare_registry(
+        spark.createDataFrame([(str(i), "aa", f"name {i} corp", "X") for i in range(200)], "cik string, ticker string, sec_name string, exchange string")
+    )
+    firms = spark.createDataFrame([(f"name {i}", "AA") for i in range(10)] + [("other", "")], "firm_name_norm string, ticker_hint string")
+    whole = rows(linking._ticker_matches(firms, registry))
+    monkeypatch.setattr(linking, "PAIRS_PER_TASK", 50)
+    cut = linking._ticker_matches(firms, registry)
+    assert cut.select(F.spark_partition_id()).distinct().count() > 10
+    assert len(whole) == 2000 and rows(cut) == whole
