@@ -13,6 +13,7 @@ from ..functions.text import strip_quotes_upper
 from ..operators.aggregates import SECTIONS, class_profile, coverage_report, patent_universe
 from ..operators.joins import lookup_country, semi_join_universe, star_left_join
 from ..operators.ranking import first_by_sequence, mode_by_key
+from ..session import partitions_for, pinned
 from ..sources.tables import clean_cells
 
 KEY = "patent_id"
@@ -66,7 +67,8 @@ def cleaned(x: BackboneInputs) -> BackboneInputs:
 
 def build_backbone(x: BackboneInputs) -> DataFrame:
     x = cleaned(x)
-    universe = universe_of(x.static)
+    # Six semi-joins and the panel itself read the universe: it is written once.
+    universe = pinned(universe_of(x.static))
     date = F.to_date(F.try_to_timestamp("patent_date"))
     core = semi_join_universe(x.core, universe, KEY).select(
         KEY,
@@ -89,7 +91,9 @@ def build_backbone(x: BackboneInputs) -> DataFrame:
         *party_countries(x.inventors, universe, x.locations, "inventor_sequence", "inventor"),
         profile,
     ]
-    return star_left_join(universe, parts, KEY)
+    # A part by itself needs few sort buffers; its partitions follow the tables it is made from.
+    parts = [pinned(p) for p in parts]
+    return star_left_join(universe.repartition(partitions_for(universe, *parts), KEY), parts, KEY)
 
 
 def backbone_coverage(backbone: DataFrame) -> DataFrame:

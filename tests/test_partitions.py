@@ -61,3 +61,27 @@ def test_a_ticker_is_scored_by_several_tasks(spark, rows, monkeypatch):
     cut = linking._ticker_matches(firms, registry)
     assert cut.select(F.spark_partition_id()).distinct().count() > 10
     assert len(whole) == 2000 and rows(cut) == whole
+
+
+def test_backbone_joins_intermediates_only(spark):
+    from panelwright.plans import backbone
+
+    def table(columns, *values):
+        return spark.createDataFrame(list(values), ", ".join(f"{c} string" for c in columns.split()))
+
+    out = backbone.build_backbone(
+        backbone.BackboneInputs(
+            static=table("patent_id appYear grantYear", ("a", "2000", "2002"), ("b", "2001", None), ("a", "1999", "2002")),
+            core=table("patent_id patent_type patent_date patent_title num_claims", ("A", "utility", "2001-02-03", "t", "3")),
+            abstracts=table("patent_id patent_abstract", ("a", "text"), ("c", "none")),
+            assignees=table("patent_id assignee_sequence location_id", ("a", "1", "L1"), ("a", "2", "L2"), ("a", "3", "l2")),
+            inventors=table("patent_id inventor_sequence location_id", ("b", "1", "L2")),
+            locations=table("location_id disambig_country", ("l1", "de"), ("l2", "us")),
+            classes=table("patent_id cpc_section cpc_subclass cpc_group", ("b", "G", "G06N", "G06N7/00")),
+        )
+    )
+    assert out.inputFiles() and all("/pinned-" in f for f in out.inputFiles())
+    found = {r["patent_id"]: r for r in out.collect()}
+    assert set(found) == {"A", "B"}
+    assert (found["A"]["app_year"], found["A"]["assignee_country_mode"], found["A"]["assignee_country_primary"]) == (1999, "US", "DE")
+    assert (found["B"]["inventor_country_mode"], found["B"]["cpc_total_count"], found["B"]["patent_title"]) == ("US", 1, None)
