@@ -21,9 +21,9 @@ from .words import WordCache, once, per_text, texts_of
 #: A word always ends before a space that a visible character follows, whatever the pattern makes of the rest.
 CUT = re.compile(r" (?=\S)")
 #: Words of one recursion, and the bytes beyond which all equal pairs of a word are contracted in one step.
-WORDS_PER_QUERY = 20_000
+WORDS_PER_QUERY = 40_000
 #: Words and pieces kept from slice to slice, and bytes of text in a slice: they share a worker's memory.
-CACHED_WORDS, CACHED_PIECES, SLICE_BYTES = 700_000, 250_000, 2 << 20
+CACHED_WORDS, CACHED_PIECES, SLICE_BYTES = 700_000, 400_000, 6 << 20
 LONG_WORD = 64
 
 ONE_PAIR = """
