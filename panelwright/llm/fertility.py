@@ -21,7 +21,7 @@ from .trees import labelled_sample
 from .words import beside, once, per_text, texts_of
 
 SPACES, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Scripts by the lead bytes of their UTF-8 letters (first and last byte); an approximation that is cheap on bytes.
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)),

@@ -14,6 +14,8 @@ from ..session import scratch_path
 
 #: Entries a worker's cache holds before it starts anew; it bounds memory and changes no result.
 CACHE_ENTRIES = 400_000
+#: Bytes of text in a slice that keeps all columns beside what is found: it is held twice, on its way in and out.
+SLICE_BESIDE = 2 << 20
 
 
 class WordCache(dict):
@@ -94,7 +96,7 @@ def beside(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            for part in pieces_of(batch, name=f"{name}_1"):
+            for part in pieces_of(batch, SLICE_BESIDE, f"{name}_1"):
                 own = pa.RecordBatch.from_arrays(part.columns[width:], ["doc_id", "text", "lang"][: len(columns)])
                 made = one(own)
                 arrays = [made[f.name] for f in found.fields]
