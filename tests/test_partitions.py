@@ -85,3 +85,22 @@ def test_backbone_joins_intermediates_only(spark):
     assert set(found) == {"A", "B"}
     assert (found["A"]["app_year"], found["A"]["assignee_country_mode"], found["A"]["assignee_country_primary"]) == (1999, "US", "DE")
     assert (found["B"]["inventor_country_mode"], found["B"]["cpc_total_count"], found["B"]["patent_title"]) == ("US", 1, None)
+
+
+def test_texts_are_matched_after_the_sample_is_chosen(spark, rows, tmp_path):
+    from panelwright.bindings import learning as bound
+    from panelwright.bindings.base import Tables
+    from panelwright.operators import learning
+
+    docs = [(i, f"Measured data and sensors {i}" if i % 3 else None, f"src{i % 4}") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(i, None if i % 11 == 0 else int(i % 5 == 0)) for i in range(0, 300, 2)]
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    t = Tables(spark, str(tmp_path))
+    sample = bound.training_sample(t)
+    caps = {False: 120_000, True: 30_000}
+    before = learning.balanced_sample(bound.labelled_features(t), "doc_id", "quality", "is_holdout", caps)
+    assert sample.columns == before.columns and rows(sample) == rows(before) != []
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("LeftSemi", 1)
+    assert "AS n_tokens" in above and "AS n_tokens" not in below
